@@ -185,7 +185,8 @@ def terminal_filter(tasks: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ordering and claims
 
-CLAIM_ORDER = [F.col("priority").desc(), F.col("created_at").asc(), F.col("task_id").asc()]
+def claim_sort() -> list[Column]:
+    return [F.col("priority").desc(), F.col("created_at").asc(), F.col("task_id").asc()]
 
 
 def claim_order(tasks: DataFrame) -> DataFrame:
@@ -206,9 +207,9 @@ def claim_batch(tasks: DataFrame, workers: Sequence[str], n: int, now) -> tuple[
     if n < 0:
         raise ValueError("n must be >= 0")
     w_arr = F.array(*[F.lit(w) for w in workers])
-    top = tasks.filter(F.col("status") == "pending").orderBy(*CLAIM_ORDER).limit(n).select(
+    top = tasks.filter(F.col("status") == "pending").orderBy(*claim_sort()).limit(n).select(
         "task_id", "priority", "created_at")
-    rn = F.row_number().over(Window.orderBy(*CLAIM_ORDER)).cast("long")
+    rn = F.row_number().over(Window.orderBy(*claim_sort())).cast("long")
     claims = (top.withColumn("claim_rank", rn)
               .withColumn("worker_id", F.element_at(w_arr, (F.pmod(F.col("claim_rank") - 1, F.lit(len(workers))) + 1).cast("int")))
               .withColumn("started_at", _ts(now))
