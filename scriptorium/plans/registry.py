@@ -432,3 +432,6 @@ SELECT s.task_id, s.submitted_at, t.terminal_at,
 FROM s LEFT JOIN t ON s.task_id = t.task_id WHERE s.submitted_at IS NOT NULL""", ("task_events",))
 def k7(spark, sf):
     return L.wait_deadline(fx.task_events(spark, sf), 600)
+
+
+from . import registry_documents  # noqa: E402,F401  (registers document queries)
