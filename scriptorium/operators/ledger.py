@@ -362,3 +362,22 @@ def wait_deadline(events: DataFrame, seconds: int = 600) -> DataFrame:
     reached = F.coalesce(waited <= F.lit(seconds * 1_000_000), F.lit(False))
     return out.select("task_id", "submitted_at", "terminal_at",
                       F.when(reached, "reached").otherwise("timeout").alias("outcome"))
+
+
+def queue_depth(tasks: DataFrame) -> DataFrame:
+    """Pending / processing depth per minute from the ledger's transition times (+1 at
+    submit, pending->processing at start, -1 at finish). Deltas are pre-aggregated per minute, then
+    running totals are taken over minutes with the chunked ``running_sum`` (no single-partition
+    window). Cancelled rows carry no exit time and are left out."""
+    from ..plans.scale import running_sum
+
+    t = tasks.filter(F.col("status") != "cancelled")
+    d = (t.select(F.date_trunc("minute", "created_at").alias("minute"), F.lit(1).alias("dp"), F.lit(0).alias("dr"))
+         .unionByName(t.filter(F.col("started_at").isNotNull())
+                      .select(F.date_trunc("minute", "started_at").alias("minute"), F.lit(-1).alias("dp"), F.lit(1).alias("dr")))
+         .unionByName(t.filter(F.col("completed_at").isNotNull())
+                      .select(F.date_trunc("minute", "completed_at").alias("minute"), F.lit(0).alias("dp"), F.lit(-1).alias("dr"))))
+    m = d.groupBy("minute").agg(F.sum("dp").alias("pending_delta"), F.sum("dr").alias("processing_delta"))
+    m = running_sum(m, [], ["minute"], "pending_delta", "pending_depth")
+    m = running_sum(m, [], ["minute"], "processing_delta", "processing_depth")
+    return m.select("minute", "pending_delta", "processing_delta", "pending_depth", "processing_depth")
