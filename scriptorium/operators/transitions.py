@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import next_match
+from ..plans.scale import next_match, next_matches
 from ..session import cut_lineage
 
 OP_STATUS = {"submit": "pending", "reset": "pending", "claim": "processing", "complete": "completed",
@@ -39,34 +39,33 @@ def _pick(*cands):
 
 
 def successors(events: DataFrame, stale_minutes: int = 60, strict: bool = True) -> DataFrame:
-    """Adds ``succ`` (struct ts, event_id) to every event."""
+    """Adds ``succ`` (struct ts, event_id) to every event. Two chunked scans: one keyed by task
+    (next claim/cancel, next worker-less completion, next cancel, and the first reset after each
+    claim's staleness probe), one keyed by (task, worker) for completions by the claiming worker."""
     ev = events.select("event_id", "task_id", "ts", "op", "worker_id")
     op = F.col("op")
-    keys, order = ["task_id"], ["ts", "event_id"]
-
-    ev = next_match(ev, keys, order, op.isin("claim", "cancel"), ["ts", "event_id"], "pn_")
-    ev = next_match(ev, ["task_id", "worker_id"], order, op.isin("complete", "fail"), ["ts", "event_id"], "own_")
-    ev = next_match(ev, keys, order, op.isin("complete", "fail") & F.col("worker_id").isNull(),
-                    ["ts", "event_id"], "anyw_")
+    # Probe rows at claim.ts + T sort after the real events of that instant (_k = 1), so "next reset
+    # after the probe" is the first reset with ts > started_at + T (strict, as in the guard).
+    probes = ev.filter(op == "claim").select(
+        "event_id", "task_id", (F.col("ts") + F.make_dt_interval(mins=F.lit(stale_minutes))).alias("ts"),
+        F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("worker_id"), F.lit(1).alias("_k"))
+    both = ev.withColumn("_k", F.lit(0)).unionByName(probes)
+    real = F.col("_k") == 0
+    conds = {
+        "pn_": real & op.isin("claim", "cancel"),
+        "anyw_": real & op.isin("complete", "fail") & F.col("worker_id").isNull(),
+        "rs_": real & (op == "reset"),
+    }
     if not strict:
-        ev = next_match(ev, keys, order, op == "cancel", ["ts", "event_id"], "cn_")
-
-    # First reset strictly later than started_at + T: probe rows at claim.ts + T that sort after
-    # real events of the same instant, then "next reset after the probe".
-    claims = ev.filter(op == "claim").select(
-        F.col("event_id").alias("probe_of"), "task_id",
-        (F.col("ts") + F.make_dt_interval(mins=F.lit(stale_minutes))).alias("ts"))
-    probe_src = (ev.select("task_id", "ts", "event_id", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("probe_of"),
-                           (op == "reset").alias("_is_reset"))
-                 .filter("_is_reset")
-                 .unionByName(claims.select("task_id", "ts", F.lit(-1).cast("long").alias("event_id"),
-                                            F.lit(1).alias("_k"), "probe_of", F.lit(False).alias("_is_reset"))))
-    probed = next_match(probe_src, keys, ["ts", "_k", "event_id"], F.col("_is_reset"), ["ts", "event_id"], "rs_")
-    reset_after = probed.filter(F.col("_k") == 1).select(
-        F.col("probe_of").alias("event_id"),
+        conds["cn_"] = real & (op == "cancel")
+    t1 = next_matches(both, ["task_id"], ["ts", "_k", "event_id"], conds, ["ts", "event_id"])
+    reset_after = t1.filter(F.col("_k") == 1).select(
+        "event_id",
         F.when(F.col("rs_event_id").isNotNull(),
                F.struct(F.col("rs_ts").alias("ts"), F.col("rs_event_id").alias("event_id"))).alias("_rs"))
-    ev = ev.join(reset_after, "event_id", "left")
+    t1 = t1.filter(real).drop("_k", "rs_ts", "rs_event_id").join(reset_after, "event_id", "left")
+    ev = next_match(t1, ["task_id", "worker_id"], ["ts", "event_id"], op.isin("complete", "fail"),
+                    ["ts", "event_id"], "own_")
 
     def st(prefix):
         return F.when(F.col(prefix + "event_id").isNotNull(),

@@ -108,68 +108,77 @@ def next_match(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str]
     """Adds ``{prefix}{p}`` for each payload column: the value on the first row strictly after the
     current one (same key, ascending ``order_cols``, which must be total) where ``cond`` holds;
     NULL when there is none. Chunked by range so a hot key spreads over many tasks."""
+    return next_matches(df, key_cols, order_cols, {prefix: cond}, payload, n_chunks)
+
+
+def next_matches(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], conds: dict[str, Column],
+                 payload: Sequence[str], n_chunks: int | None = None) -> DataFrame:
+    """Several ``next_match`` searches (one per prefix -> condition) in a single chunked scan."""
     n = _n_chunks(df, n_chunks)
-    flag = "_m"
-    src = df.withColumn(flag, F.coalesce(cond, F.lit(False)))
+    prefixes = list(conds)
+    flags = [f"_m{i}" for i in range(len(prefixes))]
+    hits = [f"_hit{i}" for i in range(len(prefixes))]
+    src = df
+    for f, p in zip(flags, prefixes):
+        src = src.withColumn(f, F.coalesce(conds[p], F.lit(False)))
     keys_ = list(key_cols)
     # Range-partition ascending, scan each chunk in descending order: "next after" is then
     # "last match already seen", a forward fill.
     desc = [F.col(c).desc() for c in [*keys_, *order_cols]]
     ranged = (src.repartitionByRange(n, *[F.col(c) for c in keys_], *[F.col(c) for c in order_cols])
               .sortWithinPartitions(*desc))
-    out_fields = [T.StructField(prefix + p, src.schema[p].dataType) for p in payload]
-    schema = T.StructType(src.schema.fields + [T.StructField(_CHUNK, T.IntegerType()),
-                                                T.StructField("_hit", T.BooleanType())] + out_fields)
+    out_fields = [T.StructField(pre + p, src.schema[p].dataType) for pre in prefixes for p in payload]
+    schema = T.StructType(src.schema.fields + [T.StructField(_CHUNK, T.IntegerType())]
+                          + [T.StructField(h, T.BooleanType()) for h in hits] + out_fields)
 
     def scan(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        prev_key, carry = None, None
+        prev_key = None
+        carry = [None] * len(prefixes)
         for pdf in batches:
             if pdf.empty:
                 continue
             keys = _key_frame(pdf, keys_)
             gid, cont = _group_ids(keys, prev_key)
-            m = pdf[flag].to_numpy(dtype=bool)
-            pos = np.where(m, np.arange(len(pdf), dtype=np.float64), np.nan)
-            prior = pd.Series(pos).groupby(gid).shift(1)
-            seen = prior.groupby(gid).ffill().to_numpy()
-            cols = {}
-            has = ~np.isnan(seen)
-            idx = np.where(has, seen, 0).astype(np.int64)
-            carried = cont & (gid == 0) & ~has & (carry is not None)
-            for p in payload:
-                src_vals = pdf[p].to_numpy(dtype=object)
-                v = np.where(has, src_vals[idx], None).astype(object)
-                if carry is not None:
-                    v[carried] = carry[p]
-                cols[prefix + p] = pd.Series(v, index=pdf.index)
-            # carry: last match in this batch for the last key, else keep the previous carry
+            out = pdf.assign(**{_CHUNK: np.int32(pid)})
             last_gid = gid[-1]
-            in_last = np.nonzero((gid == last_gid) & m)[0]
-            if len(in_last):
-                carry = {p: pdf[p].iloc[in_last[-1]] for p in payload}
-            elif not (cont and last_gid == 0):
-                carry = None
+            for ci, (pre, f, h) in enumerate(zip(prefixes, flags, hits)):
+                m = pdf[f].to_numpy(dtype=bool)
+                pos = np.where(m, np.arange(len(pdf), dtype=np.float64), np.nan)
+                seen = pd.Series(pos).groupby(gid).shift(1).groupby(gid).ffill().to_numpy()
+                has = ~np.isnan(seen)
+                idx = np.where(has, seen, 0).astype(np.int64)
+                carried = cont & (gid == 0) & ~has & (carry[ci] is not None)
+                for p in payload:
+                    vals = pdf[p].to_numpy(dtype=object)
+                    v = np.where(has, vals[idx], None).astype(object)
+                    if carry[ci] is not None:
+                        v[carried] = carry[ci][p]
+                    out[pre + p] = pd.Series(v, index=pdf.index)
+                out[h] = has | carried
+                # carry: last match of the batch's last key, else keep the previous carry
+                in_last = np.nonzero((gid == last_gid) & m)[0]
+                if len(in_last):
+                    carry[ci] = {p: pdf[p].iloc[in_last[-1]] for p in payload}
+                elif not (cont and last_gid == 0):
+                    carry[ci] = None
             prev_key = tuple(keys.iloc[-1]) if keys_ else ()
-            out = pdf.assign(**{_CHUNK: np.int32(pid), "_hit": has | carried})
-            for k, v in cols.items():
-                out[k] = v
             yield out
 
+    # Range bounds come from sampling and differ between jobs: write the chunked scan once.
     scanned = cut_lineage(ranged.mapInPandas(scan, schema))
-    # First match of each (key, chunk) in ascending order, then the next chunk's first match.
-    order_struct = F.struct(*[F.col(c) for c in order_cols])
-    heads = (scanned.filter(F.col(flag))
-             .groupBy(*keys_, _CHUNK)
-             .agg(F.min_by(F.struct(*[F.col(p).alias(p) for p in payload]), order_struct).alias("_head")))
-    chunks = scanned.select(*keys_, _CHUNK).distinct()
+    # First match of each (key, chunk) per condition, then the first one in any later chunk.
+    heads = scanned.groupBy(*keys_, _CHUNK).agg(*[
+        F.min(F.when(F.col(f), F.struct(*[F.col(c) for c in order_cols], *[F.col(p).alias("p_" + p) for p in payload])))
+        .alias(f"_head{i}") for i, f in enumerate(flags)])
     later = Window.partitionBy(*keys_).orderBy(_CHUNK).rowsBetween(1, Window.unboundedFollowing)
-    link = (chunks.join(heads, [*keys_, _CHUNK], "left")
-            .select(*keys_, _CHUNK, F.first("_head", ignorenulls=True).over(later).alias("_nexthead")))
+    link = heads.select(*keys_, _CHUNK, *[F.first(f"_head{i}", ignorenulls=True).over(later).alias(f"_next{i}")
+                                          for i in range(len(flags))])
     joined = scanned.join(link, [*keys_, _CHUNK], "left")
-    missing = ~F.col("_hit") & F.col("_nexthead").isNotNull()
-    for p in payload:
-        joined = joined.withColumn(prefix + p, F.when(missing, F.col("_nexthead")[p]).otherwise(F.col(prefix + p)))
-    return joined.drop("_nexthead", _CHUNK, flag, "_hit")
+    for i, pre in enumerate(prefixes):
+        missing = ~F.col(hits[i]) & F.col(f"_next{i}").isNotNull()
+        for p in payload:
+            joined = joined.withColumn(pre + p, F.when(missing, F.col(f"_next{i}")["p_" + p]).otherwise(F.col(pre + p)))
+    return joined.drop(_CHUNK, *flags, *hits, *[f"_next{i}" for i in range(len(flags))])
