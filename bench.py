@@ -34,8 +34,10 @@ def main() -> None:
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2),
                           extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="scriptorium-bench-")})
-    # warm-up: JVM code paths and Python workers, not timed
+    # warm-up, not timed: JVM code paths, and one Arrow pass so every Python worker is started
     registry.QUERIES["G1_queue_stats"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    (spark.range(0, cpus * 1000, 1, cpus).mapInPandas(lambda it: (b for b in it), "id long")
+     .write.format("noop").mode("overwrite").save())
 
     times: dict[str, float] = {}
     for key in wanted:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..session import spread
 from . import converters as CV
 
 BLOCK_FIELDS = [T.StructField("block_idx", T.IntegerType()), T.StructField("type", T.StringType()),
@@ -54,7 +55,7 @@ def to_blocks(docs: DataFrame, id_col: str, content_col: str, converter="html")
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=pdf[id_col].dtype), "block_idx": pd.Series(idx, dtype="int32"),
                                 "type": typ, "level": pd.Series(lvl, dtype="int32"), "text": txt})
 
-    return docs.select(id_col, content_col).mapInPandas(run, schema)
+    return spread(docs.select(id_col, content_col)).mapInPandas(run, schema)
 
 
 def html_to_blocks(pages: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def convert_documents(docs: DataFrame, converters: Mapping[str, object] | None =
             out["n_blocks"] = out["n_blocks"].astype("Int32")
             yield out
 
-    return routed.select("doc_id", "route", "converter", "content").mapInPandas(run, OUTCOME_SCHEMA)
+    return spread(routed.select("doc_id", "route", "converter", "content")).mapInPandas(run, OUTCOME_SCHEMA)
 
 
 def _md_line(t, level, text):

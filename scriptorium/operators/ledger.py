@@ -307,22 +307,27 @@ def cancel_requests(tasks: DataFrame, requests: DataFrame) -> tuple[DataFrame, D
     return ledger, outcomes
 
 
-def apply_results(tasks: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Worker results (task_id, result_id, ts, status completed|failed, worker_id?, result_path?,
+def result_outcomes(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """J3 outcome per worker result: ``reason`` is NULL when accepted, else why it was rejected.
+    Results (task_id, result_id, ts, status completed|failed, worker_id?, result_path?,
     error_message?) are accepted only when the task is processing and, if a worker is named, owned
-    by it. Only the first result per task can win. Returns ``(ledger', accepted, rejected)`` and
-    accepted + rejected = input."""
+    by it; only the first result per task (by ts, result_id) can win."""
     first = results.groupBy("task_id").agg(F.min_by("result_id", F.struct("ts", "result_id")).alias("_first"))
-    r = results.join(first, "task_id")
     cur = tasks.select("task_id", F.col("status").alias("_cur"), F.col("worker_id").alias("_owner"))
-    j = r.join(cur, "task_id", "left")
+    j = results.join(first, "task_id").join(cur, "task_id", "left")
     reason = (F.when(F.col("result_id") != F.col("_first"), "duplicate")
               .when(F.col("_cur").isNull(), "not_found")
               .when(F.col("_cur") != "processing", F.concat(F.lit("status "), F.col("_cur")))
               .when(F.col("worker_id").isNotNull() & ~F.col("worker_id").eqNullSafe(F.col("_owner")), "worker mismatch"))
-    j = j.withColumn("reason", reason)
-    accepted = j.filter(F.col("reason").isNull()).drop("_first", "_cur", "_owner", "reason")
-    rejected = j.filter(F.col("reason").isNotNull()).drop("_first", "_cur", "_owner")
+    return j.withColumn("reason", reason).drop("_first", "_cur", "_owner")
+
+
+def apply_results(tasks: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Returns ``(ledger', accepted, rejected)``; accepted + rejected = input. Callers that
+    need both sides should persist ``result_outcomes`` once and split it."""
+    out = result_outcomes(tasks, results)
+    accepted = out.filter(F.col("reason").isNull()).drop("reason")
+    rejected = out.filter(F.col("reason").isNotNull())
     upd = accepted.select("task_id", F.col("status").alias("_new"), F.col("ts").alias("_ts"),
                           F.col("result_path").alias("_rp"), F.col("error_message").alias("_err"))
     ledger = (tasks.join(upd, "task_id", "left")

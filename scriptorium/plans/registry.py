@@ -406,9 +406,8 @@ SELECT r.task_id, r.result_id, r.status, r.worker_id,
             WHEN r.worker_id IS NOT NULL AND r.worker_id IS DISTINCT FROM t.worker_id THEN 'worker mismatch' END AS reason
 FROM res r JOIN first f ON r.task_id = f.task_id LEFT JOIN tasks t ON r.task_id = t.task_id""", ("tasks",))
 def j3(spark, sf):
-    _, acc, rej = L.apply_results(_tasks(spark, sf), worker_results(spark, sf))
-    cols = ["task_id", "result_id", "status", "worker_id"]
-    return acc.select(*cols, F.lit(None).cast("string").alias("reason")).unionByName(rej.select(*cols, "reason"))
+    out = L.result_outcomes(_tasks(spark, sf), worker_results(spark, sf))
+    return out.select("task_id", "result_id", "status", "worker_id", "reason")
 
 
 @register("J5_missing_results", """

@@ -30,13 +30,18 @@ SELECT id AS doc_id, array_to_string(list_transform(vec, lambda x: cast(cast(x A
 
 @register("V1_embed_texts", _V1_SQL)
 def v1(spark, sf):
-    d = R.embed_texts(load(spark, sf, "documents").select("doc_id", "text"), "text")
+    d = R.embed_texts(load(spark, sf, "documents").select("doc_id", "text"), "text", engine="jvm")
     return d.select("doc_id", _vec_text().alias("embedding_text"))
 
 
 @register("X2_embedder_plugin", _V1_SQL)
 def x2(spark, sf):
     d = R.embed_texts(load(spark, sf, "documents").select("doc_id", "text"), "text", embedder=R.HashingEmbedder())
+
+
+@register("V1b_embed_texts_arrow", _V1_SQL)
+def v1b(spark, sf):
+    d = R.embed_texts(load(spark, sf, "documents").select("doc_id", "text"), "text")
     return d.select("doc_id", _vec_text().alias("embedding_text"))
 
 

@@ -109,3 +109,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster before per-row heavy work (conversion, embedding,
+    scoring) when it arrives in fewer partitions than the default parallelism - e.g. one small
+    file read as a single split. Inputs that are already wide (the large-scale case) are left
+    untouched, so this never adds a shuffle there."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
