@@ -16,7 +16,7 @@ from ..sources import stores as ST
 from ..streaming import jobs as J
 from . import fixtures as fx
 from .registry import FOLD_SQL, register
-from .registry_documents import _P7_SQL, docs_in, p1
+from .registry_documents import _P7_SQL, _html, docs_in, p1
 
 NOW_TOPIC = "2024-01-31 00:00:00"
 
@@ -167,7 +167,10 @@ def a9(spark, sf):
 
 # ------------------------------------------------------------------ plug-ins
 
-@register("X1_converter_plugin")
+@register("X1_converter_plugin", f"""
+WITH {_html()}
+SELECT doc_id, cast(n_heading + n_paragraph + n_list_item + n_text AS bigint) AS n_blocks FROM hcount
+WHERE n_heading + n_paragraph + n_list_item + n_text > 0""")
 def x1(spark, sf):
     pages = load(spark, sf, "pages")
     b = D.to_blocks(pages, "page_id", "html", CV.HtmlConverter())
@@ -190,7 +193,11 @@ def register_explode_blocks(spark):
     spark.udtf.register("explode_blocks", ExplodeBlocks)
 
 
-@register("X3_explode_blocks_udtf")
+@register("X3_explode_blocks_udtf", f"""
+WITH {_html()}
+SELECT doc_id AS page_id, cast(n_heading + n_paragraph + n_list_item + n_text AS bigint) AS n_blocks,
+       cast(n_heading AS bigint) AS n_heading FROM hcount
+WHERE n_heading + n_paragraph + n_list_item + n_text > 0""")
 def x3(spark, sf):
     register_explode_blocks(spark)
     view = "pages_" + os.urandom(4).hex()
