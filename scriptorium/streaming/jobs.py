@@ -135,40 +135,65 @@ def transition(state: dict, op: str, ts_us: int, worker: str | None, stale_us: i
     return ok
 
 
-def _ledger_fn(stale_minutes: int, strict: bool):
+def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False):
     stale_us = stale_minutes * 60 * 1_000_000
 
+    def _row(eid, key, ts, op, ok, s):
+        return (eid, key, ts, op, ok, s["status"], s["worker"],
+                None if s["started_us"] is None else pd.Timestamp(s["started_us"] * 1000),
+                None if s["completed_us"] is None else pd.Timestamp(s["completed_us"] * 1000), s["retries"])
+
     def fn(key, pdfs, state):
         if state.exists:
             s = dict(zip([f.name for f in _STATE.fields], state.get))
         else:
             s = {"status": None, "worker": None, "started_us": None, "completed_us": None,
                  "retries": 0, "applied": 0, "rejected": 0}
-        frames = [p for p in pdfs if not p.empty]
-        if not frames:
-            return
-        ev = pd.concat(frames).sort_values(["ts", "event_id"])
         rows = []
-        for eid, ts, op, w in zip(ev["event_id"], ev["ts"], ev["op"], ev["worker_id"]):
-            ts_us = int(pd.Timestamp(ts).value // 1000)
-            ok = transition(s, op, ts_us, None if pd.isna(w) else w, stale_us, strict)
-            rows.append((eid, key[0], ts, op, ok, s["status"], s["worker"],
-                         None if s["started_us"] is None else pd.Timestamp(s["started_us"] * 1000),
-                         None if s["completed_us"] is None else pd.Timestamp(s["completed_us"] * 1000),
-                         s["retries"]))
+        if state.hasTimedOut:
+            # K4: stale timer fired - the task sat in processing past started_at + T
+            if s["status"] == "processing":
+                due_us = s["started_us"] + stale_us
+                s.update(status="pending", worker=None, retries=s["retries"] + 1, applied=s["applied"] + 1)
+                rows.append(_row(-1, key[0], pd.Timestamp(due_us * 1000), "timeout_reset", True, s))
+        else:
+            frames = [p for p in pdfs if not p.empty]
+            if frames:
+                ev = pd.concat(frames).sort_values(["ts", "event_id"])
+                for eid, ts, op, w in zip(ev["event_id"], ev["ts"], ev["op"], ev["worker_id"]):
+                    ts_us = int(pd.Timestamp(ts).value // 1000)
+                    ok = transition(s, op, ts_us, None if pd.isna(w) else w, stale_us, strict)
+                    rows.append(_row(eid, key[0], ts, op, ok, s))
         state.update(tuple(s[f.name] for f in _STATE.fields))
-        yield pd.DataFrame(rows, columns=[f.name for f in OUTCOME.fields])
+        if stale_timer and s["status"] == "processing":
+            state.setTimeoutTimestamp(int((s["started_us"] + stale_us) // 1000) + 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=[f.name for f in OUTCOME.fields])
 
     return fn
 
 
-def live_ledger(events: DataFrame, stale_minutes: int = 60, strict: bool = True) -> DataFrame:
+def live_ledger(events: DataFrame, stale_minutes: int = 60, strict: bool = True, stale_timer: bool = False,
+                watermark: str = "10 minutes") -> DataFrame:
     """K2/K4/K5: per-event outcome of the state machine, state kept per task across micro-batches
     (O(1) per task). Events are applied in (ts, event_id) order within a micro-batch; a late
-    completion after a reset or re-claim is rejected by the same guard as in batch."""
-    return (events.groupBy("task_id")
-            .applyInPandasWithState(_ledger_fn(stale_minutes, strict), OUTCOME, _STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+    completion after a reset or re-claim is rejected by the same guard as in batch (K5).
+
+    With ``stale_timer`` (K4) an event-time timer resets a task that stays in processing past
+    ``started_at + stale_minutes`` without waiting for a reset event; it needs a watermark, so
+    event time is cast to TIMESTAMP and outcome times are cast back."""
+    if not stale_timer:
+        return (events.groupBy("task_id")
+                .applyInPandasWithState(_ledger_fn(stale_minutes, strict), OUTCOME, _STATE, "append",
+                                        GroupStateTimeout.NoTimeout))
+    ev = events.withColumn("ts", _ltz("ts")).withWatermark("ts", watermark)
+    out_ltz = T.StructType([T.StructField(f.name, T.TimestampType() if f.dataType == T.TimestampNTZType() else f.dataType)
+                            for f in OUTCOME.fields])
+    res = (ev.groupBy("task_id")
+           .applyInPandasWithState(_ledger_fn(stale_minutes, strict, True), out_ltz, _STATE, "append",
+                                   GroupStateTimeout.EventTimeTimeout))
+    return res.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType == T.TimestampNTZType()
+                        else F.col(f.name) for f in OUTCOME.fields])
 
 
 def final_states(outcomes: DataFrame) -> DataFrame:
