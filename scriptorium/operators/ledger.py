@@ -386,3 +386,30 @@ def queue_depth(tasks: DataFrame) -> DataFrame:
     m = running_sum(m, [], ["minute"], "pending_delta", "pending_depth")
     m = running_sum(m, [], ["minute"], "processing_delta", "processing_depth")
     return m.select("minute", "pending_delta", "processing_delta", "pending_depth", "processing_depth")
+
+
+def observed(df: DataFrame, changed: Column, name: str):
+    """Attach an ``Observation`` counting the rows a mutation changed. The count is collected
+    by the same job that writes the new snapshot (no second pass); read it with ``obs.get``
+    after the action."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    return df.observe(obs, F.count_if(changed).alias("affected_rows")), obs
+
+
+def reset_stale_observed(tasks: DataFrame, now, minutes: int = 60):
+    """U3 + G7: ``(ledger', observation)``; ``observation.get['affected_rows']`` after an action."""
+    stale = F.coalesce((F.col("status") == "processing") & (F.col("started_at") < C.minutes_before(_ts(now), minutes)),
+                       F.lit(False))
+    flagged = tasks.withColumn("_chg", stale)
+    out, obs = observed(flagged, F.col("_chg"), "reset_stale")
+    return reset_stale(out.drop("_chg"), now, minutes), obs
+
+
+def purge_records_observed(tasks: DataFrame, now, days: int = 30):
+    """U5 + G7: rows deleted are counted on the way through the filter."""
+    cond = F.coalesce(F.col("status").isin("completed", "failed") & (F.col("completed_at") < C.days_before(_ts(now), days)),
+                      F.lit(False))
+    out, obs = observed(tasks, cond, "purge_records")
+    return purge_records(out, now, days), obs

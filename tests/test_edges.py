@@ -143,3 +143,14 @@ def test_html_converter_blocks():
 def test_sniff_format(spark):
     df = spark.createDataFrame([(bytes.fromhex(h),) for h in ["255044462D", "FFD8FFE0", "89504E470D", "D0CF11E0A1", "504B0304", "3C68"]], "b binary")
     assert [r.f for r in df.select(C.sniff_format("b").alias("f")).collect()] == ["pdf", "jpg", "png", "ole", "zip", "unsupported"]
+
+
+def test_affected_rows_observed(spark):
+    from scriptorium.plans import fixtures as fx
+
+    t = fx.tasks(spark, "/root/testdata/sf0.01")
+    led, obs = L.reset_stale_observed(t, fx.AS_OF, 60)
+    led.write.format("noop").mode("overwrite").save()
+    assert obs.get["affected_rows"] == 2580  # FIXTURES section 4
+    kept, obs2 = L.purge_records_observed(t, fx.AS_OF, 30)
+    assert kept.count() == 15000 - 2190 and obs2.get["affected_rows"] == 2190
