@@ -38,7 +38,7 @@ def _pick(*cands):
     return cands[0] if len(cands) == 1 else F.least(*cands)
 
 
-def successors(events: DataFrame, stale_minutes: int = 60, strict: bool = True) -> DataFrame:
+def successors(events: DataFrame, stale_minutes: int = 60, strict: bool = True, strategy: str = "auto") -> DataFrame:
     """Adds ``succ`` (struct ts, event_id) to every event. Two chunked scans: one keyed by task
     (next claim/cancel, next worker-less completion, next cancel, and the first reset after each
     claim's staleness probe), one keyed by (task, worker) for completions by the claiming worker."""
@@ -58,14 +58,14 @@ def successors(events: DataFrame, stale_minutes: int = 60, strict: bool = True)
     }
     if not strict:
         conds["cn_"] = real & (op == "cancel")
-    t1 = next_matches(both, ["task_id"], ["ts", "_k", "event_id"], conds, ["ts", "event_id"])
+    t1 = next_matches(both, ["task_id"], ["ts", "_k", "event_id"], conds, ["ts", "event_id"], strategy=strategy)
     reset_after = t1.filter(F.col("_k") == 1).select(
         "event_id",
         F.when(F.col("rs_event_id").isNotNull(),
                F.struct(F.col("rs_ts").alias("ts"), F.col("rs_event_id").alias("event_id"))).alias("_rs"))
     t1 = t1.filter(real).drop("_k", "rs_ts", "rs_event_id").join(reset_after, "event_id", "left")
     ev = next_match(t1, ["task_id", "worker_id"], ["ts", "event_id"], op.isin("complete", "fail"),
-                    ["ts", "event_id"], "own_")
+                    ["ts", "event_id"], "own_", strategy=strategy)
 
     def st(prefix):
         return F.when(F.col(prefix + "event_id").isNotNull(),
@@ -79,12 +79,12 @@ def successors(events: DataFrame, stale_minutes: int = 60, strict: bool = True)
 
 
 def fold_transitions(events: DataFrame, stale_minutes: int = 60, strict: bool = True,
-                     max_rounds: int = 64) -> DataFrame:
+                     max_rounds: int = 64, strategy: str = "auto") -> DataFrame:
     """Final ledger state per task plus how many of its events were applied / rejected.
 
     Output: task_id, status, worker_id, started_at, completed_at, retry_count, applied, rejected.
     Tasks whose events contain no submit keep status NULL and reject everything."""
-    s = successors(events, stale_minutes, strict)
+    s = successors(events, stale_minutes, strict, strategy)
     nodes = s.select(
         "event_id",
         F.col("succ.event_id").alias("J"),

@@ -34,6 +34,28 @@ def _n_chunks(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
+# A window keeps one key's rows in one task. Up to this many rows per key that is cheap (a running
+# frame streams through the sorted group); above it the chunked path spreads the key over tasks.
+MAX_WINDOW_ROWS = 2_000_000
+
+
+def _largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows in the biggest key (one partial/final aggregate; 0 for an empty input)."""
+    if keys:
+        v = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    else:
+        v = df.count()
+    return int(v or 0)
+
+
+def use_window(df: DataFrame, keys: Sequence[str], strategy: str, max_rows: int = MAX_WINDOW_ROWS) -> bool:
+    if strategy == "window":
+        return True
+    if strategy == "chunked":
+        return False
+    return _largest_key(df, keys) <= max_rows
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -55,9 +77,16 @@ def _group_ids(keys: pd.DataFrame, prev_key) -> tuple[np.ndarray, bool]:
 
 
 def running_sum(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, value_col: str | None,
-                out: str, n_chunks: int | None = None) -> DataFrame:
+                out: str, n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
     """``out`` = running total of ``value_col`` (1 per row when None) over rows of the same
-    ``part_cols`` in ``order_cols`` order, current row included. ``order_cols`` must be total."""
+    ``part_cols`` in ``order_cols`` order, current row included. ``order_cols`` must be total.
+    ``strategy``: ``auto`` (window when the largest key is small, else chunked), ``window``,
+    ``chunked``."""
+    if use_window(df, part_cols, strategy):
+        w = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy(F.lit(0)))
+        w = w.orderBy(*[_col(c) for c in order_cols]).rowsBetween(Window.unboundedPreceding, 0)
+        v = F.lit(1).cast("long") if value_col is None else F.coalesce(F.col(value_col).cast("long"), F.lit(0))
+        return df.withColumn(out, F.sum(v).over(w))
     n = _n_chunks(df, n_chunks)
     order = [_col(c) for c in order_cols]
     parts = [F.col(c) for c in part_cols]
@@ -98,22 +127,35 @@ def running_sum(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, v
 
 
 def running_count(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, out: str,
-                  n_chunks: int | None = None) -> DataFrame:
+                  n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
     """1-based ordinal per key (a skew-safe ``row_number``)."""
-    return running_sum(df, part_cols, order_cols, None, out, n_chunks)
+    return running_sum(df, part_cols, order_cols, None, out, n_chunks, strategy)
 
 
 def next_match(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], cond: Column,
-               payload: Sequence[str], prefix: str, n_chunks: int | None = None) -> DataFrame:
+               payload: Sequence[str], prefix: str, n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
     """Adds ``{prefix}{p}`` for each payload column: the value on the first row strictly after the
     current one (same key, ascending ``order_cols``, which must be total) where ``cond`` holds;
     NULL when there is none. Chunked by range so a hot key spreads over many tasks."""
-    return next_matches(df, key_cols, order_cols, {prefix: cond}, payload, n_chunks)
+    return next_matches(df, key_cols, order_cols, {prefix: cond}, payload, n_chunks, strategy)
 
 
 def next_matches(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], conds: dict[str, Column],
-                 payload: Sequence[str], n_chunks: int | None = None) -> DataFrame:
-    """Several ``next_match`` searches (one per prefix -> condition) in a single chunked scan."""
+                 payload: Sequence[str], n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
+    """Several ``next_match`` searches (one per prefix -> condition) in a single pass: one window
+    (descending order, running frame) when every key is small, else one chunked scan."""
+    if use_window(df, key_cols, strategy):
+        w = (Window.partitionBy(*key_cols) if key_cols else Window.partitionBy(F.lit(0)))
+        w = w.orderBy(*[F.col(c).desc() for c in order_cols]).rowsBetween(Window.unboundedPreceding, -1)
+        out = df
+        for pre, cond in conds.items():
+            hit = F.last(F.when(F.coalesce(cond, F.lit(False)), F.struct(*[F.col(p).alias(p) for p in payload])),
+                         ignorenulls=True).over(w)
+            out = out.withColumn(f"_nx_{pre}", hit)
+        for pre in conds:
+            for p in payload:
+                out = out.withColumn(pre + p, F.col(f"_nx_{pre}")[p])
+        return out.drop(*[f"_nx_{pre}" for pre in conds])
     n = _n_chunks(df, n_chunks)
     prefixes = list(conds)
     flags = [f"_m{i}" for i in range(len(prefixes))]

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators.transitions import fold_transitions
@@ -38,19 +39,22 @@ def _brute_fold(rows, stale_minutes=60):
     return out
 
 
-def test_fold_matches_brute_force_under_skew(spark):
+@pytest.mark.parametrize("strategy", ["chunked", "window"])
+def test_fold_matches_brute_force_under_skew(spark, strategy):
     rows = _events(spark)
     df = spark.createDataFrame(rows, "event_id long, task_id string, ts timestamp_ntz, op string, worker_id string")
-    got = {r.task_id: (r.status, r.retry_count, r.applied, r.rejected) for r in fold_transitions(df).collect()}
+    got = {r.task_id: (r.status, r.retry_count, r.applied, r.rejected)
+           for r in fold_transitions(df, strategy=strategy).collect()}
     assert got == _brute_fold(rows)
 
 
-def test_running_count_and_sum_brute_force(spark):
+@pytest.mark.parametrize("strategy", ["chunked", "window"])
+def test_running_count_and_sum_brute_force(spark, strategy):
     rnd = random.Random(3)
     rows = [(rnd.choice(["hot"] * 6 + ["a", "b", None]), i, rnd.randint(0, 50)) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, o long, v long").filter(F.col("k").isNotNull())
-    got = {r.o: (r.rn, r.cum) for r in running_sum(running_count(df, ["k"], ["o"], "rn", n_chunks=7),
-                                                   ["k"], ["o"], "v", "cum", n_chunks=5).collect()}
+    got = {r.o: (r.rn, r.cum) for r in running_sum(running_count(df, ["k"], ["o"], "rn", n_chunks=7, strategy=strategy),
+                                                   ["k"], ["o"], "v", "cum", n_chunks=5, strategy=strategy).collect()}
     exp = {}
     for k in {r[0] for r in rows if r[0]}:
         c = s = 0
@@ -61,11 +65,13 @@ def test_running_count_and_sum_brute_force(spark):
     assert got == exp
 
 
-def test_next_match_brute_force(spark):
+@pytest.mark.parametrize("strategy", ["chunked", "window"])
+def test_next_match_brute_force(spark, strategy):
     rnd = random.Random(5)
     rows = [("hot" if rnd.random() < 0.7 else "cold", i, rnd.random() < 0.2) for i in range(700)]
     df = spark.createDataFrame(rows, "k string, o long, m boolean")
-    got = {r.o: r.nx_o for r in next_match(df, ["k"], ["o"], F.col("m"), ["o"], "nx_", n_chunks=9).collect()}
+    got = {r.o: r.nx_o for r in next_match(df, ["k"], ["o"], F.col("m"), ["o"], "nx_", n_chunks=9,
+                                           strategy=strategy).collect()}
     for k, o, _ in rows:
         later = [r[1] for r in rows if r[0] == k and r[1] > o and r[2]]
         assert got[o] == (min(later) if later else None)
