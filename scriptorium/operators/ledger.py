@@ -311,7 +311,9 @@ def result_outcomes(tasks: DataFrame, results: DataFrame) -> DataFrame:
     """J3 outcome per worker result: ``reason`` is NULL when accepted, else why it was rejected.
     Results (task_id, result_id, ts, status completed|failed, worker_id?, result_path?,
     error_message?) are accepted only when the task is processing and, if a worker is named, owned
-    by it; only the first result per task (by ts, result_id) can win."""
+    by it; only the first result per task (by ts, result_id) can win. ``result_id`` must be unique
+    per message (it is the message id); redelivered copies of one message are the caller's
+    ``dropDuplicates(["result_id"])``."""
     first = results.groupBy("task_id").agg(F.min_by("result_id", F.struct("ts", "result_id")).alias("_first"))
     cur = tasks.select("task_id", F.col("status").alias("_cur"), F.col("worker_id").alias("_owner"))
     j = results.join(first, "task_id").join(cur, "task_id", "left")

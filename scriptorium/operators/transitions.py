@@ -83,7 +83,10 @@ def fold_transitions(events: DataFrame, stale_minutes: int = 60, strict: bool =
     """Final ledger state per task plus how many of its events were applied / rejected.
 
     Output: task_id, status, worker_id, started_at, completed_at, retry_count, applied, rejected.
-    Tasks whose events contain no submit keep status NULL and reject everything."""
+    Tasks whose events contain no submit keep status NULL and reject everything. Redelivered
+    events (same ``event_id``) count once: duplicates are dropped first (a shuffle on the unique
+    id, so it is not skewed by busy tasks)."""
+    events = events.dropDuplicates(["event_id"])
     s = successors(events, stale_minutes, strict, strategy)
     nodes = s.select(
         "event_id",

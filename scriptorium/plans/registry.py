@@ -372,8 +372,13 @@ def j2(spark, sf):
 
 
 def worker_results(spark, sf) -> DataFrame:
-    """Worker result messages derived from ``lineitem`` (first two lines of every order)."""
-    li = load(spark, sf, "lineitem").filter(F.col("l_linenumber") <= 2)
+    """Worker result messages derived from ``lineitem``: one message per (order, line) for the first
+    two lines of every order (the line table repeats some pairs, so they are merged first and the
+    message id is unique, as the operator requires)."""
+    li = (load(spark, sf, "lineitem").filter(F.col("l_linenumber") <= 2)
+          .groupBy("l_orderkey", "l_linenumber")
+          .agg(F.min("l_shipdate").alias("l_shipdate"), F.min("l_suppkey").alias("l_suppkey"),
+               F.max("l_returnflag").alias("l_returnflag")))
     s = F.col("l_suppkey")
     failed = F.col("l_returnflag") == "R"
     return li.select(
@@ -389,12 +394,14 @@ def worker_results(spark, sf) -> DataFrame:
     )
 
 
-_RESULTS_SQL = """res AS (
+_RESULTS_SQL = """li AS (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS l_shipdate, min(l_suppkey) AS l_suppkey,
+              max(l_returnflag) AS l_returnflag FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber),
+res AS (
   SELECT concat('t', cast(l_orderkey AS varchar)) AS task_id, l_orderkey * 100 + l_linenumber AS result_id,
          l_shipdate AS ts, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'completed' END AS status,
          CASE WHEN l_linenumber = 2 THEN NULL ELSE 'wk-host-' || cast(l_suppkey % 3 AS varchar) || '-cuda:' ||
               cast(l_suppkey % 2 AS varchar) || '-' || cast(1000 + l_suppkey % 7 AS varchar) END AS worker_id
-  FROM lineitem WHERE l_linenumber <= 2)"""
+  FROM li)"""
 
 
 @register("J3_apply_results", f"""

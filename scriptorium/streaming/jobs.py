@@ -178,20 +178,18 @@ def live_ledger(events: DataFrame, stale_minutes: int = 60, strict: bool = True,
     """K2/K4/K5: per-event outcome of the state machine, state kept per task across micro-batches
     (O(1) per task). Events are applied in (ts, event_id) order within a micro-batch; a late
     completion after a reset or re-claim is rejected by the same guard as in batch (K5).
+    Redelivered events (same ``event_id``) are dropped within the watermark, so the dedupe state
+    stays bounded.
 
     With ``stale_timer`` (K4) an event-time timer resets a task that stays in processing past
-    ``started_at + stale_minutes`` without waiting for a reset event; it needs a watermark, so
-    event time is cast to TIMESTAMP and outcome times are cast back."""
-    if not stale_timer:
-        return (events.groupBy("task_id")
-                .applyInPandasWithState(_ledger_fn(stale_minutes, strict), OUTCOME, _STATE, "append",
-                                        GroupStateTimeout.NoTimeout))
-    ev = events.withColumn("ts", _ltz("ts")).withWatermark("ts", watermark)
+    ``started_at + stale_minutes`` without waiting for a reset event. Event time is cast to
+    TIMESTAMP for the watermark and outcome times are cast back."""
+    ev = events.withColumn("ts", _ltz("ts")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
     out_ltz = T.StructType([T.StructField(f.name, T.TimestampType() if f.dataType == T.TimestampNTZType() else f.dataType)
                             for f in OUTCOME.fields])
+    timeout = GroupStateTimeout.EventTimeTimeout if stale_timer else GroupStateTimeout.NoTimeout
     res = (ev.groupBy("task_id")
-           .applyInPandasWithState(_ledger_fn(stale_minutes, strict, True), out_ltz, _STATE, "append",
-                                   GroupStateTimeout.EventTimeTimeout))
+           .applyInPandasWithState(_ledger_fn(stale_minutes, strict, stale_timer), out_ltz, _STATE, "append", timeout))
     return res.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType == T.TimestampNTZType()
                         else F.col(f.name) for f in OUTCOME.fields])
 
