@@ -9,7 +9,6 @@ from ..functions import columns as C
 from ..operators import documents as D
 from ..session import load
 from . import fixtures as fx
-from .oracle import AS_OF_SQL  # noqa: F401
 from .registry import register
 
 PAGE_OFFSET = 1_000_000_000_000  # pages and documents share one id space in docs_in

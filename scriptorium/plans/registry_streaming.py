@@ -16,7 +16,7 @@ from ..sources import stores as ST
 from ..streaming import jobs as J
 from . import fixtures as fx
 from .registry import FOLD_SQL, register
-from .registry_documents import _P7_SQL, _html, docs_in, p1
+from .registry_documents import _P7_SQL, _html, docs_in
 
 NOW_TOPIC = "2024-01-31 00:00:00"
 
@@ -53,6 +53,20 @@ def k3(spark, sf):
     return spark.read.parquet(out)
 
 
+@register("K8b_heartbeat_windows", """
+WITH w AS (SELECT worker_id, time_bucket(INTERVAL 900 SECOND, ts) AS window_start, count(*) AS count
+           FROM task_events GROUP BY 1, 2)
+SELECT worker_id, window_start, count FROM w
+WHERE window_start + INTERVAL 900 SECOND <= (SELECT max(ts) FROM task_events) - INTERVAL 15 MINUTE""", ("task_events",))
+def k8b(spark, sf):
+    src = J.stage(fx.task_events(spark, sf), "heartbeats")
+    out, ck = scratch_path(spark, "k8-out"), scratch_path(spark, "k8-ckpt")
+    stream = J.heartbeat_windows(J.file_stream(spark, src, spark.read.parquet(src).schema))
+    J.run_available_now(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                        .outputMode("append"))
+    return spark.read.parquet(out)
+
+
 @register("K6a_message_size_guard", """
 SELECT key, partition, "offset", cast(strlen(value) AS int) AS size,
        CASE WHEN strlen(value) > 5242880 THEN 'dead_letter' ELSE 'ok' END AS route FROM topic""", ("topic",))
@@ -205,5 +219,3 @@ def x3(spark, sf):
     return spark.sql(f"""SELECT p.page_id, count(*) AS n_blocks, count_if(b.type = 'heading') AS n_heading
                          FROM {view} p, LATERAL explode_blocks(p.html) b GROUP BY p.page_id""")
 
-
-_ = p1

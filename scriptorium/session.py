@@ -116,7 +116,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     scoring) when it arrives in fewer partitions than the default parallelism - e.g. one small
     file read as a single split. Inputs that are already wide (the large-scale case) are left
     untouched, so this never adds a shuffle there."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the plan as it is
+        return df
+    if current >= target:
         return df
     return df.repartition(target)

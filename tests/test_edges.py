@@ -154,3 +154,19 @@ def test_affected_rows_observed(spark):
     assert obs.get["affected_rows"] == 2580  # FIXTURES section 4
     kept, obs2 = L.purge_records_observed(t, fx.AS_OF, 30)
     assert kept.count() == 15000 - 2190 and obs2.get["affected_rows"] == 2190
+
+
+def test_project_fields_selection(spark):
+    t = ledger(spark, [row("done", "completed"), row("gone", "completed", result=None),
+                       row("nodir", "completed"), row("wait", "pending")])
+    a = spark.createDataFrame([
+        ("done", "md", "/r/done/auto/done.md", 10), ("done", "md", "/r/done/auto/done_layout.md", 11),
+        ("done", "content_list", "/r/done/auto/done_content_list.json", 12),
+        ("done", "image", "/r/done/auto/images/x.png", 5)], "task_id string, kind string, path string, size long")
+    v = D.project_fields(t, a, " md , bogus,images", include_metadata=False)
+    assert v.columns == ["task_id", "status", "message", "md_file", "images_count"]
+    got = {r.task_id: (r.message, r.md_file, r.images_count) for r in v.collect()}
+    assert got["done"] == (None, "done.md", 1)
+    assert got["gone"][0].startswith("Task completed but result files have been cleaned up")
+    assert got["nodir"] == ("Result directory does not exist", None, None)
+    assert got["wait"] == ("Task is in pending status, data not available yet", None, None)
