@@ -26,10 +26,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scale import next_match, next_matches
-from ..session import cut_lineage
+from ..session import by_key, cut_lineage
 
 OP_STATUS = {"submit": "pending", "reset": "pending", "claim": "processing", "complete": "completed",
              "fail": "failed", "cancel": "cancelled"}
+# A task with at most this many events is folded in one sorted pass of its own group; busier tasks
+# go through pointer doubling, which spreads one task over the whole cluster.
+MAX_GROUP_EVENTS = 2_000_000
+
+FOLD_SCHEMA = ("task_id string, status string, worker_id string, started_at timestamp_ntz, "
+               "completed_at timestamp_ntz, retry_count long, applied long, rejected long")
+
+
+def transition(state: dict, op: str, ts_us: int, worker: str | None, stale_us: int, strict: bool = True) -> bool:
+    """One step of the state machine on a mutable state dict; returns whether it was accepted.
+    Shared by the grouped batch fold and the streaming ledger (K2)."""
+    st = state["status"]
+    if op == "submit":
+        ok = st is None
+    elif op == "claim":
+        ok = st == "pending"
+    elif op in ("complete", "fail"):
+        ok = st == "processing" and (worker is None or worker == state["worker"])
+    elif op == "cancel":
+        ok = st == "pending" if strict else st is not None
+    elif op == "reset":
+        ok = st == "processing" and state["started_us"] is not None and state["started_us"] < ts_us - stale_us
+    else:
+        ok = False
+    if ok:
+        state["status"] = OP_STATUS[op]
+        if op == "claim":
+            state["worker"], state["started_us"] = worker, ts_us
+        elif op in ("reset", "cancel", "submit"):
+            state["worker"] = None
+        if op in ("complete", "fail"):
+            state["completed_us"] = ts_us
+        if op == "reset":
+            state["retries"] += 1
+        state["applied"] += 1
+    else:
+        state["rejected"] += 1
+    return ok
+
+
+def new_state() -> dict:
+    return {"status": None, "worker": None, "started_us": None, "completed_us": None,
+            "retries": 0, "applied": 0, "rejected": 0}
 
 
 def _pick(*cands):
@@ -79,14 +122,60 @@ def successors(events: DataFrame, stale_minutes: int = 60, strict: bool = True,
 
 
 def fold_transitions(events: DataFrame, stale_minutes: int = 60, strict: bool = True,
-                     max_rounds: int = 64, strategy: str = "auto") -> DataFrame:
+                     max_rounds: int = 64, strategy: str = "auto", max_group_events: int = MAX_GROUP_EVENTS) -> DataFrame:
     """Final ledger state per task plus how many of its events were applied / rejected.
 
     Output: task_id, status, worker_id, started_at, completed_at, retry_count, applied, rejected.
     Tasks whose events contain no submit keep status NULL and reject everything. Redelivered
     events (same ``event_id``) count once: duplicates are dropped first (a shuffle on the unique
-    id, so it is not skewed by busy tasks)."""
+    id, so it is not skewed by busy tasks).
+
+    ``strategy``: ``auto`` splits the tasks by size: tasks with at most ``max_group_events`` events
+    are folded per task in one sorted pass (``applyInPandas``, a bounded group), and hot tasks go
+    through pointer doubling; ``grouped`` / ``doubling`` force one path (``doubling-window`` /
+    ``doubling-chunked`` also fix the successor search)."""
     events = events.dropDuplicates(["event_id"])
+    if strategy == "grouped":
+        return _fold_grouped(events, stale_minutes, strict)
+    if strategy.startswith("doubling"):
+        inner = strategy.split("-", 1)[1] if "-" in strategy else "auto"
+        return _fold_doubling(events, stale_minutes, strict, max_rounds, inner)
+    hot = (events.groupBy("task_id").agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > max_group_events).select("task_id"))
+    if hot.limit(1).count() == 0:
+        return _fold_grouped(events, stale_minutes, strict)
+    cold = _fold_grouped(events.join(hot, "task_id", "left_anti"), stale_minutes, strict)
+    heavy = _fold_doubling(events.join(hot, "task_id", "left_semi"), stale_minutes, strict, max_rounds, "auto")
+    return cold.unionByName(heavy)
+
+
+def _fold_grouped(events: DataFrame, stale_minutes: int, strict: bool) -> DataFrame:
+    """One sorted pass per task with the shared transition table (bounded groups only)."""
+    stale_us = stale_minutes * 60 * 1_000_000
+
+    def fold(pdf):
+        import pandas as pd
+
+        s = new_state()
+        pdf = pdf.sort_values(["ts", "event_id"])
+        ts_us = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
+        workers = pdf["worker_id"].astype(object).where(pdf["worker_id"].notna(), None).tolist()
+        for t, op, w in zip(ts_us, pdf["op"].tolist(), workers):
+            transition(s, op, t, w, stale_us, strict)
+        owned = s["status"] in ("processing", "completed", "failed")
+        done = s["status"] in ("completed", "failed")
+        return pd.DataFrame([{
+            "task_id": pdf["task_id"].iloc[0], "status": s["status"], "worker_id": s["worker"] if owned else None,
+            "started_at": None if s["started_us"] is None else pd.Timestamp(s["started_us"] * 1000),
+            "completed_at": pd.Timestamp(s["completed_us"] * 1000) if done and s["completed_us"] is not None else None,
+            "retry_count": s["retries"], "applied": s["applied"], "rejected": s["rejected"]}])
+
+    return (by_key(events.select("task_id", "event_id", "ts", "op", "worker_id"), "task_id")
+            .groupBy("task_id").applyInPandas(fold, FOLD_SCHEMA))
+
+
+def _fold_doubling(events: DataFrame, stale_minutes: int, strict: bool, max_rounds: int, strategy: str) -> DataFrame:
+    """Successor pointers + pointer doubling (any task size)."""
     s = successors(events, stale_minutes, strict, strategy)
     nodes = s.select(
         "event_id",

@@ -124,3 +124,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if current >= target:
         return df
     return df.repartition(target)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition on ``keys`` into a fixed number of partitions before a Python-heavy grouped
+    step. AQE coalesces small post-shuffle partitions (right for JVM work), which would put all
+    groups of a modest input on one Python worker; an explicit count is kept, and the following
+    ``groupBy`` on the same keys reuses this partitioning (no second shuffle)."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")),
+            df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

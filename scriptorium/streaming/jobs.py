@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import documents as D
+from ..operators.transitions import transition  # noqa: F401  (shared transition table)
 from ..plans.scale import next_match
 from ..session import scratch_path
 
@@ -100,41 +101,6 @@ OUTCOME = T.StructType([
     T.StructField("worker_id", T.StringType()), T.StructField("started_at", T.TimestampNTZType()),
     T.StructField("completed_at", T.TimestampNTZType()), T.StructField("retry_count", T.LongType()),
 ])
-_NEXT = {"submit": "pending", "claim": "processing", "complete": "completed", "fail": "failed",
-         "cancel": "cancelled", "reset": "pending"}
-
-
-def transition(state: dict, op: str, ts_us: int, worker: str | None, stale_us: int, strict: bool = True) -> bool:
-    """One step of the state machine on a mutable state; returns accepted."""
-    st = state["status"]
-    if op == "submit":
-        ok = st is None
-    elif op == "claim":
-        ok = st == "pending"
-    elif op in ("complete", "fail"):
-        ok = st == "processing" and (worker is None or worker == state["worker"])
-    elif op == "cancel":
-        ok = st == "pending" if strict else st is not None
-    elif op == "reset":
-        ok = st == "processing" and state["started_us"] is not None and state["started_us"] < ts_us - stale_us
-    else:
-        ok = False
-    if ok:
-        state["status"] = _NEXT[op]
-        if op == "claim":
-            state["worker"], state["started_us"] = worker, ts_us
-        elif op in ("reset", "cancel", "submit"):
-            state["worker"] = None
-        if op in ("complete", "fail"):
-            state["completed_us"] = ts_us
-        if op == "reset":
-            state["retries"] += 1
-        state["applied"] += 1
-    else:
-        state["rejected"] += 1
-    return ok
-
-
 def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False):
     stale_us = stale_minutes * 60 * 1_000_000
 

@@ -39,12 +39,13 @@ def _brute_fold(rows, stale_minutes=60):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["chunked", "window"])
+@pytest.mark.parametrize("strategy", ["doubling-chunked", "doubling-window", "grouped", "auto"])
 def test_fold_matches_brute_force_under_skew(spark, strategy):
     rows = _events(spark)
     df = spark.createDataFrame(rows, "event_id long, task_id string, ts timestamp_ntz, op string, worker_id string")
+    kw = {"max_group_events": 50} if strategy == "auto" else {}  # auto: the hot task takes the doubling path
     got = {r.task_id: (r.status, r.retry_count, r.applied, r.rejected)
-           for r in fold_transitions(df, strategy=strategy).collect()}
+           for r in fold_transitions(df, strategy=strategy, **kw).collect()}
     assert got == _brute_fold(rows)
 
 
