@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import converters as CV
 from ..operators import documents as D
 from ..operators import ledger as L
-from ..session import load, scratch_path
+from ..session import load, scratch_path, spread
 from ..sources import files as SF
 from ..sources import stores as ST
 from ..streaming import jobs as J
@@ -215,7 +215,7 @@ WHERE n_heading + n_paragraph + n_list_item + n_text > 0""")
 def x3(spark, sf):
     register_explode_blocks(spark)
     view = "pages_" + os.urandom(4).hex()
-    load(spark, sf, "pages").createOrReplaceTempView(view)
+    spread(load(spark, sf, "pages")).createOrReplaceTempView(view)
     return spark.sql(f"""SELECT p.page_id, count(*) AS n_blocks, count_if(b.type = 'heading') AS n_heading
                          FROM {view} p, LATERAL explode_blocks(p.html) b GROUP BY p.page_id""")
 
