@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "G1_queue_stats", "G2_queue_stats_total", "G5_latency_metrics", "B3_list_tasks", "U1_claim_batch",
     "U3_reset_stale", "U2_fold_transitions", "O1_claim_order", "W3_queue_depth", "P1_html_to_blocks",
-    "P2_blocks_to_markdown", "P7_convert_documents", "V1_embed_texts", "V3_cosine_top_k",
+    "P2_blocks_to_markdown", "P7_convert_documents", "V1b_embed_texts_arrow", "V3_cosine_top_k",
     "V6_retrieve_then_rerank", "K3_queue_monitor", "K2_live_ledger", "K6c_topic_retention",
 ]
 
