@@ -62,7 +62,8 @@ def _lines(src="documents", id_="doc_id", col="text") -> str:
     return _LINES_SQL.format(src=src, id=id_, col=col)
 
 
-# HTML block counts by pattern (head, script, style and nav removed first)
+# HTML block counts by pattern (head, script, style and nav removed first); in the title the
+# legacy named references decode with or without their semicolon, as HTML5 specifies
 _HTML_SQL = """hb AS (
   SELECT {id} AS doc_id, {html} AS html,
          regexp_replace(regexp_replace(regexp_replace(regexp_replace({html},
@@ -77,9 +78,10 @@ hcount AS (
          len(regexp_extract_all(body, '<(div|footer)[ >]'))
            + CASE WHEN NOT contains(html, '<') AND regexp_matches(html, '\\S') THEN 1 ELSE 0 END AS n_text,
          trim(regexp_replace(
-           replace(replace(replace(replace(replace(replace(
+           regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
              regexp_replace(regexp_extract(body, '<h1[^>]*>([\\s\\S]*?)</h1>', 1), '<[^>]+>', '', 'g'),
-             '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+             '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'),
+             '&amp;?', '&', 'g'),
            '\\s+', ' ', 'g')) AS title
   FROM hb)"""
 
