@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import documents as D
-from ..operators.transitions import transition  # noqa: F401  (shared transition table)
+from ..operators.transitions import new_state, transition  # shared transition table
 from ..plans.scale import next_match
 from ..session import scratch_path
 
@@ -103,38 +103,43 @@ OUTCOME = T.StructType([
 ])
 def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False):
     stale_us = stale_minutes * 60 * 1_000_000
+    cols = [f.name for f in OUTCOME.fields]
 
-    def _row(eid, key, ts, op, ok, s):
-        return (eid, key, ts, op, ok, s["status"], s["worker"],
-                None if s["started_us"] is None else pd.Timestamp(s["started_us"] * 1000),
-                None if s["completed_us"] is None else pd.Timestamp(s["completed_us"] * 1000), s["retries"])
+    def _frame(recs):
+        out = pd.DataFrame(recs, columns=["event_id", "task_id", "ts_us", "op", "applied", "status", "worker_id",
+                                          "started_us", "completed_us", "retry_count"])
+        for c, src in (("ts", "ts_us"), ("started_at", "started_us"), ("completed_at", "completed_us")):
+            out[c] = pd.to_datetime(pd.to_numeric(out[src], errors="coerce"), unit="us")
+        return out[cols]
 
     def fn(key, pdfs, state):
-        if state.exists:
-            s = dict(zip([f.name for f in _STATE.fields], state.get))
-        else:
-            s = {"status": None, "worker": None, "started_us": None, "completed_us": None,
-                 "retries": 0, "applied": 0, "rejected": 0}
-        rows = []
+        s = dict(zip([f.name for f in _STATE.fields], state.get)) if state.exists else new_state()
+        recs = []
         if state.hasTimedOut:
             # K4: stale timer fired - the task sat in processing past started_at + T
             if s["status"] == "processing":
                 due_us = s["started_us"] + stale_us
                 s.update(status="pending", worker=None, retries=s["retries"] + 1, applied=s["applied"] + 1)
-                rows.append(_row(-1, key[0], pd.Timestamp(due_us * 1000), "timeout_reset", True, s))
+                recs.append((-1, key[0], due_us, "timeout_reset", True, s["status"], s["worker"],
+                             s["started_us"], s["completed_us"], s["retries"]))
         else:
             frames = [p for p in pdfs if not p.empty]
             if frames:
                 ev = pd.concat(frames).sort_values(["ts", "event_id"])
-                for eid, ts, op, w in zip(ev["event_id"], ev["ts"], ev["op"], ev["worker_id"]):
-                    ts_us = int(pd.Timestamp(ts).value // 1000)
-                    ok = transition(s, op, ts_us, None if pd.isna(w) else w, stale_us, strict)
-                    rows.append(_row(eid, key[0], ts, op, ok, s))
+                ts = ev["ts"]
+                if getattr(ts.dt, "tz", None) is not None:
+                    ts = ts.dt.tz_convert("UTC").dt.tz_localize(None)
+                ts_us = ts.astype("datetime64[us]").astype("int64").tolist()
+                workers = ev["worker_id"].astype(object).where(ev["worker_id"].notna(), None).tolist()
+                for eid, t, op, w in zip(ev["event_id"].tolist(), ts_us, ev["op"].tolist(), workers):
+                    ok = transition(s, op, t, w, stale_us, strict)
+                    recs.append((eid, key[0], t, op, ok, s["status"], s["worker"], s["started_us"],
+                                 s["completed_us"], s["retries"]))
         state.update(tuple(s[f.name] for f in _STATE.fields))
         if stale_timer and s["status"] == "processing":
             state.setTimeoutTimestamp(int((s["started_us"] + stale_us) // 1000) + 1)
-        if rows:
-            yield pd.DataFrame(rows, columns=[f.name for f in OUTCOME.fields])
+        if recs:
+            yield _frame(recs)
 
     return fn
 
