@@ -372,10 +372,11 @@ def j2(spark, sf):
 
 
 def worker_results(spark, sf) -> DataFrame:
-    """Worker result messages derived from ``lineitem``: one message per (order, line) for the first
-    two lines of every order (the line table repeats some pairs, so they are merged first and the
-    message id is unique, as the operator requires)."""
-    li = (load(spark, sf, "lineitem").filter(F.col("l_linenumber") <= 2)
+    """Worker result messages derived from ``lineitem``: one message per (order, line) - every line
+    reports on its order's task, so all but the first per task are duplicates (the line table
+    repeats some pairs, so they are merged first and the message id is unique, as the operator
+    requires). Even lines carry no worker id."""
+    li = (load(spark, sf, "lineitem")
           .groupBy("l_orderkey", "l_linenumber")
           .agg(F.min("l_shipdate").alias("l_shipdate"), F.min("l_suppkey").alias("l_suppkey"),
                F.max("l_returnflag").alias("l_returnflag")))
@@ -386,7 +387,7 @@ def worker_results(spark, sf) -> DataFrame:
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("result_id"),
         F.col("l_shipdate").alias("ts"),
         F.when(failed, "failed").otherwise("completed").alias("status"),
-        F.when(F.col("l_linenumber") == 2, F.lit(None).cast("string"))
+        F.when(F.col("l_linenumber") % 2 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("wk-host-"), (s % 3).cast("string"), F.lit("-cuda:"), (s % 2).cast("string"),
                              F.lit("-"), (1000 + s % 7).cast("string"))).alias("worker_id"),
         F.when(~failed, F.concat(F.lit("/out/t"), F.col("l_orderkey").cast("string"))).alias("result_path"),
@@ -395,11 +396,11 @@ def worker_results(spark, sf) -> DataFrame:
 
 
 _RESULTS_SQL = """li AS (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS l_shipdate, min(l_suppkey) AS l_suppkey,
-              max(l_returnflag) AS l_returnflag FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber),
+              max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_linenumber),
 res AS (
   SELECT concat('t', cast(l_orderkey AS varchar)) AS task_id, l_orderkey * 100 + l_linenumber AS result_id,
          l_shipdate AS ts, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'completed' END AS status,
-         CASE WHEN l_linenumber = 2 THEN NULL ELSE 'wk-host-' || cast(l_suppkey % 3 AS varchar) || '-cuda:' ||
+         CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE 'wk-host-' || cast(l_suppkey % 3 AS varchar) || '-cuda:' ||
               cast(l_suppkey % 2 AS varchar) || '-' || cast(1000 + l_suppkey % 7 AS varchar) END AS worker_id
   FROM li)"""
 
