@@ -25,6 +25,7 @@ DEFAULT_PRIORITY = 0
 DEFAULT_OPTIONS = {"lang": "ch", "method": "auto", "formula_enable": True, "table_enable": True}
 OPTIONS_SCHEMA = "lang string, method string, formula_enable boolean, table_enable boolean"
 LIST_LIMIT_DEFAULT, LIST_LIMIT_MAX = 100, 1000
+MAX_BROADCAST_CLAIMS = 1_000_000  # claim rows are ~100 bytes: the hint ships at most ~100 MB
 
 
 def _ts(now) -> Column:
@@ -215,7 +216,9 @@ def claim_batch(tasks: DataFrame, workers: Sequence[str], n: int, now) -> tuple[
               .withColumn("started_at", _ts(now))
               .select("task_id", "claim_rank", "worker_id", "started_at"))
     c = claims.select("task_id", F.col("worker_id").alias("_w"), F.col("started_at").alias("_s"))
-    ledger = (tasks.join(F.broadcast(c), "task_id", "left")  # at most n rows: bounded by the argument
+    # at most n small rows: broadcast them while n is within the bound, else let the planner choose
+    c = F.broadcast(c) if n <= MAX_BROADCAST_CLAIMS else c
+    ledger = (tasks.join(c, "task_id", "left")
               .withColumn("status", F.when(F.col("_w").isNotNull(), "processing").otherwise(F.col("status")))
               .withColumn("worker_id", F.coalesce("_w", "worker_id"))
               .withColumn("started_at", F.when(F.col("_w").isNotNull(), F.col("_s")).otherwise(F.col("started_at")))
