@@ -388,8 +388,7 @@ def queue_depth(tasks: DataFrame) -> DataFrame:
          .unionByName(t.filter(F.col("completed_at").isNotNull())
                       .select(F.date_trunc("minute", "completed_at").alias("minute"), F.lit(0).alias("dp"), F.lit(-1).alias("dr"))))
     m = d.groupBy("minute").agg(F.sum("dp").alias("pending_delta"), F.sum("dr").alias("processing_delta"))
-    m = running_sum(m, [], ["minute"], "pending_delta", "pending_depth")
-    m = running_sum(m, [], ["minute"], "processing_delta", "processing_depth")
+    m = running_sum(m, [], ["minute"], {"pending_depth": "pending_delta", "processing_depth": "processing_delta"})
     return m.select("minute", "pending_delta", "processing_delta", "pending_depth", "processing_depth")
 
 

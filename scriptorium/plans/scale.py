@@ -76,54 +76,64 @@ def _group_ids(keys: pd.DataFrame, prev_key) -> tuple[np.ndarray, bool]:
     return gid, prev_key is not None and first == prev_key
 
 
-def running_sum(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, value_col: str | None,
-                out: str, n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
-    """``out`` = running total of ``value_col`` (1 per row when None) over rows of the same
-    ``part_cols`` in ``order_cols`` order, current row included. ``order_cols`` must be total.
-    ``strategy``: ``auto`` (window when the largest key is small, else chunked), ``window``,
-    ``chunked``."""
+def running_sum(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, value_col, out: str | None = None,
+                n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
+    """Running totals per key in ``order_cols`` order (current row included; the order must be
+    total). ``value_col`` is a column name (result in ``out``), None for a row count, or a dict
+    ``{out: value column}`` to compute several totals in one pass. ``strategy``: ``auto`` (window
+    when the largest key is small, else chunked), ``window`` or ``chunked``."""
+    sums = dict(value_col) if isinstance(value_col, dict) else {out: value_col}
     if use_window(df, part_cols, strategy):
         w = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy(F.lit(0)))
         w = w.orderBy(*[_col(c) for c in order_cols]).rowsBetween(Window.unboundedPreceding, 0)
-        v = F.lit(1).cast("long") if value_col is None else F.coalesce(F.col(value_col).cast("long"), F.lit(0))
-        return df.withColumn(out, F.sum(v).over(w))
+        res = df
+        for o, v in sums.items():
+            val = F.lit(1).cast("long") if v is None else F.coalesce(F.col(v).cast("long"), F.lit(0))
+            res = res.withColumn(o, F.sum(val).over(w))
+        return res
     n = _n_chunks(df, n_chunks)
     order = [_col(c) for c in order_cols]
     parts = [F.col(c) for c in part_cols]
-    val = "_val"
-    src = df.withColumn(val, F.lit(1).cast("long") if value_col is None else F.col(value_col).cast("long"))
+    vals = {o: f"_val{i}" for i, o in enumerate(sums)}
+    src = df
+    for o, v in sums.items():
+        src = src.withColumn(vals[o], F.lit(1).cast("long") if v is None else F.col(v).cast("long"))
     ranged = src.repartitionByRange(n, *parts, *order).sortWithinPartitions(*parts, *order)
-    schema = T.StructType(src.schema.fields + [T.StructField(_CHUNK, T.IntegerType()),
-                                                T.StructField(out, T.LongType())])
+    schema = T.StructType(src.schema.fields + [T.StructField(_CHUNK, T.IntegerType())]
+                          + [T.StructField(o, T.LongType()) for o in sums])
     keys_ = list(part_cols)
 
     def scan(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        prev_key, carry = None, 0
+        prev_key, carry = None, {o: 0 for o in sums}
         for pdf in batches:
             if pdf.empty:
                 continue
             keys = _key_frame(pdf, keys_)
             gid, cont = _group_ids(keys, prev_key)
-            vals = pdf[val].fillna(0).astype("int64")
-            cs = vals.groupby(gid).cumsum().to_numpy()
-            if cont:
-                cs[gid == 0] += carry
-            carry = int(cs[-1])
+            res = pdf.assign(**{_CHUNK: np.int32(pid)})
+            for o in sums:
+                cs = pdf[vals[o]].fillna(0).astype("int64").groupby(gid).cumsum().to_numpy()
+                if cont:
+                    cs[gid == 0] += carry[o]
+                carry[o] = int(cs[-1])
+                res[o] = cs
             prev_key = tuple(keys.iloc[-1]) if keys_ else ()
-            yield pdf.assign(**{_CHUNK: np.int32(pid), out: cs})
+            yield res
 
     # Range bounds come from sampling and differ between jobs, so the chunked scan is written once
     # (reliable checkpoint in the shared folder) and both the rows and the chunk totals read it.
     scanned = cut_lineage(ranged.mapInPandas(scan, schema))
-    totals = scanned.groupBy(*keys_, _CHUNK).agg(F.sum(val).alias("_tot"))
+    totals = scanned.groupBy(*keys_, _CHUNK).agg(*[F.sum(vals[o]).alias(f"_tot_{o}") for o in sums])
     before = Window.partitionBy(*keys_).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*keys_, _CHUNK, F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_base"))
-    return (scanned.join(base, [*keys_, _CHUNK])
-            .withColumn(out, F.col(out) + F.col("_base"))
-            .drop("_base", _CHUNK, val))
+    base = totals.select(*keys_, _CHUNK, *[F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_base_{o}")
+                                           for o in sums])
+    res = scanned.join(base, [*keys_, _CHUNK])
+    for o in sums:
+        res = res.withColumn(o, F.col(o) + F.col(f"_base_{o}"))
+    return res.drop(_CHUNK, *vals.values(), *[f"_base_{o}" for o in sums])
 
 
 def running_count(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, out: str,

@@ -86,3 +86,16 @@ def test_topic_offsets_dense_per_partition(spark):
                                      F.countDistinct("offset").alias("d")).collect()
     for r in agg:
         assert r.lo == 0 and r.hi == r.n - 1 and r.d == r.n
+
+
+@pytest.mark.parametrize("strategy", ["chunked", "window"])
+def test_several_running_sums_in_one_pass(spark, strategy):
+    rows = [("k" if i % 5 else "j", i, i % 7, 1 - (i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o long, a long, b long")
+    got = {r.o: (r.sa, r.sb) for r in running_sum(df, ["k"], ["o"], {"sa": "a", "sb": "b"}, n_chunks=6,
+                                                   strategy=strategy).collect()}
+    acc = {}
+    for k, o, a, b in rows:
+        sa, sb = acc.get(k, (0, 0))
+        acc[k] = (sa + a, sb + b)
+        assert got[o] == acc[k]
