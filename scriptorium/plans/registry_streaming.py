@@ -67,6 +67,24 @@ def k8b(spark, sf):
     return spark.read.parquet(out)
 
 
+@register("K7b_wait_deadline_stream", """
+WITH s AS (SELECT task_id, min(ts) FILTER (WHERE op = 'submit') AS submitted_at FROM task_events GROUP BY task_id),
+t AS (SELECT e.task_id, min(e.ts) AS terminal_at FROM task_events e JOIN s ON e.task_id = s.task_id
+      WHERE e.op IN ('complete', 'fail', 'cancel') AND e.ts >= s.submitted_at GROUP BY e.task_id)
+SELECT s.task_id, s.submitted_at,
+       CASE WHEN coalesce(t.terminal_at - s.submitted_at <= INTERVAL 600 SECOND, false) THEN 'reached' ELSE 'timeout' END AS outcome
+FROM s LEFT JOIN t ON s.task_id = t.task_id
+WHERE s.submitted_at IS NOT NULL
+  AND (t.terminal_at IS NOT NULL
+       OR s.submitted_at + INTERVAL 600 SECOND < (SELECT max(ts) FROM task_events) - INTERVAL 10 MINUTE)""", ("task_events",))
+def k7b(spark, sf):
+    src = J.stage(fx.task_events(spark, sf), "deadline-events")
+    out, ck = scratch_path(spark, "k7-out"), scratch_path(spark, "k7-ckpt")
+    stream = J.wait_deadline_stream(J.file_stream(spark, src, spark.read.parquet(src).schema), 600)
+    J.run_available_now(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck))
+    return spark.read.parquet(out)
+
+
 @register("K6a_message_size_guard", """
 SELECT key, partition, "offset", cast(strlen(value) AS int) AS size,
        CASE WHEN strlen(value) > 5242880 THEN 'dead_letter' ELSE 'ok' END AS route FROM topic""", ("topic",))
