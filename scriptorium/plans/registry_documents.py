@@ -143,9 +143,17 @@ def p3(spark, sf):
                      F.md5(F.array_join(F.transform("content_list", lambda b: b["text"]), "\u0001")).alias("text_md5"))
 
 
-@register("P4_middle_json")
+@register("P4_middle_json", f"""
+WITH {_lines()}
+SELECT doc_id, cast(max(block_idx) // 20 + 1 AS int) AS n_pages, cast(count(*) AS int) AS n_blocks, true AS valid_json
+FROM tblocks GROUP BY doc_id""")
 def p4(spark, sf):
-    return D.middle_json(_doc_blocks(spark, sf), page_size=20)
+    m = D.middle_json(_doc_blocks(spark, sf), page_size=20)
+    # the JSON text is engine-formatted: check its structure (pages, blocks) and that it parses
+    parsed = F.from_json("middle_json", "doc_id long, pages array<struct<page_idx int, blocks array<struct<block_idx int>>>>")
+    return m.select("doc_id", "n_pages",
+                    F.aggregate(parsed["pages"], F.lit(0), lambda acc, p: acc + F.size(p["blocks"])).alias("n_blocks"),
+                    (parsed.isNotNull() & (parsed["doc_id"] == F.col("doc_id"))).alias("valid_json"))
 
 
 def _slice_params(spark, sf):
