@@ -94,6 +94,8 @@ _STATE = T.StructType([
     T.StructField("retries", T.LongType()), T.StructField("applied", T.LongType()),
     T.StructField("rejected", T.LongType()),
 ])
+# event-time mode keeps not-yet-due events of a task as JSON text next to the state
+_STATE_BUF = T.StructType(_STATE.fields + [T.StructField("buf", T.StringType())])
 OUTCOME = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("task_id", T.StringType()),
     T.StructField("ts", T.TimestampNTZType()), T.StructField("op", T.StringType()),
@@ -101,9 +103,12 @@ OUTCOME = T.StructType([
     T.StructField("worker_id", T.StringType()), T.StructField("started_at", T.TimestampNTZType()),
     T.StructField("completed_at", T.TimestampNTZType()), T.StructField("retry_count", T.LongType()),
 ])
-def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False):
+def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False, event_time: bool = False):
+    import json
+
     stale_us = stale_minutes * 60 * 1_000_000
     cols = [f.name for f in OUTCOME.fields]
+    names = [f.name for f in (_STATE_BUF if event_time else _STATE).fields]
 
     def _frame(recs):
         out = pd.DataFrame(recs, columns=["event_id", "task_id", "ts_us", "op", "applied", "status", "worker_id",
@@ -112,32 +117,54 @@ def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False):
             out[c] = pd.to_datetime(pd.to_numeric(out[src], errors="coerce"), unit="us")
         return out[cols]
 
+    def _events(pdfs):
+        frames = [p for p in pdfs if not p.empty]
+        if not frames:
+            return []
+        ev = pd.concat(frames)
+        ts = ev["ts"]
+        if getattr(ts.dt, "tz", None) is not None:
+            ts = ts.dt.tz_convert("UTC").dt.tz_localize(None)
+        workers = ev["worker_id"].astype(object).where(ev["worker_id"].notna(), None).tolist()
+        return list(zip(ev["event_id"].tolist(), ts.astype("datetime64[us]").astype("int64").tolist(),
+                        ev["op"].tolist(), workers))
+
     def fn(key, pdfs, state):
-        s = dict(zip([f.name for f in _STATE.fields], state.get)) if state.exists else new_state()
+        s = dict(zip(names, state.get)) if state.exists else {**new_state(), "buf": "[]"}
         recs = []
-        if state.hasTimedOut:
-            # K4: stale timer fired - the task sat in processing past started_at + T
-            if s["status"] == "processing":
-                due_us = s["started_us"] + stale_us
-                s.update(status="pending", worker=None, retries=s["retries"] + 1, applied=s["applied"] + 1)
-                recs.append((-1, key[0], due_us, "timeout_reset", True, s["status"], s["worker"],
-                             s["started_us"], s["completed_us"], s["retries"]))
+
+        def apply(batch):
+            for eid, t, op, w in sorted(batch, key=lambda e: (e[1], e[0])):
+                ok = transition(s, op, t, w, stale_us, strict)
+                recs.append((eid, key[0], t, op, ok, s["status"], s["worker"], s["started_us"],
+                             s["completed_us"], s["retries"]))
+
+        if event_time:
+            # buffer until the watermark passes, then apply in event-time order
+            buf = [tuple(e) for e in json.loads(s.get("buf") or "[]")]
+            if not state.hasTimedOut:
+                buf += _events(pdfs)
+            wm_us = state.getCurrentWatermarkMs() * 1000
+            due = [e for e in buf if e[1] <= wm_us]
+            rest = [e for e in buf if e[1] > wm_us]
+            apply(due)
+            s["buf"] = json.dumps(rest)
+            state.update(tuple(s[n] for n in names))
+            if rest:
+                state.setTimeoutTimestamp(min(e[1] for e in rest) // 1000)
         else:
-            frames = [p for p in pdfs if not p.empty]
-            if frames:
-                ev = pd.concat(frames).sort_values(["ts", "event_id"])
-                ts = ev["ts"]
-                if getattr(ts.dt, "tz", None) is not None:
-                    ts = ts.dt.tz_convert("UTC").dt.tz_localize(None)
-                ts_us = ts.astype("datetime64[us]").astype("int64").tolist()
-                workers = ev["worker_id"].astype(object).where(ev["worker_id"].notna(), None).tolist()
-                for eid, t, op, w in zip(ev["event_id"].tolist(), ts_us, ev["op"].tolist(), workers):
-                    ok = transition(s, op, t, w, stale_us, strict)
-                    recs.append((eid, key[0], t, op, ok, s["status"], s["worker"], s["started_us"],
-                                 s["completed_us"], s["retries"]))
-        state.update(tuple(s[f.name] for f in _STATE.fields))
-        if stale_timer and s["status"] == "processing":
-            state.setTimeoutTimestamp(int((s["started_us"] + stale_us) // 1000) + 1)
+            if state.hasTimedOut:
+                # K4: stale timer fired - the task sat in processing past started_at + T
+                if s["status"] == "processing":
+                    due_us = s["started_us"] + stale_us
+                    s.update(status="pending", worker=None, retries=s["retries"] + 1, applied=s["applied"] + 1)
+                    recs.append((-1, key[0], due_us, "timeout_reset", True, s["status"], s["worker"],
+                                 s["started_us"], s["completed_us"], s["retries"]))
+            else:
+                apply(_events(pdfs))
+            state.update(tuple(s[n] for n in names))
+            if stale_timer and s["status"] == "processing":
+                state.setTimeoutTimestamp(int((s["started_us"] + stale_us) // 1000) + 1)
         if recs:
             yield _frame(recs)
 
@@ -145,22 +172,29 @@ def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False):
 
 
 def live_ledger(events: DataFrame, stale_minutes: int = 60, strict: bool = True, stale_timer: bool = False,
-                watermark: str = "10 minutes") -> DataFrame:
-    """K2/K4/K5: per-event outcome of the state machine, state kept per task across micro-batches
-    (O(1) per task). Events are applied in (ts, event_id) order within a micro-batch; a late
-    completion after a reset or re-claim is rejected by the same guard as in batch (K5).
-    Redelivered events (same ``event_id``) are dropped within the watermark, so the dedupe state
-    stays bounded.
-
-    With ``stale_timer`` (K4) an event-time timer resets a task that stays in processing past
-    ``started_at + stale_minutes`` without waiting for a reset event. Event time is cast to
-    TIMESTAMP for the watermark and outcome times are cast back."""
+                watermark: str = "10 minutes", order: str = "arrival") -> DataFrame:
+    """K2/K4/K5: per-event outcome of the state machine, state kept per task across micro-batches.
+    A late completion after a reset or re-claim is rejected by the same guard as in batch (K5).
+    Redelivered events (same ``event_id``) are dropped within the watermark.
+
+    ``order="arrival"`` (default): events are applied as they arrive, sorted by (ts, event_id)
+    within a micro-batch; O(1) state per task. ``order="event_time"``: events are buffered in the
+    task's state until the watermark passes them and are then applied in event-time order, so
+    out-of-order arrival within the watermark delay gives the batch result; the buffer is bounded by
+    the task's events within that delay. With ``stale_timer`` (K4, arrival order) an event-time timer
+    resets a task that stays in processing past ``started_at + stale_minutes``."""
+    if order not in ("arrival", "event_time"):
+        raise ValueError(f"unknown order {order}")
+    if order == "event_time" and stale_timer:
+        raise ValueError("stale_timer is supported with order='arrival'")
     ev = events.withColumn("ts", _ltz("ts")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
     out_ltz = T.StructType([T.StructField(f.name, T.TimestampType() if f.dataType == T.TimestampNTZType() else f.dataType)
                             for f in OUTCOME.fields])
-    timeout = GroupStateTimeout.EventTimeTimeout if stale_timer else GroupStateTimeout.NoTimeout
+    event_time = order == "event_time"
+    timeout = GroupStateTimeout.EventTimeTimeout if (stale_timer or event_time) else GroupStateTimeout.NoTimeout
     res = (ev.groupBy("task_id")
-           .applyInPandasWithState(_ledger_fn(stale_minutes, strict, stale_timer), out_ltz, _STATE, "append", timeout))
+           .applyInPandasWithState(_ledger_fn(stale_minutes, strict, stale_timer, event_time), out_ltz,
+                                   _STATE_BUF if event_time else _STATE, "append", timeout))
     return res.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType == T.TimestampNTZType()
                         else F.col(f.name) for f in OUTCOME.fields])
 
