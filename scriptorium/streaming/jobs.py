@@ -52,6 +52,14 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str
     return r.parquet(path)
 
 
+def _quiet_workers() -> None:
+    """pandas warns (FutureWarning) when PySpark's state serializer concatenates the empty frames
+    of groups that emit nothing; harmless, but one line per group in the executor logs."""
+    import warnings
+
+    warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark")
+
+
 def _ltz(c: str):
     return F.col(c).cast("timestamp")
 
@@ -130,6 +138,7 @@ def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False, even
                         ev["op"].tolist(), workers))
 
     def fn(key, pdfs, state):
+        _quiet_workers()
         s = dict(zip(names, state.get)) if state.exists else {**new_state(), "buf": "[]"}
         recs = []
 
@@ -292,6 +301,7 @@ def _deadline_fn(seconds: int):
     limit_us = seconds * 1_000_000
 
     def fn(key, pdfs, state):
+        _quiet_workers()
         sub, done = state.get if state.exists else (None, False)
         out = []
         if state.hasTimedOut:
