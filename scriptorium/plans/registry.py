@@ -7,30 +7,15 @@ operators themselves return the native types.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators.transitions import fold_transitions
 from ..session import load
 from . import fixtures as fx
-from .oracle import AS_OF_SQL, with_views
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(key: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    def deco(fn: Query) -> Query:
-        QUERIES[key] = fn
-        if sql is not None:
-            ORACLE[key] = with_views(sql, *views)
-        return fn
-    return deco
-
+from .catalog import ORACLE, QUERIES, Query, register  # noqa: F401  (re-exported)
+from .oracle import AS_OF_SQL
 
 AS_OF = fx.AS_OF
 

@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import documents as D
 from ..session import load
 from . import fixtures as fx
-from .registry import register
+from .catalog import register
 
 PAGE_OFFSET = 1_000_000_000_000  # pages and documents share one id space in docs_in
 

@@ -9,7 +9,7 @@ from ..operators import ledger as L
 from ..session import load
 from . import fixtures as fx
 from .oracle import AS_OF_SQL
-from .registry import register
+from .catalog import register
 from .registry_documents import BUCKET, ENDPOINT, _suffix
 
 _NAME = "file_name"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..session import load
-from .registry import register
+from .catalog import register
 
 K_RETRIEVE, N_RERANK = 10, 3
 

@@ -15,7 +15,8 @@ from ..sources import files as SF
 from ..sources import stores as ST
 from ..streaming import jobs as J
 from . import fixtures as fx
-from .registry import FOLD_SQL, register
+from .catalog import register
+from .registry import FOLD_SQL
 from .registry_documents import _P7_SQL, _html, docs_in
 
 NOW_TOPIC = "2024-01-31 00:00:00"
