@@ -20,7 +20,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are expected to have the lowest severity grade."""
-    return severity.keep_clean(docs, severity.fit(docs, severity.grade_labels(docs, load(spark, sf_dir, "labels"))))
+    return severity.keep_clean(docs, severity.fit_toxic(docs, load(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ WIDTH = 5
 _INNER = bytes(range(0x80, 0xC0))  # UTF-8 continuation bytes: one byte is left for each code point
 _UPPER, _DIGIT, _MARK = bytes(range(65, 91)), bytes(range(48, 58)), b"!?"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
-          "n_digits", "n_marks", "n_distinct")
+          "n_digits", "n_marks", "n_distinct", "n_echoes")
 #: Labelled documents that a fit reads at most (in expectation); about 1 MB on the driver.
 MAX_LABELLED = 20_000
 
@@ -61,7 +62,7 @@ def counts(text: bytes) -> tuple[int, ...]:
     """``COUNTS`` of one whole text."""
     words = text.split()
     if not words:
-        return (0, 0, len(text) - len(text.translate(None, SYMBOLS)), *[0] * 7)
+        return (0, 0, len(text) - len(text.translate(None, SYMBOLS)), *[0] * 8)
     seen: set[bytes] = set()
     lines = dup = 0
     for line in text.split(b"\n"):
@@ -74,7 +75,7 @@ def counts(text: bytes) -> tuple[int, ...]:
     size = len(text)
     less = [size - len(text.translate(None, x)) for x in (SYMBOLS, _UPPER, _DIGIT, _MARK)]
     return (len(words), len(text.translate(None, WHITE + _INNER)), less[0], dup, repeated_words(words), lines,
-            less[1], less[2], less[3], len(set(words)))
+            less[1], less[2], less[3], len(set(words)), sum(map(eq, words, words[1:])))
 
 
 def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, dict]:
@@ -99,7 +100,8 @@ def features(names: dict) -> dict[str, Column]:
     return {"words": c["n_words"], "word_length": rate("word_chars", "n_words"), "symbols": rate("n_symbols", "word_chars"),
             "dup_lines": rate("n_dup_lines", "n_lines"), "repeats": rate("n_repeat_words", "n_words"),
             "upper": rate("n_upper", "word_chars"), "digits": rate("n_digits", "word_chars"),
-            "marks": rate("n_marks", "word_chars"), "distinct": rate("n_distinct", "n_words")}
+            "marks": rate("n_marks", "word_chars"), "distinct": rate("n_distinct", "n_words"),
+            "echoes": rate("n_echoes", "n_words")}
 
 
 def base_failed(names: dict) -> Column:
@@ -158,7 +160,7 @@ def _grow(x: dict, bad: np.ndarray, cuts: dict[str, np.ndarray], most: int) -> l
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7, max_rules: int = 12, max_conditions: int = 4,
-          min_precision: float = 0.9, min_cover: int = 3, cutoffs: int = 64) -> list[Rule]:
+          min_precision: float = 0.9, min_cover: int = 2, cutoffs: int = 64) -> list[Rule]:
     """Sequential covering: grow a conjunction on two thirds of what no rule covers yet, prune its
     last conditions on the other third, accept it while the pruning third finds it precise."""
     rules: list[Rule] = []

@@ -191,6 +191,6 @@ FROM p LEFT JOIN d USING (page_id)"""
 @_query
 def op10_toxicity(spark, sf):
     docs = load(spark, sf, "documents")
-    model = severity.fit(docs, severity.grade_labels(docs, load(spark, sf, "labels")))
+    model = severity.fit_toxic(docs, load(spark, sf, "labels"))
     out = severity.severity(docs, model, keep=["doc_id"], names=["expected_severity", "p_toxic", "grade"])
     return out.withColumn("toxic", F.col("p_toxic") >= 0.5)

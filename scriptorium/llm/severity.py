@@ -1,7 +1,7 @@
 """Operator 10, toxicity: cumulative-link ordinal regression on sparse text features.
 
 P(grade >= k) = sigmoid(score - cutoff_k): one weight per feature, shared by all ordered cutoffs.
-Features are hashed lower-case words and word beginnings (5 and 4 letters), each as log(1 + count).
+Features are hashed lower-case words and word beginnings (5 and 4 letters), each as log2(1 + count).
 Every step of a fit reads a bounded, documented sample of labelled rows; scoring reads whole texts.
 
 Defined results: a null, empty or word-free text has no features and gets the score 0; repeated rows
@@ -15,6 +15,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BITS = 22
 #: Labelled documents that a fit reads at most (in expectation), and features that it keeps at most.
 MAX_LABELLED, MAX_FEATURES = 20_000, 8_192
-MIN_DOCS = 4
+MIN_DOCS, MIN_SHARE = 4, 0.005  # of the documents above the lowest grade, that hold a feature
 _MEMO: dict[str, tuple[int, ...]] = {}
 _MEMO_MOST = 200_000
 
@@ -62,7 +63,7 @@ class Severity:
     cutoffs: list[float] = field(default_factory=lambda: [math.inf])
 
     def score(self, text: str) -> float:
-        return sum(w * math.log1p(n) for k, n in _hits(text, self._by_word()).items() if (w := self.weights[k]))
+        return sum(w * math.log2(1 + n) for k, n in _hits(text, self._by_word()).items() if (w := self.weights[k]))
 
     def _by_word(self) -> "_Lookup":
         if not hasattr(self, "_lookup"):
@@ -103,30 +104,30 @@ def _hits(text: str, lookup: _Lookup) -> dict[int, int]:
 def select_features(sample: DataFrame, min_docs: int = MIN_DOCS, most: int = MAX_FEATURES) -> list[int]:
     """Features with the strongest association with a grade above the lowest: document frequencies
     by Spark over the labelled sample (``text``, ``grade``), then at most ``most`` rows to the driver."""
+    total = sample.agg(F.count_if(F.col("grade") > 0).alias("p"), F.count_if(F.col("grade") == 0).alias("n")).first()
+    if not total.p or not total.n:
+        return []
 
     def run(column: pa.Array) -> list:
         return [pa.array([list(feature_counts(t)) for t in as_text(column)], pa.list_(pa.int32()))]
 
     listed = arrow_columns(sample, "text", run, "keys array<int>", keep=["grade"])
-    total = listed.agg(F.count_if(F.col("grade") > 0).alias("p"), F.count_if(F.col("grade") == 0).alias("n")).first()
-    if not total.p or not total.n:
-        return []
     rate = (F.col("p") / F.lit(float(total.p))) / ((F.col("n") + F.lit(0.5)) / F.lit(float(total.n)))
     found = (listed.select("grade", F.explode("keys").alias("key")).groupBy("key")
              .agg(F.count_if(F.col("grade") > 0).alias("p"), F.count_if(F.col("grade") == 0).alias("n"))
-             .where((F.col("p") >= min_docs) & (rate > 4)).withColumn("gain", F.col("p") * F.log(rate))
+             .where((F.col("p") >= max(min_docs, MIN_SHARE * total.p)) & (rate > 8)).withColumn("gain", F.col("p") * F.log(rate))
              .orderBy(F.desc("gain"), "key").limit(most).select("key"))
     return sorted(r.key for r in found.collect())
 
 
-def train(rows: list[dict[int, int]], grades: np.ndarray, chosen: list[int], n_grades: int, penalty: float = 2e-3,
+def train(rows: list[dict[int, int]], grades: np.ndarray, chosen: list[int], n_grades: int, penalty: float = 3e-5,
           steps: int = 600, rate: float = 0.1) -> Severity:
     """Maximum penalised likelihood of the proportional-odds model, by Adam on sparse rows."""
     at = {k: i for i, k in enumerate(chosen)}
     r, c, v = [], [], []
     for i, row in enumerate(rows):
         for k, n in row.items():
-            r.append(i), c.append(at[k]), v.append(math.log1p(n))
+            r.append(i), c.append(at[k]), v.append(math.log2(1 + n))
     r, c, v = np.array(r, int), np.array(c, int), np.array(v, float)
     m, k, y = len(rows), n_grades, grades
     share = np.array([max((y >= j).mean(), 1 / (m + 1)) for j in range(1, k)])
@@ -147,16 +148,18 @@ def train(rows: list[dict[int, int]], grades: np.ndarray, chosen: list[int], n_g
             g_cut[j - 1] = (-(slope[:, j] / here)[y == j]).sum() + ((slope[:, j] / here)[y == j - 1]).sum()
         grad = np.concatenate((np.bincount(c, v * g_score[r], d), [g_cut.sum()],
                                [g_cut[j:].sum() * gaps[j - 1] for j in range(1, k - 1)])) / m
-        grad[:d] -= penalty * w / 10
+        grad[:d] -= penalty * w
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad * grad
         theta = theta + rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(var / (1 - 0.999 ** step)) + 1e-8)
     cutoff = theta[d] + np.concatenate(([0.0], np.cumsum(np.exp(theta[d + 1:]))))
     return Severity({f: float(w) for f, w in zip(chosen, theta[:d], strict=True)}, [float(x) for x in cutoff])
 
 
-def fit(docs: DataFrame, graded: DataFrame, max_labelled: int = MAX_LABELLED, **options) -> Severity:
+def fit(docs: DataFrame, graded: DataFrame, max_labelled: int = MAX_LABELLED,
+        regrade: Callable[[int, int, int], int] | None = None, **options) -> Severity:
     """Fit on documents joined with ``graded`` (doc_id, grade 0, 1, ...), at most about
-    ``max_labelled`` of them. The ids are broadcast: their number is bounded by that parameter."""
+    ``max_labelled`` of them. The ids are broadcast: their number is bounded by that parameter.
+    ``regrade`` (grade, words with a chosen feature, words) may refine the grades above the lowest."""
     one = (graded.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id")
            .agg(F.max("grade").cast("int").alias("grade")))
     ids = bounded(one, F.col("doc_id"), max_labelled)
@@ -164,18 +167,32 @@ def fit(docs: DataFrame, graded: DataFrame, max_labelled: int = MAX_LABELLED, **
     chosen = select_features(sample)
     if not chosen:
         return Severity()
-    wanted = set(chosen)
+    lookup = _Lookup(dict.fromkeys(chosen, 1.0))
 
     def run(column: pa.Array) -> list:
-        rows = [{k: n for k, n in feature_counts(t).items() if k in wanted} for t in as_text(column)]
-        return [pa.array([sorted(x) for x in rows], pa.list_(pa.int32())),
-                pa.array([[x[k] for k in sorted(x)] for x in rows], pa.list_(pa.int32()))]
-
-    rows = sorted(arrow_columns(sample, "text", run, "keys array<int>, n array<int>", keep=["doc_id", "grade"]).collect())
-    grades = np.array([r.grade for r in rows])
+        texts = as_text(column)
+        rows = [_hits(t, lookup) for t in texts]
+        words = [[w for w in WORD.findall(t.lower())] if r else [] for t, r in zip(texts, rows)]
+        return [pa.array([list(x) for x in rows], pa.list_(pa.int32())), pa.array([list(x.values()) for x in rows], pa.list_(pa.int32())),
+                pa.array([sum(bool(lookup[w]) for w in ws) for ws in words], pa.int32()), pa.array([len(ws) for ws in words], pa.int32())]
+
+    found = arrow_columns(sample, "text", run, "keys array<int>, n array<int>, marked int, words int", keep=["doc_id", "grade"])
+    rows = sorted(found.collect())
+    grades = np.array([r.grade if regrade is None or not r.grade else regrade(r.grade, r.marked, r.words) for r in rows])
     return train([dict(zip(r["keys"], r["n"])) for r in rows], grades, chosen, int(grades.max()) + 1, **options)
 
 
+def by_count(least: int = 4) -> Callable[[int, int, int], int]:
+    """Grade 2 where ``least`` words or more mark toxic documents, else 1."""
+    return lambda grade, marked, words: 2 if marked >= least else 1
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Severity:
+    """Fit on the 0/1 column ``toxic``: grade 0 for clean documents, 1 or 2 by the
+    number of words that mark toxic ones for the others."""
+    return fit(docs, labels.select("doc_id", F.col("toxic").alias("grade")), max_labelled, by_count())
+
+
 def severity(docs: DataFrame, model: Severity, text: str = "text", keep: list[str] | None = None,
              names: list[str] | None = None) -> DataFrame:
     """``docs`` with ``expected_severity`` (sum of P(grade >= k)), ``p_toxic`` (P(grade >= 1)) and
@@ -190,27 +207,6 @@ def severity(docs: DataFrame, model: Severity, text: str = "text", keep: list[st
     return arrow_columns(docs, text, run, "expected_severity double, p_toxic double, grade int", names, keep)
 
 
-def grade_labels(docs: DataFrame, labels: DataFrame, per_words: float = 0.02, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Grades from the 0/1 column ``toxic``: 0 for clean, 2 for toxic documents in which words that
-    only toxic documents use make up ``per_words`` of the words or more, 1 for the others."""
-    one = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id")
-           .agg(F.max("toxic").cast("int").alias("grade")))
-    ids = bounded(one, F.col("doc_id"), max_labelled)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    marks = set(select_features(sample))
-
-    def run(column: pa.Array) -> list:
-        out = []
-        for t in as_text(column):
-            words = WORD.findall(t.lower())
-            out.append(sum(any(k in marks for k in keys(w)) for w in words) / max(1, len(words)))
-        return [pa.array(out, pa.float64())]
-
-    dense = arrow_columns(sample, "text", run, "density double", keep=["doc_id", "grade"])
-    return dense.select("doc_id", F.when((F.col("grade") > 0) & (F.col("density") >= per_words), F.lit(2))
-                        .otherwise(F.col("grade")).alias("grade"))
-
-
 def keep_clean(docs: DataFrame, model: Severity, most: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose P(grade >= 1) is below ``most``, with the columns of ``docs``."""
     names = [fresh(docs, n) for n in ("expected_severity", "p_toxic", "grade")]
