@@ -74,7 +74,7 @@ class Severity:
         return {"weights": self.weights, "cutoffs": self.cutoffs}
 
     def at_least(self, score: float) -> list[float]:
-        return [1 / (1 + math.exp(min(700.0, max(-700.0, c - score)))) for c in self.cutoffs]
+        return [0.0 if math.isinf(c) else 1 / (1 + math.exp(min(700.0, max(-700.0, c - score)))) for c in self.cutoffs]
 
 
 class _Lookup(dict):

@@ -10,7 +10,7 @@ Boundary context. The pattern looks at most one character past the end of a matc
 white space by the character after it. So a leaf stands if it ends two characters or more before an edit,
 and scanning on from the last standing leaf may stop as soon as it cuts where an old leaf began.
 
-Defined results: a null text is empty, with no leaves; edits are (start, length, text) in code points of
+Defined results: a null text is empty, with no leaves; strings of special tokens are ordinary text; edits are (start, length, text) in code points of
 the text as it is by then, taken in order, with start and length clipped to the text and nulls read as 0
 and empty; a null or empty list of edits changes nothing; repeated rows are counted each; extra columns
 pass through ``build_trees``.
