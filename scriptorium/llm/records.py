@@ -5,7 +5,8 @@ A file is a run of frames, all numbers little-endian:
     length uint64 | masked checksum of the length uint32 | payload | masked checksum of the payload uint32
 
 with the CRC-32 of zlib, masked as ((crc >> 15 | crc << 17) + 0xA282EAD8) mod 2^32, so that the checksum
-of data which holds checksums stays useful. A payload is flag uint8 (1: id given), id int64, ids uint32 ....
+of data which holds checksums stays useful. A payload is flag uint8 (1: id given), width uint8 (bytes of an
+id: 2 if the vocabulary's ids fit, else 4), id int64, ids unsigned ....
 The index is a Parquet table with a row per record (file, offset, size, id, ids before it in its file), so
 readers can deal records out anew, in any order, and fetch each by offset.
 
@@ -22,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +31,11 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import arrow_columns
-from .tokens import WORDS, Memo, is_plain, pack, pieces, plain_tokenizer, spelled
+from .tokens import WORDS, Memo, pieces, plain_tokenizer, spelled
 
 # fixed values of the file format
 MASK = 0xA282EAD8
-HEAD, SUM, KEY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
+HEAD, SUM, KEY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BBq")
 INDEX = "file string, offset bigint, size bigint, doc_id bigint, before bigint, n_tokens bigint"
 
 
@@ -47,14 +49,15 @@ def frame(body: bytes) -> bytes:
     return b"".join((length, SUM.pack(masked(length)), body, SUM.pack(masked(body))))
 
 
-def payload(doc_id: int | None, ids: bytes) -> bytes:
-    return KEY.pack(doc_id is not None, doc_id or 0) + ids
+def payload(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    return KEY.pack(doc_id is not None, width, doc_id or 0) + ids
 
 
 def parts(data: bytes) -> tuple[int | None, bytes]:
-    """(doc_id, ids) of a payload."""
-    given, key = KEY.unpack_from(data)
-    return (key if given else None), data[KEY.size:]
+    """(doc_id, ids as unsigned 32-bit integers) of a payload."""
+    given, width, key = KEY.unpack_from(data)
+    ids = data[KEY.size:]
+    return (key if given else None), ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
 def unframe(data: bytes) -> bytes:
@@ -75,11 +78,16 @@ class Encoder:
     def __init__(self, content: str):
         self.library = plain_tokenizer(content)
         self.model = self.library.model
-        self.ids = Memo(lambda w: pack([t.id for t in self.model.tokenize(spelled(w))]))
+        self.width = 2 if max(self.library.get_vocab().values(), default=0) < 1 << 16 else 4
+        self.ids = Memo(lambda w: self.pack([t.id for t in self.model.tokenize(spelled(w))]))
+
+    def pack(self, ids: list[int]) -> bytes:
+        """The ids as they are stored (numpy raises an error for one that does not fit)."""
+        return np.array(ids, f"<u{self.width}").tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join([b"".join(map(self.ids.__getitem__, WORDS.findall(piece.lower()))) if plain
-                         else pack(self.library.encode(piece, add_special_tokens=False).ids)
+                         else self.pack(self.library.encode(piece, add_special_tokens=False).ids)
                          for plain, piece in pieces(text)])
 
 
@@ -112,13 +120,14 @@ def write_records(docs: DataFrame, shared: Broadcast, path: str, end_id: int = 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, *by).sortWithinPartitions(*by, "text")
-    folder, end = f"{path}/records", pack([end_id])
+    folder = f"{path}/records"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(folder)
         name = f"part-{TaskContext.get().partitionId():06d}.rec"
         draft, out, offset, before = f"{top}/_{name}-{uuid.uuid4().hex}", None, 0, 0
         enc = encoder(shared)
+        end, width = enc.pack([end_id]), enc.width
         for batch in batches:
             if out is None and batch.num_rows:
                 store.create_dir(top, recursive=True)
@@ -126,10 +135,10 @@ def write_records(docs: DataFrame, shared: Broadcast, path: str, end_id: int = 2
             at, sizes, keys, starts, tokens = [], [], batch.column(0).to_pylist(), [], []
             for key, text in zip(keys, batch.column(1)):
                 ids = enc.encode(text.as_py() or "") + end
-                got = frame(payload(key, ids))
+                got = frame(payload(key, ids, width))
                 out.write(got)
-                at.append(offset), sizes.append(len(got)), starts.append(before), tokens.append(len(ids) // 4)
-                offset, before = offset + len(got), before + len(ids) // 4
+                at.append(offset), sizes.append(len(got)), starts.append(before), tokens.append(len(ids) // width)
+                offset, before = offset + len(got), before + len(ids) // width
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(at), pa.string()), *(pa.array(x, pa.int64()) for x in (at, sizes, keys, starts, tokens))],
                 names=["file", "offset", "size", "doc_id", "before", "n_tokens"])
