@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import arrow_columns, as_text, fresh
-from .tokens import Memo, plain_tokenizer, spelled
+from .common import arrow_columns, fresh
+from .tokens import MOST, Memo, plain_tokenizer, spelled
 
 #: The pattern of byte-level vocabularies (a fixed value of the tokenizer's file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,7 +42,7 @@ class Counter:
         self.pattern = regex.compile(PATTERN)
         model = plain_tokenizer(content).model
         self.tokens = Memo(lambda w: len(model.tokenize(spelled(w))))
-        self.cuts = Memo(self._cut)
+        self.cuts = Memo(self._cut, MOST // 3)
 
     def _cut(self, part: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
         words = self.pattern.findall(part)
@@ -190,8 +190,12 @@ def build_trees(docs: DataFrame, shared: Broadcast, text: str = "text", names: t
 
     def run(column: pa.Array) -> list:
         c = counter(shared)
-        rows = [c.leaves(t) for t in as_text(column)]
-        return [pa.array([_dump(*x) for x in rows], pa.binary()), pa.array([sum(x[1]) for x in rows], pa.int64())]
+        trees, total = [], []
+        for scalar in column:  # one document at a time: lists of leaves are much larger than trees
+            sizes, counts = c.leaves(scalar.as_py() or "")
+            trees.append(_dump(sizes, counts))
+            total.append(sum(counts))
+        return [pa.array(trees, pa.binary()), pa.array(total, pa.int64())]
 
     names = names or (fresh(docs, "tree"), fresh(docs, "n_tokens"))
     return arrow_columns(docs, text, run, "tree binary, n_tokens bigint", list(names))
@@ -208,7 +212,8 @@ def apply_edits(trees: DataFrame, shared: Broadcast, whole: bool = True) -> Data
         c = counter(shared)
         for b in batches:
             out = []
-            for text, data, edits in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            for row in zip(*(b.column(i) for i in (1, 2, 3))):
+                text, data, edits = (x.as_py() for x in row)
                 leaves = _load(data)
                 tree, text, encoded = Tree(leaves[0], leaves[1]), text or "", 0
                 before = tree.total

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 PLAIN = re.compile("[ \\n\\t!-~À-ÖØ-öø-ÿ]*")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\n\\ta-zß-öø-ÿ0-9]+")
 LONG = 64  # longer words are not remembered
-MOST = 600_000  # entries of a memo, about 120 MB of short strings
+MOST = 250_000  # entries of a memo, about 50 MB of short strings
 
 
 def share(spark: SparkSession, path: str) -> Broadcast:
