@@ -46,8 +46,7 @@ def document_edits(docs: DataFrame) -> DataFrame:
 @_query
 def op1_token_counts(spark, sf):
     shared = _tokenizer(spark, BYTE_FILE)
-    trees = token_tree.build_trees(document_edits(load(spark, sf, "documents")), shared)
-    return token_tree.apply_edits(trees, shared, whole=False)
+    return token_tree.count_after_edits(document_edits(load(spark, sf, "documents")), shared)
 
 
 # ------------------------------------------------------------------ 2 chat formatting

@@ -32,6 +32,8 @@ from .tokens import MOST, Memo, plain_tokenizer, spelled
 #: The pattern of byte-level vocabularies (a fixed value of the tokenizer's file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+COUNTED = ("n_tokens_before", "n_tokens", "n_pretokens", "n_reencoded", "n_chars")
+
 
 class Counter:
     """Cuts texts into pre-tokens and counts the tokens of each with the library's model."""
@@ -201,12 +203,10 @@ def build_trees(docs: DataFrame, shared: Broadcast, text: str = "text", names: t
     return arrow_columns(docs, text, run, "tree binary, n_tokens bigint", list(names))
 
 
-def apply_edits(trees: DataFrame, shared: Broadcast, whole: bool = True) -> DataFrame:
+def apply_edits(trees: DataFrame, shared: Broadcast) -> DataFrame:
     """From ``doc_id``, ``text``, ``tree`` and ``edits`` (array of struct start, length, text): the
-    edited text and tree (left out unless ``whole``), n_tokens before and after, the leaves of the old
-    tree and the pre-tokens that were encoded again."""
-    head = "doc_id bigint, " + ("text string, tree binary, " if whole else "")
-    schema = head + "n_tokens_before bigint, n_tokens bigint, n_pretokens bigint, n_reencoded bigint, n_chars bigint"
+    edited text and tree, n_tokens before and after, the leaves of the old tree and the pre-tokens that
+    were encoded again. Nothing but touched regions is split or encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(shared)
@@ -214,18 +214,42 @@ def apply_edits(trees: DataFrame, shared: Broadcast, whole: bool = True) -> Data
             out = []
             for row in zip(*(b.column(i) for i in (1, 2, 3))):
                 text, data, edits = (x.as_py() for x in row)
-                leaves = _load(data)
-                tree, text, encoded = Tree(leaves[0], leaves[1]), text or "", 0
-                before = tree.total
-                for e in edits or []:
-                    if e is not None:
-                        text, n = edit(tree, text, e["start"] or 0, e["length"] or 0, e["text"] or "", c)
-                        encoded += n
-                row = (before, tree.total, leaves.shape[1], encoded, len(text))
-                out.append((text, _dump(*tree.leaves()), *row) if whole else row)
-            cols = list(zip(*out)) or [()] * (7 if whole else 5)
-            kinds = ([pa.string(), pa.binary()] if whole else []) + [pa.int64()] * 5
-            names = (["text", "tree"] if whole else []) + ["n_tokens_before", "n_tokens", "n_pretokens", "n_reencoded", "n_chars"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], names=["doc_id", *names])
-
-    return trees.selectExpr("cast(doc_id as bigint) doc_id", "text", "tree", "edits").mapInArrow(run, schema)
+                text, tree, *numbers = _edited(c, text or "", edits, _load(data))
+                out.append((text, _dump(*tree.leaves()), *numbers))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [pa.string(), pa.binary()] + [pa.int64()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))],
+                                             names=["doc_id", "text", "tree", *COUNTED])
+
+    return (trees.selectExpr("cast(doc_id as bigint) doc_id", "text", "tree", "edits")
+            .mapInArrow(run, "doc_id bigint, text string, tree binary, " + ", ".join(f"{n} bigint" for n in COUNTED)))
+
+
+def count_after_edits(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """``build_trees`` and ``apply_edits`` in one pass for documents whose ``edits`` are at hand: the
+    tree of a document lives only while its edits are applied, and one Python worker does both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(shared)
+        for b in batches:
+            out = []
+            for row in zip(b.column(1), b.column(2)):
+                text, edits = (x.as_py() for x in row)
+                out.append(_edited(c, text or "", edits)[2:])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (zip(*out) if out else [()] * 5))],
+                                             names=["doc_id", *COUNTED])
+
+    return (docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "edits")
+            .mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in COUNTED)))
+
+
+def _edited(c: Counter, text: str, edits: list | None, leaves: np.ndarray | None = None) -> tuple:
+    """The edited text, its tree, and the numbers COUNTED."""
+    sizes, counts = c.leaves(text) if leaves is None else leaves
+    tree, encoded = Tree(np.array(sizes, np.int64), np.array(counts, np.int64)), 0
+    before = tree.total
+    for e in edits or []:
+        if e is not None:
+            text, n = edit(tree, text, e["start"] or 0, e["length"] or 0, e["text"] or "", c)
+            encoded += n
+    return text, tree, before, tree.total, len(sizes), encoded, len(text)

@@ -153,4 +153,7 @@ def test_token_counts_query(spark, odd, none):
             text = text[:e.start] + e.text + text[e.start + e.length:]
         want.append((r.doc_id, text, len(ids_of(BYTE, r.text)), len(ids_of(BYTE, text))))
     assert sorted([(r.doc_id, r.text, r.n_tokens_before, r.n_tokens) for r in got], key=str) == sorted(want, key=str)
+    both = token_tree.count_after_edits(edited, shared)
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(((r.doc_id, *(r[n] for n in token_tree.COUNTED)) for r in got), key=str)
+    assert token_tree.count_after_edits(Q.document_edits(none), shared).collect() == []
     assert token_tree.apply_edits(token_tree.build_trees(Q.document_edits(none), shared), shared).collect() == []
