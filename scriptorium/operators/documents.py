@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,29 +34,32 @@ def _converter(name_or_obj):
 
 # ------------------------------------------------------------------ P1 / X1: documents -> blocks
 
-def to_blocks(docs: DataFrame, id_col: str, content_col: str, converter="html") -> DataFrame:
-    """One row per block ``(doc_id, block_idx, type, level, text)``; documents whose conversion
-    raises produce no blocks here (``convert_documents`` records them as failed)."""
+def to_blocks(docs: DataFrame, id_col: str, content_col: str, converter="html", errors: bool = False) -> DataFrame:
+    """One row per block ``(doc_id, block_idx, type, level, text)``. With ``errors``, a document whose
+    conversion raises gives one row ``(doc_id, -1, "error", NULL, message)``; otherwise it gives no
+    blocks here and ``convert_documents`` / ``route_and_union`` record it as failed. Batches may be
+    empty or hold documents without any block."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type)] + BLOCK_FIELDS)
-    spec = converter
+    names, spec = schema.names, converter
 
     def run(batches):
         conv = _converter(spec)
         conv.open()
-        for pdf in batches:
-            ids, idx, typ, lvl, txt = [], [], [], [], []
-            for doc_id, content in zip(pdf[id_col], pdf[content_col]):
+        for batch in batches:
+            src, idx, typ, lvl, txt = [], [], [], [], []
+            for row, content in enumerate(batch.column(1).to_pylist()):
                 try:
-                    blocks = conv.convert(content)
-                except Exception:  # one bad document must not fail the batch
-                    continue
-                for i, (t, lv, x) in enumerate(blocks):
-                    ids.append(doc_id); idx.append(i); typ.append(t); lvl.append(lv); txt.append(x)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=pdf[id_col].dtype), "block_idx": pd.Series(idx, dtype="int32"),
-                                "type": typ, "level": pd.Series(lvl, dtype="int32"), "text": txt})
+                    blocks = [(i, *b) for i, b in enumerate(conv.convert(content))]
+                except Exception as e:  # one bad document must not fail the batch
+                    blocks = [(-1, "error", None, f"{type(e).__name__}: {e}")] if errors else []
+                for i, t, level, text in blocks:
+                    src.append(row), idx.append(i), typ.append(t), lvl.append(level), txt.append(text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(src, pa.int32())), pa.array(idx, pa.int32()), pa.array(typ, pa.string()),
+                 pa.array(lvl, pa.int32()), pa.array(txt, pa.string())], names=names)
 
-    return spread(docs.select(id_col, content_col)).mapInPandas(run, schema)
+    return spread(docs.select(id_col, content_col)).mapInArrow(run, schema)
 
 
 def html_to_blocks(pages: DataFrame) -> DataFrame:
@@ -195,26 +199,25 @@ def _md_line(t, level, text):
 
 
 def route_and_union(docs: DataFrame, branches: Mapping[str, object]) -> DataFrame:
-    """Split by route, convert each branch with its own converter, recombine by name.
-    ``branches`` maps a route to a converter (or None for "no converter": rows fail)."""
+    """Split by route, convert each branch with its own converter, recombine by name. ``branches``
+    maps a route to a converter. Every document comes back once: a document whose conversion raises, a
+    route without a converter and a missing file name give ``failed`` with the reason."""
     routed = docs.withColumn("route", C.route_by_suffix("file_name"))
-    parts = []
-    for route, conv in branches.items():
+    known = [r for r, conv in branches.items() if conv is not None]
+    rest = routed.filter(~F.coalesce(F.col("route").isin(known), F.lit(False)))
+    out = rest.select("doc_id", "route", F.lit(None).cast("string").alias("converter"), F.lit("failed").alias("status"),
+                      F.lit(None).cast("int").alias("n_blocks"),
+                      F.concat(F.lit("No converter for route "), F.coalesce("route", F.lit("unknown"))).alias("error_message"))
+    for route in known:
         part = routed.filter(F.col("route") == route)
-        if conv is None:
-            parts.append(part.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(route).alias("route"),
-                                     F.lit(None).cast("string").alias("converter"), F.lit("failed").alias("status"),
-                                     F.lit(None).cast("int").alias("n_blocks"),
-                                     F.lit(f"No converter for route {route}").alias("error_message")))
-            continue
-        b = to_blocks(part, "doc_id", "content", conv)
-        counts = b.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_blocks"))
-        parts.append(part.select(F.col("doc_id").cast("long").alias("doc_id")).join(counts, "doc_id", "left")
-                     .select("doc_id", F.lit(route).alias("route"), F.lit(_converter(conv).name).alias("converter"),
-                             F.lit("completed").alias("status"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        blocks = to_blocks(part, "doc_id", "content", branches[route], errors=True)
+        counts = blocks.groupBy("doc_id").agg(F.count_if(F.col("block_idx") >= 0).cast("int").alias("_n"),
+                                              F.max(F.when(F.col("block_idx") < 0, F.col("text"))).alias("error_message"))
+        failed = F.col("error_message").isNotNull()
+        out = out.unionByName(part.select("doc_id").join(counts, "doc_id", "left").select(
+            "doc_id", F.lit(route).alias("route"), F.lit(_converter(branches[route]).name).alias("converter"),
+            F.when(failed, "failed").otherwise("completed").alias("status"),
+            F.when(~failed, F.coalesce("_n", F.lit(0))).alias("n_blocks"), "error_message"))
     return out
 
 

@@ -313,18 +313,20 @@ def cancel_requests(tasks: DataFrame, requests: DataFrame) -> tuple[DataFrame, D
 def result_outcomes(tasks: DataFrame, results: DataFrame) -> DataFrame:
     """J3 outcome per worker result: ``reason`` is NULL when accepted, else why it was rejected.
     Results (task_id, result_id, ts, status completed|failed, worker_id?, result_path?,
-    error_message?) are accepted only when the task is processing and, if a worker is named, owned
-    by it; only the first result per task (by ts, result_id) can win. ``result_id`` must be unique
-    per message (it is the message id); redelivered copies of one message are the caller's
-    ``dropDuplicates(["result_id"])``."""
-    first = results.groupBy("task_id").agg(F.min_by("result_id", F.struct("ts", "result_id")).alias("_first"))
+    error_message?) are eligible only when the task is processing and, if a worker is named, owned by
+    it; of the eligible results of a task the first (by ts, result_id) is accepted, so a result from the
+    wrong worker never blocks the owner's. ``result_id`` must be unique per message (it is the message
+    id); redelivered copies of one message are the caller's ``dropDuplicates(["result_id"])``."""
     cur = tasks.select("task_id", F.col("status").alias("_cur"), F.col("worker_id").alias("_owner"))
-    j = results.join(first, "task_id").join(cur, "task_id", "left")
-    reason = (F.when(F.col("result_id") != F.col("_first"), "duplicate")
-              .when(F.col("_cur").isNull(), "not_found")
-              .when(F.col("_cur") != "processing", F.concat(F.lit("status "), F.col("_cur")))
-              .when(F.col("worker_id").isNotNull() & ~F.col("worker_id").eqNullSafe(F.col("_owner")), "worker mismatch"))
-    return j.withColumn("reason", reason).drop("_first", "_cur", "_owner")
+    j = results.join(cur, "task_id", "left").withColumn("reason", (
+        F.when(F.col("_cur").isNull(), "not_found")
+        .when(F.col("_cur") != "processing", F.concat(F.lit("status "), F.col("_cur")))
+        .when(F.col("worker_id").isNotNull() & ~F.col("worker_id").eqNullSafe(F.col("_owner")), "worker mismatch")))
+    first = (j.filter(F.col("reason").isNull()).groupBy("task_id")
+             .agg(F.min_by("result_id", F.struct("ts", "result_id")).alias("_first")))
+    late = F.col("reason").isNull() & (F.col("result_id") != F.col("_first"))
+    return (j.join(first, "task_id", "left").withColumn("reason", F.when(late, "duplicate").otherwise(F.col("reason")))
+            .drop("_first", "_cur", "_owner"))
 
 
 def apply_results(tasks: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

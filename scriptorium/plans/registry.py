@@ -392,12 +392,13 @@ res AS (
 
 @register("J3_apply_results", f"""
 WITH {_RESULTS_SQL},
-first AS (SELECT task_id, arg_min(result_id, (ts, result_id)) AS first_id FROM res GROUP BY task_id)
+first AS (SELECT r.task_id, arg_min(r.result_id, (r.ts, r.result_id)) AS first_id FROM res r JOIN tasks t ON r.task_id = t.task_id
+          WHERE t.status = 'processing' AND (r.worker_id IS NULL OR r.worker_id IS NOT DISTINCT FROM t.worker_id) GROUP BY r.task_id)
 SELECT r.task_id, r.result_id, r.status, r.worker_id,
-       CASE WHEN r.result_id <> f.first_id THEN 'duplicate' WHEN t.status IS NULL THEN 'not_found'
-            WHEN t.status <> 'processing' THEN 'status ' || t.status
-            WHEN r.worker_id IS NOT NULL AND r.worker_id IS DISTINCT FROM t.worker_id THEN 'worker mismatch' END AS reason
-FROM res r JOIN first f ON r.task_id = f.task_id LEFT JOIN tasks t ON r.task_id = t.task_id""", ("tasks",))
+       CASE WHEN t.status IS NULL THEN 'not_found' WHEN t.status <> 'processing' THEN 'status ' || t.status
+            WHEN r.worker_id IS NOT NULL AND r.worker_id IS DISTINCT FROM t.worker_id THEN 'worker mismatch'
+            WHEN r.result_id <> f.first_id THEN 'duplicate' END AS reason
+FROM res r LEFT JOIN first f ON r.task_id = f.task_id LEFT JOIN tasks t ON r.task_id = t.task_id""", ("tasks",))
 def j3(spark, sf):
     out = L.result_outcomes(_tasks(spark, sf), worker_results(spark, sf))
     return out.select("task_id", "result_id", "status", "worker_id", "reason")

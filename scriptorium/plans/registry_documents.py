@@ -246,7 +246,7 @@ def p8(spark, sf):
 WITH {_DOCS_IN_SQL},
 {_lines('docs_in', 'doc_id', 'content')},
 d AS (SELECT doc_id, CASE WHEN {_suffix('file_name')} IN ('.pdf', '.png', '.jpg', '.jpeg', '.bmp', '.tiff', '.tif', '.webp')
-                     THEN 'page_image' ELSE 'text_like' END AS route FROM docs_in WHERE doc_id < {PAGE_OFFSET}),
+                     THEN 'page_image' ELSE 'text_like' END AS route FROM docs_in),
 tcount AS (SELECT doc_id, count(*) AS n FROM tblocks GROUP BY doc_id)
 SELECT d.doc_id, d.route, CASE WHEN d.route = 'text_like' THEN 'text' END AS converter,
        CASE WHEN d.route = 'text_like' THEN 'completed' ELSE 'failed' END AS status,
@@ -254,7 +254,7 @@ SELECT d.doc_id, d.route, CASE WHEN d.route = 'text_like' THEN 'text' END AS con
        CASE WHEN d.route = 'page_image' THEN 'No converter for route page_image' END AS error_message
 FROM d LEFT JOIN tcount t ON d.doc_id = t.doc_id""")
 def s1(spark, sf):
-    docs = docs_in(spark, sf).filter(F.col("doc_id") < PAGE_OFFSET)
+    docs = docs_in(spark, sf)
     return D.route_and_union(docs, {"text_like": "text", "page_image": None})
 
 

@@ -28,6 +28,17 @@ from ..session import cut_lineage
 _CHUNK = "_chunk"
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str) -> DataFrame:
+    """Equi-join in which NULL keys match each other; the columns of ``right`` follow without its keys."""
+    names = {c: f"_r_{i}" for i, c in enumerate(cols)}
+    renamed = right.withColumnsRenamed(names)
+    on = None
+    for c, r in names.items():
+        term = left[c].eqNullSafe(renamed[r])
+        on = term if on is None else on & term
+    return left.join(renamed, on, how).drop(*names.values())
+
+
 def _n_chunks(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -97,7 +108,8 @@ def running_sum(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, v
     vals = {o: f"_val{i}" for i, o in enumerate(sums)}
     src = df
     for o, v in sums.items():
-        src = src.withColumn(vals[o], F.lit(1).cast("long") if v is None else F.col(v).cast("long"))
+        src = src.withColumn(vals[o], F.lit(1).cast("long") if v is None
+                             else F.coalesce(F.col(v).cast("long"), F.lit(0)))  # no nulls: pandas would turn longs into floats
     ranged = src.repartitionByRange(n, *parts, *order).sortWithinPartitions(*parts, *order)
     schema = T.StructType(src.schema.fields + [T.StructField(_CHUNK, T.IntegerType())]
                           + [T.StructField(o, T.LongType()) for o in sums])
@@ -130,7 +142,7 @@ def running_sum(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, v
     before = Window.partitionBy(*keys_).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*keys_, _CHUNK, *[F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_base_{o}")
                                            for o in sums])
-    res = scanned.join(base, [*keys_, _CHUNK])
+    res = _join_null_safe(scanned, base, [*keys_, _CHUNK], "inner")
     for o in sums:
         res = res.withColumn(o, F.col(o) + F.col(f"_base_{o}"))
     return res.drop(_CHUNK, *vals.values(), *[f"_base_{o}" for o in sums])
@@ -228,7 +240,7 @@ def next_matches(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[st
     later = Window.partitionBy(*keys_).orderBy(_CHUNK).rowsBetween(1, Window.unboundedFollowing)
     link = heads.select(*keys_, _CHUNK, *[F.first(f"_head{i}", ignorenulls=True).over(later).alias(f"_next{i}")
                                           for i in range(len(flags))])
-    joined = scanned.join(link, [*keys_, _CHUNK], "left")
+    joined = _join_null_safe(scanned, link, [*keys_, _CHUNK], "left")
     for i, pre in enumerate(prefixes):
         missing = ~F.col(hits[i]) & F.col(f"_next{i}").isNotNull()
         for p in payload:

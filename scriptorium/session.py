@@ -8,6 +8,7 @@ inputs, and the durable folder used to cut lineage or stage derived files.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -93,6 +94,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = spark.sparkContext.getCheckpointDir()
     if not conf_dir:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -113,17 +116,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over the cluster before per-row heavy work (conversion, embedding,
-    scoring) when it arrives in fewer partitions than the default parallelism - e.g. one small
-    file read as a single split. Inputs that are already wide (the large-scale case) are left
+    scoring) when it is read from fewer files than the default parallelism - e.g. one small file
+    that is a single split. Only the file listing is asked, so no job runs while a plan is built. Inputs that are already wide (the large-scale case) are left
     untouched, so this never adds a shuffle there."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access: leave the plan as it is
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target)
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= target else df.repartition(target)
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:

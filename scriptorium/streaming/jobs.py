@@ -32,10 +32,12 @@ RETENTION_HOURS, RETENTION_BYTES = 72, 1 << 30
 POLL = "500 milliseconds"
 
 
-def run_available_now(stream_writer, timeout_s: int = 600) -> None:
+def run_available_now(stream_writer, timeout_s: int | None = None) -> None:
+    """Run a stream over what is available; waits without limit unless the caller sets one."""
     q = stream_writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError("stream did not finish")
     if q.exception() is not None:
@@ -171,9 +173,15 @@ def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False, even
                                  s["started_us"], s["completed_us"], s["retries"]))
             else:
                 apply(_events(pdfs))
+            due_ms = int((s["started_us"] + stale_us) // 1000) + 1 if stale_timer and s["status"] == "processing" else None
+            if due_ms is not None and due_ms <= state.getCurrentWatermarkMs():  # already due: no timer can be set behind the watermark
+                due_us, due_ms = s["started_us"] + stale_us, None
+                s.update(status="pending", worker=None, retries=s["retries"] + 1, applied=s["applied"] + 1)
+                recs.append((-1, key[0], due_us, "timeout_reset", True, s["status"], s["worker"],
+                             s["started_us"], s["completed_us"], s["retries"]))
             state.update(tuple(s[n] for n in names))
-            if stale_timer and s["status"] == "processing":
-                state.setTimeoutTimestamp(int((s["started_us"] + stale_us) // 1000) + 1)
+            if due_ms is not None:
+                state.setTimeoutTimestamp(due_ms)
         if recs:
             yield _frame(recs)
 
@@ -325,9 +333,13 @@ def _deadline_fn(seconds: int):
                         # the client checks for a terminal state before the deadline: equality counts
                         out.append((key[0], pd.Timestamp(sub * 1000), "reached" if t - sub <= limit_us else "timeout"))
                         done = True
+        due_ms = int((sub + limit_us) // 1000) if sub is not None and not done else None
+        if due_ms is not None and due_ms <= state.getCurrentWatermarkMs():  # decided: no timer can be set behind the watermark
+            out.append((key[0], pd.Timestamp(sub * 1000), "timeout"))
+            done, due_ms = True, None
         state.update((sub, done))
-        if sub is not None and not done:
-            state.setTimeoutTimestamp(int((sub + limit_us) // 1000))
+        if due_ms is not None:
+            state.setTimeoutTimestamp(due_ms)
         if out:
             yield pd.DataFrame(out, columns=["task_id", "submitted_at", "outcome"])
 
