@@ -25,7 +25,6 @@ DEFAULT_PRIORITY = 0
 DEFAULT_OPTIONS = {"lang": "ch", "method": "auto", "formula_enable": True, "table_enable": True}
 OPTIONS_SCHEMA = "lang string, method string, formula_enable boolean, table_enable boolean"
 LIST_LIMIT_DEFAULT, LIST_LIMIT_MAX = 100, 1000
-MAX_BROADCAST_CLAIMS = 1_000_000  # claim rows are ~100 bytes: the hint ships at most ~100 MB
 
 
 def _ts(now) -> Column:
@@ -67,23 +66,31 @@ def batch_outcome(tasks: DataFrame, batch_ids: DataFrame) -> DataFrame:
     )
 
 
-def latency_metrics(tasks: DataFrame, by: Sequence[str] = ("backend",), accuracy: int = 100_000) -> DataFrame:
+def latency_metrics(tasks: DataFrame, by: Sequence[str] = ("backend",)) -> DataFrame:
     """Response latency (created -> started) and run time (started -> completed), seconds.
-    Quantiles use ``percentile_approx`` (bounded sketch per group, mergeable partial aggregates);
-    it is exact while a group has fewer rows than ``accuracy``."""
+    Latencies are whole seconds, so rows are first counted per (group, second) with map-side partial
+    sums; the exact quantiles then come from the cumulative counts of that small table."""
     resp = F.timestamp_diff("SECOND", "created_at", "started_at")
     run = F.timestamp_diff("SECOND", "started_at", "completed_at")
+    each = F.array(*[F.struct(F.lit(m).alias("_m"), e.alias("_v")) for m, e in (("response", resp), ("run", run))])
+    counts = (tasks.filter(F.col("started_at").isNotNull()).select(*by, F.inline(each))
+              .groupBy(*by, "_m", "_v").agg(F.count("_v").alias("_n"), F.sum("_v").alias("_s")))
+    group = Window.partitionBy(*by, "_m")
+    counts = (counts.withColumn("_upto", F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("_all", F.sum("_n").over(group)))
     aggs = []
-    for name, e in (("response", resp), ("run", run)):
+    for name in ("response", "run"):
+        def of(value, more=F.lit(True), name=name):
+            return F.when((F.col("_m") == name) & F.col("_v").isNotNull() & more, F.col(value))
+
         aggs += [
-            F.count(e).alias(f"{name}_n"),
-            F.min(e).alias(f"{name}_min"),
-            F.round(F.avg(e), 6).alias(f"{name}_avg"),
-            F.percentile_approx(e, 0.5, accuracy).alias(f"{name}_p50"),
-            F.percentile_approx(e, 0.95, accuracy).alias(f"{name}_p95"),
-            F.max(e).alias(f"{name}_max"),
+            F.coalesce(F.sum(of("_n")), F.lit(0)).alias(f"{name}_n"),
+            F.min(of("_v")).alias(f"{name}_min"),
+            F.round(F.sum(of("_s")) / F.sum(of("_n")), 6).alias(f"{name}_avg"),
+            *[F.min(of("_v", F.col("_upto") * 100 >= F.col("_all") * p)).alias(f"{name}_p{p}") for p in (50, 95)],
+            F.max(of("_v")).alias(f"{name}_max"),
         ]
-    return tasks.filter(F.col("started_at").isNotNull()).groupBy(*by).agg(*aggs)
+    return counts.groupBy(*by).agg(*aggs)
 
 
 def worker_health(tasks: DataFrame, as_of, max_age_seconds: int = 900) -> DataFrame:
@@ -216,8 +223,6 @@ def claim_batch(tasks: DataFrame, workers: Sequence[str], n: int, now) -> tuple[
               .withColumn("started_at", _ts(now))
               .select("task_id", "claim_rank", "worker_id", "started_at"))
     c = claims.select("task_id", F.col("worker_id").alias("_w"), F.col("started_at").alias("_s"))
-    # at most n small rows: broadcast them while n is within the bound, else let the planner choose
-    c = F.broadcast(c) if n <= MAX_BROADCAST_CLAIMS else c
     ledger = (tasks.join(c, "task_id", "left")
               .withColumn("status", F.when(F.col("_w").isNotNull(), "processing").otherwise(F.col("status")))
               .withColumn("worker_id", F.coalesce("_w", "worker_id"))
@@ -383,12 +388,10 @@ def queue_depth(tasks: DataFrame) -> DataFrame:
     window). Cancelled rows carry no exit time and are left out."""
     from ..plans.scale import running_sum
 
-    t = tasks.filter(F.col("status") != "cancelled")
-    d = (t.select(F.date_trunc("minute", "created_at").alias("minute"), F.lit(1).alias("dp"), F.lit(0).alias("dr"))
-         .unionByName(t.filter(F.col("started_at").isNotNull())
-                      .select(F.date_trunc("minute", "started_at").alias("minute"), F.lit(-1).alias("dp"), F.lit(1).alias("dr")))
-         .unionByName(t.filter(F.col("completed_at").isNotNull())
-                      .select(F.date_trunc("minute", "completed_at").alias("minute"), F.lit(0).alias("dp"), F.lit(-1).alias("dr"))))
+    steps = F.array(*[F.struct(F.date_trunc("minute", c).alias("minute"), F.lit(dp).alias("dp"), F.lit(dr).alias("dr"))
+                      for c, dp, dr in (("created_at", 1, 0), ("started_at", -1, 1), ("completed_at", 0, -1))])
+    d = (tasks.filter(F.col("status") != "cancelled").select(F.inline(steps))
+         .filter(F.col("minute").isNotNull() | (F.col("dp") == 1)))  # one scan; steps not taken yet fall away
     m = d.groupBy("minute").agg(F.sum("dp").alias("pending_delta"), F.sum("dr").alias("processing_delta"))
     m = running_sum(m, [], ["minute"], {"pending_depth": "pending_delta", "processing_depth": "processing_delta"})
     return m.select("minute", "pending_delta", "processing_delta", "pending_depth", "processing_depth")

@@ -81,7 +81,7 @@ def _pick(*cands):
     return cands[0] if len(cands) == 1 else F.least(*cands)
 
 
-def successors(events: DataFrame, stale_minutes: int = 60, strict: bool = True, strategy: str = "auto") -> DataFrame:
+def successors(events: DataFrame, stale_minutes: int = 60, strict: bool = True) -> DataFrame:
     """Adds ``succ`` (struct ts, event_id) to every event. Two chunked scans: one keyed by task
     (next claim/cancel, next worker-less completion, next cancel, and the first reset after each
     claim's staleness probe), one keyed by (task, worker) for completions by the claiming worker."""
@@ -101,14 +101,14 @@ def successors(events: DataFrame, stale_minutes: int = 60, strict: bool = True,
     }
     if not strict:
         conds["cn_"] = real & (op == "cancel")
-    t1 = next_matches(both, ["task_id"], ["ts", "_k", "event_id"], conds, ["ts", "event_id"], strategy=strategy)
+    t1 = next_matches(both, ["task_id"], ["ts", "_k", "event_id"], conds, ["ts", "event_id"])
     reset_after = t1.filter(F.col("_k") == 1).select(
         "event_id",
         F.when(F.col("rs_event_id").isNotNull(),
                F.struct(F.col("rs_ts").alias("ts"), F.col("rs_event_id").alias("event_id"))).alias("_rs"))
     t1 = t1.filter(real).drop("_k", "rs_ts", "rs_event_id").join(reset_after, "event_id", "left")
     ev = next_match(t1, ["task_id", "worker_id"], ["ts", "event_id"], op.isin("complete", "fail"),
-                    ["ts", "event_id"], "own_", strategy=strategy)
+                    ["ts", "event_id"], "own_")
 
     def st(prefix):
         return F.when(F.col(prefix + "event_id").isNotNull(),
@@ -132,20 +132,18 @@ def fold_transitions(events: DataFrame, stale_minutes: int = 60, strict: bool =
 
     ``strategy``: ``auto`` splits the tasks by size: tasks with at most ``max_group_events`` events
     are folded per task in one sorted pass (``applyInPandas``, a bounded group), and hot tasks go
-    through pointer doubling; ``grouped`` / ``doubling`` force one path (``doubling-window`` /
-    ``doubling-chunked`` also fix the successor search)."""
+    through pointer doubling; ``grouped`` / ``doubling`` force one path."""
     events = events.dropDuplicates(["event_id"])
     if strategy == "grouped":
         return _fold_grouped(events, stale_minutes, strict)
-    if strategy.startswith("doubling"):
-        inner = strategy.split("-", 1)[1] if "-" in strategy else "auto"
-        return _fold_doubling(events, stale_minutes, strict, max_rounds, inner)
+    if strategy == "doubling":
+        return _fold_doubling(events, stale_minutes, strict, max_rounds)
     hot = (events.groupBy("task_id").agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > max_group_events).select("task_id"))
     if hot.limit(1).count() == 0:
         return _fold_grouped(events, stale_minutes, strict)
     cold = _fold_grouped(events.join(hot, "task_id", "left_anti"), stale_minutes, strict)
-    heavy = _fold_doubling(events.join(hot, "task_id", "left_semi"), stale_minutes, strict, max_rounds, "auto")
+    heavy = _fold_doubling(events.join(hot, "task_id", "left_semi"), stale_minutes, strict, max_rounds)
     return cold.unionByName(heavy)
 
 
@@ -174,9 +172,9 @@ def _fold_grouped(events: DataFrame, stale_minutes: int, strict: bool) -> DataFr
             .groupBy("task_id").applyInPandas(fold, FOLD_SCHEMA))
 
 
-def _fold_doubling(events: DataFrame, stale_minutes: int, strict: bool, max_rounds: int, strategy: str) -> DataFrame:
+def _fold_doubling(events: DataFrame, stale_minutes: int, strict: bool, max_rounds: int) -> DataFrame:
     """Successor pointers + pointer doubling (any task size)."""
-    s = successors(events, stale_minutes, strict, strategy)
+    s = successors(events, stale_minutes, strict)
     nodes = s.select(
         "event_id",
         F.col("succ.event_id").alias("J"),

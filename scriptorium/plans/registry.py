@@ -24,6 +24,22 @@ def _tasks(spark, sf):
     return fx.tasks(spark, sf)
 
 
+_LEDGER_NAMES = ("task_id", "file_name", "status", "priority", "backend", "options", "result_path", "error_message",
+                 "created_at", "started_at", "completed_at", "worker_id", "retry_count")
+
+
+def _ledger_sql(**changed: str) -> str:
+    """Select list of the ledger ``t``, with some columns replaced by expressions."""
+    return ", ".join(f"{changed.get(c, 't.' + c)} AS {c}" for c in _LEDGER_NAMES)
+
+
+_LEDGER_COLS = ", ".join(_LEDGER_NAMES)
+
+
+def _ledger_cols(df):
+    return df.select(*_LEDGER_NAMES)
+
+
 # ------------------------------------------------------------------ aggregations
 
 @register("G1_queue_stats", "SELECT status, count(*) AS count FROM tasks GROUP BY status", ("tasks",))
@@ -223,16 +239,28 @@ def o1(spark, sf):
 WORKERS = ["w0", "w1", "w2", "w3"]
 
 
-@register("U1_claim_batch", f"""
+_CLAIMS_SQL = f"""
 WITH top AS (SELECT task_id, priority, created_at FROM tasks WHERE status = 'pending'
              ORDER BY priority DESC, created_at, task_id LIMIT 100),
-r AS (SELECT task_id, cast(row_number() OVER (ORDER BY priority DESC, created_at, task_id) AS bigint) AS claim_rank FROM top)
-SELECT task_id, claim_rank, 'w' || cast((claim_rank - 1) % 4 AS varchar) AS worker_id, {AS_OF_SQL} AS started_at FROM r""",
-          ("tasks",))
+r AS (SELECT task_id, cast(row_number() OVER (ORDER BY priority DESC, created_at, task_id) AS bigint) AS claim_rank FROM top),
+c AS (SELECT task_id, claim_rank, 'w' || cast((claim_rank - 1) % 4 AS varchar) AS worker_id, {AS_OF_SQL} AS started_at FROM r)"""
+
+
+@register("U1_claim_batch", f"{_CLAIMS_SQL} SELECT * FROM c", ("tasks",))
 def u1(spark, sf):
     return L.claim_batch(_tasks(spark, sf), WORKERS, 100, AS_OF)[1]
 
 
+_CLAIMED = _ledger_sql(status="CASE WHEN c.task_id IS NULL THEN t.status ELSE 'processing' END",
+                       started_at="CASE WHEN c.task_id IS NULL THEN t.started_at ELSE c.started_at END",
+                       worker_id="coalesce(c.worker_id, t.worker_id)")
+
+
+@register("U1b_ledger", f"{_CLAIMS_SQL} SELECT {_CLAIMED} FROM tasks t LEFT JOIN c ON t.task_id = c.task_id", ("tasks",))
+def u1b(spark, sf):
+    return _ledger_cols(L.claim_batch(_tasks(spark, sf), WORKERS, 100, AS_OF)[0])
+
+
 FOLD_SQL = """
 WITH RECURSIVE ev AS (
   SELECT task_id, ts, event_id, op, worker_id,
@@ -277,14 +305,6 @@ def u2(spark, sf):
     return fold_transitions(fx.task_events(spark, sf))
 
 
-_LEDGER_COLS = ("task_id, file_name, status, priority, backend, options, result_path, error_message, "
-                "created_at, started_at, completed_at, worker_id, retry_count")
-
-
-def _ledger_cols(df):
-    return df.select([c.strip() for c in _LEDGER_COLS.split(",")])
-
-
 @register("U3_reset_stale", f"""
 WITH s AS (SELECT *, coalesce(status = 'processing' AND started_at < {AS_OF_SQL} - INTERVAL 60 MINUTE, false) AS stale FROM tasks)
 SELECT task_id, file_name, CASE WHEN stale THEN 'pending' ELSE status END AS status, priority, backend, options,
@@ -311,6 +331,17 @@ def u4(spark, sf):
     return L.retire_artifacts(t, AS_OF, 7, deleted=_existing_dirs(spark, sf, t))[1]
 
 
+_RETIRED = f"""t.status IN ('completed', 'failed') AND t.completed_at < {AS_OF_SQL} - INTERVAL 7 DAY
+    AND t.task_id IN (SELECT task_id FROM artifacts)"""
+
+
+@register("U4b_ledger", f"SELECT {_ledger_sql(result_path=f'CASE WHEN {_RETIRED} THEN NULL ELSE t.result_path END')} FROM tasks t",
+          ("tasks", "artifacts"))
+def u4b(spark, sf):
+    t = _tasks(spark, sf)
+    return _ledger_cols(L.retire_artifacts(t, AS_OF, 7, deleted=_existing_dirs(spark, sf, t))[0])
+
+
 @register("U5_purge_records", f"""
 SELECT {_LEDGER_COLS} FROM tasks
 WHERE NOT coalesce(status IN ('completed', 'failed') AND completed_at < {AS_OF_SQL} - INTERVAL 30 DAY, false)""",
@@ -343,10 +374,13 @@ def _cancel_req(spark, sf):
     return a.unionByName(b)
 
 
-@register("J2_cancel_requests", """
+_CANCEL_SQL = """
 WITH req AS (SELECT DISTINCT task_id FROM (
     SELECT concat('t', cast(l_orderkey AS varchar)) AS task_id FROM lineitem WHERE l_linestatus = 'O'
-    UNION ALL SELECT task_id FROM task_events WHERE op = 'cancel'))
+    UNION ALL SELECT task_id FROM task_events WHERE op = 'cancel'))"""
+
+
+@register("J2_cancel_requests", _CANCEL_SQL + """
 SELECT req.task_id, t.status AS previous_status,
        CASE WHEN t.status IS NULL THEN 'not_found' WHEN t.status = 'pending' THEN 'cancelled' ELSE 'rejected' END AS outcome,
        CASE WHEN t.status IS NULL THEN 'Task not found' WHEN t.status = 'pending' THEN 'Task cancelled successfully'
@@ -356,6 +390,14 @@ def j2(spark, sf):
     return L.cancel_requests(_tasks(spark, sf), _cancel_req(spark, sf))[1]
 
 
+_CANCELLED = _ledger_sql(status="CASE WHEN t.status = 'pending' AND t.task_id IN (SELECT task_id FROM req) THEN 'cancelled' ELSE t.status END")
+
+
+@register("J2b_ledger", f"{_CANCEL_SQL} SELECT {_CANCELLED} FROM tasks t", ("tasks", "task_events"))
+def j2b(spark, sf):
+    return _ledger_cols(L.cancel_requests(_tasks(spark, sf), _cancel_req(spark, sf))[0])
+
+
 def worker_results(spark, sf) -> DataFrame:
     """Worker result messages derived from ``lineitem``: one message per (order, line) - every line
     reports on its order's task, so all but the first per task are duplicates (the line table
@@ -404,6 +446,22 @@ def j3(spark, sf):
     return out.select("task_id", "result_id", "status", "worker_id", "reason")
 
 
+_ACCEPTED = _ledger_sql(
+    status="coalesce(a.status, t.status)", completed_at="CASE WHEN a.status IS NULL THEN t.completed_at ELSE cast(a.ts AS timestamp) END",
+    result_path="CASE WHEN a.status = 'completed' THEN '/out/' || a.task_id ELSE t.result_path END",
+    error_message="CASE WHEN a.status = 'failed' THEN 'parse error' ELSE t.error_message END")
+
+
+@register("J3b_ledger", f"""
+WITH {_RESULTS_SQL},
+a AS (SELECT r.* FROM res r JOIN tasks t ON r.task_id = t.task_id
+      WHERE t.status = 'processing' AND (r.worker_id IS NULL OR r.worker_id IS NOT DISTINCT FROM t.worker_id)
+      QUALIFY row_number() OVER (PARTITION BY r.task_id ORDER BY r.ts, r.result_id) = 1)
+SELECT {_ACCEPTED} FROM tasks t LEFT JOIN a ON t.task_id = a.task_id""", ("tasks",))
+def j3b(spark, sf):
+    return _ledger_cols(L.apply_results(_tasks(spark, sf), worker_results(spark, sf))[0])
+
+
 @register("J5_missing_results", """
 SELECT task_id, result_path, 'Task completed but result files have been cleaned up (older than retention period)' AS reason
 FROM tasks WHERE status = 'completed' AND result_path IS NULL

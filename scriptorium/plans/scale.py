@@ -9,8 +9,10 @@ in parallel; a small per-(key, chunk) table carries what crosses chunk borders.
 * ``next_match``: for every row, a payload of the first later row of the same key that satisfies a
   condition (successor pointers for the ledger state machine).
 
-Within a chunk the rows are already sorted, so the scan is a per-partition pandas pass over Arrow
-batches (``mapInPandas``) carrying O(1) state between batches; nothing is collected per key.
+Within a chunk the rows are already sorted, so the scan is a per-partition pass over Arrow batches
+(``mapInArrow``: columns pass through unchanged, 64-bit integers stay integers beside NULLs) carrying
+O(1) state between batches; nothing is collected per key. There is one path, whatever the sizes; NULL
+keys are one key, as in a window.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,99 +47,70 @@ def _n_chunks(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
-# A window keeps one key's rows in one task. Up to this many rows per key that is cheap (a running
-# frame streams through the sorted group); above it the chunked path spreads the key over tasks.
-MAX_WINDOW_ROWS = 2_000_000
-
-
-def _largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the biggest key (one partial/final aggregate; 0 for an empty input)."""
-    if keys:
-        v = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    else:
-        v = df.count()
-    return int(v or 0)
-
-
-def use_window(df: DataFrame, keys: Sequence[str], strategy: str, max_rows: int = MAX_WINDOW_ROWS) -> bool:
-    if strategy == "window":
-        return True
-    if strategy == "chunked":
-        return False
-    return _largest_key(df, keys) <= max_rows
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _key_frame(pdf: pd.DataFrame, cols: Sequence[str]) -> pd.DataFrame:
-    return pdf[list(cols)].astype(object).where(pdf[list(cols)].notna(), "\x00<null>")
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
-def _group_ids(keys: pd.DataFrame, prev_key) -> tuple[np.ndarray, bool]:
-    """Ids of runs of equal keys in a sorted batch, and whether the first run continues the last
-    key of the previous batch."""
-    if keys.shape[1] == 0:
-        return np.zeros(len(keys), dtype=np.int64), prev_key is not None
-    changed = (keys != keys.shift()).any(axis=1).to_numpy()
-    changed[0] = True
-    gid = np.cumsum(changed) - 1
-    first = tuple(keys.iloc[0])
-    return gid, prev_key is not None and first == prev_key
+def _runs(keys: list[pa.Array], n: int, last: list[pa.Array] | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Runs of equal keys in a sorted batch of ``n`` rows: the run of each row, where each run
+    starts, and whether the first run goes on from ``last``, the key of the row before the batch."""
+    new = np.zeros(n, bool)
+    for i, col in enumerate(keys):
+        both = pa.concat_arrays([last[i] if last else col.slice(0, 1), col])
+        codes = both.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new |= codes[1:] != codes[:-1]
+    goes_on = last is not None and not new[0]
+    new[0] = True
+    return np.cumsum(new) - 1, np.flatnonzero(new), bool(goes_on)
 
 
 def running_sum(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, value_col, out: str | None = None,
-                n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
+                n_chunks: int | None = None) -> DataFrame:
     """Running totals per key in ``order_cols`` order (current row included; the order must be
-    total). ``value_col`` is a column name (result in ``out``), None for a row count, or a dict
-    ``{out: value column}`` to compute several totals in one pass. ``strategy``: ``auto`` (window
-    when the largest key is small, else chunked), ``window`` or ``chunked``."""
+    total; a NULL value counts as 0). ``value_col`` is a column name (result in ``out``), None for a row
+    count, or a dict ``{out: value column}`` to compute several totals in one pass."""
     sums = dict(value_col) if isinstance(value_col, dict) else {out: value_col}
-    if use_window(df, part_cols, strategy):
-        w = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy(F.lit(0)))
-        w = w.orderBy(*[_col(c) for c in order_cols]).rowsBetween(Window.unboundedPreceding, 0)
-        res = df
-        for o, v in sums.items():
-            val = F.lit(1).cast("long") if v is None else F.coalesce(F.col(v).cast("long"), F.lit(0))
-            res = res.withColumn(o, F.sum(val).over(w))
-        return res
     n = _n_chunks(df, n_chunks)
     order = [_col(c) for c in order_cols]
     parts = [F.col(c) for c in part_cols]
     vals = {o: f"_val{i}" for i, o in enumerate(sums)}
     src = df
     for o, v in sums.items():
-        src = src.withColumn(vals[o], F.lit(1).cast("long") if v is None
-                             else F.coalesce(F.col(v).cast("long"), F.lit(0)))  # no nulls: pandas would turn longs into floats
+        src = src.withColumn(vals[o], F.lit(1).cast("long") if v is None else F.coalesce(F.col(v).cast("long"), F.lit(0)))
     ranged = src.repartitionByRange(n, *parts, *order).sortWithinPartitions(*parts, *order)
     schema = T.StructType(src.schema.fields + [T.StructField(_CHUNK, T.IntegerType())]
                           + [T.StructField(o, T.LongType()) for o in sums])
-    keys_ = list(part_cols)
+    keys_, names = list(part_cols), schema.names
 
     def scan(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        prev_key, carry = None, {o: 0 for o in sums}
-        for pdf in batches:
-            if pdf.empty:
+        last, carry = None, [0] * len(sums)
+        for b in batches:
+            if not b.num_rows:
                 continue
-            keys = _key_frame(pdf, keys_)
-            gid, cont = _group_ids(keys, prev_key)
-            res = pdf.assign(**{_CHUNK: np.int32(pid)})
-            for o in sums:
-                cs = pdf[vals[o]].fillna(0).astype("int64").groupby(gid).cumsum().to_numpy()
-                if cont:
-                    cs[gid == 0] += carry[o]
-                carry[o] = int(cs[-1])
-                res[o] = cs
-            prev_key = tuple(keys.iloc[-1]) if keys_ else ()
-            yield res
+            keys = [_column(b, c) for c in keys_]
+            run, starts, goes_on = _runs(keys, b.num_rows, last)
+            totals = []
+            for i, v in enumerate(vals.values()):
+                x = _column(b, v).to_numpy(zero_copy_only=False)
+                cum = np.cumsum(x, dtype=np.int64)
+                cum = cum - (cum[starts] - x[starts])[run]
+                if goes_on:
+                    cum[run == 0] += carry[i]
+                carry[i] = int(cum[-1])
+                totals.append(pa.array(cum, pa.int64()))
+            last = [c.slice(b.num_rows - 1, 1) for c in keys]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, pid, np.int32)), *totals], names=names)
 
     # Range bounds come from sampling and differ between jobs, so the chunked scan is written once
     # (reliable checkpoint in the shared folder) and both the rows and the chunk totals read it.
-    scanned = cut_lineage(ranged.mapInPandas(scan, schema))
+    scanned = cut_lineage(ranged.mapInArrow(scan, schema))
     totals = scanned.groupBy(*keys_, _CHUNK).agg(*[F.sum(vals[o]).alias(f"_tot_{o}") for o in sums])
     before = Window.partitionBy(*keys_).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*keys_, _CHUNK, *[F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_base_{o}")
@@ -149,35 +122,22 @@ def running_sum(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, v
 
 
 def running_count(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence, out: str,
-                  n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
+                  n_chunks: int | None = None) -> DataFrame:
     """1-based ordinal per key (a skew-safe ``row_number``)."""
-    return running_sum(df, part_cols, order_cols, None, out, n_chunks, strategy)
+    return running_sum(df, part_cols, order_cols, None, out, n_chunks)
 
 
 def next_match(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], cond: Column,
-               payload: Sequence[str], prefix: str, n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
+               payload: Sequence[str], prefix: str, n_chunks: int | None = None) -> DataFrame:
     """Adds ``{prefix}{p}`` for each payload column: the value on the first row strictly after the
     current one (same key, ascending ``order_cols``, which must be total) where ``cond`` holds;
     NULL when there is none. Chunked by range so a hot key spreads over many tasks."""
-    return next_matches(df, key_cols, order_cols, {prefix: cond}, payload, n_chunks, strategy)
+    return next_matches(df, key_cols, order_cols, {prefix: cond}, payload, n_chunks)
 
 
 def next_matches(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], conds: dict[str, Column],
-                 payload: Sequence[str], n_chunks: int | None = None, strategy: str = "auto") -> DataFrame:
-    """Several ``next_match`` searches (one per prefix -> condition) in a single pass: one window
-    (descending order, running frame) when every key is small, else one chunked scan."""
-    if use_window(df, key_cols, strategy):
-        w = (Window.partitionBy(*key_cols) if key_cols else Window.partitionBy(F.lit(0)))
-        w = w.orderBy(*[F.col(c).desc() for c in order_cols]).rowsBetween(Window.unboundedPreceding, -1)
-        out = df
-        for pre, cond in conds.items():
-            hit = F.last(F.when(F.coalesce(cond, F.lit(False)), F.struct(*[F.col(p).alias(p) for p in payload])),
-                         ignorenulls=True).over(w)
-            out = out.withColumn(f"_nx_{pre}", hit)
-        for pre in conds:
-            for p in payload:
-                out = out.withColumn(pre + p, F.col(f"_nx_{pre}")[p])
-        return out.drop(*[f"_nx_{pre}" for pre in conds])
+                 payload: Sequence[str], n_chunks: int | None = None) -> DataFrame:
+    """Several ``next_match`` searches (one per prefix -> condition) in a single chunked scan."""
     n = _n_chunks(df, n_chunks)
     prefixes = list(conds)
     flags = [f"_m{i}" for i in range(len(prefixes))]
@@ -194,45 +154,42 @@ def next_matches(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[st
     out_fields = [T.StructField(pre + p, src.schema[p].dataType) for pre in prefixes for p in payload]
     schema = T.StructType(src.schema.fields + [T.StructField(_CHUNK, T.IntegerType())]
                           + [T.StructField(h, T.BooleanType()) for h in hits] + out_fields)
+    names = schema.names
 
     def scan(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        prev_key = None
-        carry = [None] * len(prefixes)
-        for pdf in batches:
-            if pdf.empty:
+        last: list[pa.Array] | None = None
+        carry: list[list[pa.Array] | None] = [None] * len(prefixes)  # payload of the last match, one row each
+        for b in batches:
+            size = b.num_rows
+            if not size:
                 continue
-            keys = _key_frame(pdf, keys_)
-            gid, cont = _group_ids(keys, prev_key)
-            out = pdf.assign(**{_CHUNK: np.int32(pid)})
-            last_gid = gid[-1]
-            for ci, (pre, f, h) in enumerate(zip(prefixes, flags, hits)):
-                m = pdf[f].to_numpy(dtype=bool)
-                pos = np.where(m, np.arange(len(pdf), dtype=np.float64), np.nan)
-                seen = pd.Series(pos).groupby(gid).shift(1).groupby(gid).ffill().to_numpy()
-                has = ~np.isnan(seen)
-                idx = np.where(has, seen, 0).astype(np.int64)
-                carried = cont & (gid == 0) & ~has & (carry[ci] is not None)
-                for p in payload:
-                    vals = pdf[p].to_numpy(dtype=object)
-                    v = np.where(has, vals[idx], None).astype(object)
-                    if carry[ci] is not None:
-                        v[carried] = carry[ci][p]
-                    out[pre + p] = pd.Series(v, index=pdf.index)
-                out[h] = has | carried
-                # carry: last match of the batch's last key, else keep the previous carry
-                in_last = np.nonzero((gid == last_gid) & m)[0]
-                if len(in_last):
-                    carry[ci] = {p: pdf[p].iloc[in_last[-1]] for p in payload}
-                elif not (cont and last_gid == 0):
-                    carry[ci] = None
-            prev_key = tuple(keys.iloc[-1]) if keys_ else ()
-            yield out
+            keys, given = [_column(b, c) for c in keys_], [_column(b, p) for p in payload]
+            run, starts, goes_on = _runs(keys, size, last)
+            found, values = [], []
+            for i, flag in enumerate(flags):
+                m = _column(b, flag).to_numpy(zero_copy_only=False)
+                upto = np.maximum.accumulate(np.where(m, np.arange(size), -1))
+                seen = np.concatenate(([-1], upto[:-1]))  # the last match before each row
+                inside = seen >= starts[run]
+                held = ~inside & (run == 0) & (goes_on and carry[i] is not None)
+                # row 0 of what is taken from is the carried match, row j + 1 is row j of the batch
+                take = pa.array(np.where(inside, seen + 1, 0), pa.int64(), mask=~(inside | held))
+                for j, col in enumerate(given):
+                    first = carry[i][j] if carry[i] is not None else pa.nulls(1, col.type)
+                    values.append(pa.concat_arrays([first, col]).take(take))
+                found.append(pa.array(inside | held))
+                if upto[-1] >= starts[-1]:
+                    carry[i] = [col.slice(int(upto[-1]), 1) for col in given]
+                elif not (goes_on and len(starts) == 1):
+                    carry[i] = None
+            last = [c.slice(size - 1, 1) for c in keys]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(size, pid, np.int32)), *found, *values], names=names)
 
     # Range bounds come from sampling and differ between jobs: write the chunked scan once.
-    scanned = cut_lineage(ranged.mapInPandas(scan, schema))
+    scanned = cut_lineage(ranged.mapInArrow(scan, schema))
     # First match of each (key, chunk) per condition, then the first one in any later chunk.
     heads = scanned.groupBy(*keys_, _CHUNK).agg(*[
         F.min(F.when(F.col(f), F.struct(*[F.col(c) for c in order_cols], *[F.col(p).alias("p_" + p) for p in payload])))
