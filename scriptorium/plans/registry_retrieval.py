@@ -79,7 +79,23 @@ def v3(spark, sf):
     return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@register("V4_ann_top_k")
+def _bucket_sql(vec: str) -> str:
+    return f"sum(CASE WHEN list_dot_product({vec}, p) > 0 THEN 1::bigint << bit ELSE 0 END)::bigint AS bucket"
+
+
+@register("V4_ann_top_k", f"""
+WITH {_CENTROID_SQL},
+n AS (SELECT greatest(4, length(bin(count(*) // 64))) AS bits FROM embeddings),
+pl AS (SELECT b // bits AS band, cast(b % bits AS int) AS bit,
+              list(CASE WHEN ('0x' || substr(md5(b || ':' || i), 8, 1))::int % 2 = 1 THEN 1.0::double ELSE -1.0::double END ORDER BY i) AS p
+       FROM n, range(16 * 64) r(b), range(64) d(i) WHERE b < 16 * bits GROUP BY ALL),
+qs AS (SELECT query_id, band, {_bucket_sql('qv')} FROM q, pl GROUP BY query_id, band),
+es AS (SELECT vec_id, band, {_bucket_sql('cast(embedding AS double[])')} FROM embeddings, pl WHERE embedding IS NOT NULL GROUP BY vec_id, band),
+k AS (SELECT DISTINCT query_id, vec_id FROM qs JOIN es USING (band, bucket)),
+s AS (SELECT k.query_id, k.vec_id AS doc_id, list_cosine_similarity(q.qv, cast(e.embedding AS double[])) AS score
+      FROM k JOIN q ON q.query_id = k.query_id JOIN embeddings e ON e.vec_id = k.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5""")
 def v4(spark, sf):
     corpus = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     top = R.ann_top_k(label_centroids(spark, sf), corpus, 5)
