@@ -76,14 +76,17 @@ class MarkdownConverter(TextConverter):
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
 _SKIP = {"script", "style", "nav", "head", "template", "noscript"}
 _BLOCK_CONTAINERS = {"div", "footer", "article", "section", "main", "header", "aside", "body", "ul", "ol",
-                     "table", "blockquote"}
+                     "table", "caption", "tr", "blockquote", "pre", "dl", "dt", "dd", "figure", "figcaption"}
+# what may stand in a head; any other start tag ends it, as its end tag is optional
+_METADATA = {"title", "meta", "link", "base", "html"}
 
 
 class _BlockParser(HTMLParser):
-    def __init__(self):
+    def __init__(self, skip=frozenset(_SKIP)):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, str]] = []
-        self.skip = 0
+        self.skipped_tags = skip
+        self.skip: list[str] = []  # open elements that are dropped
         self.cur: list[str] | None = None
         self.cur_kind: tuple[str, int] | None = None
         self.loose: list[str] = []
@@ -103,9 +106,11 @@ class _BlockParser(HTMLParser):
         self.loose = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.skip += 1
+        if tag in self.skipped_tags:
+            self.skip.append(tag)
             return
+        if self.skip == ["head"] and tag not in _METADATA:
+            self.skip.pop()
         if self.skip:
             return
         if tag in _HEADINGS or tag in ("p", "li"):
@@ -116,12 +121,13 @@ class _BlockParser(HTMLParser):
         elif tag in _BLOCK_CONTAINERS:
             self._flush()
             self._flush_loose()
-        elif tag == "br":
+        elif tag in ("br", "td", "th"):
             (self.cur if self.cur is not None else self.loose).append(" ")
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
+        if tag in self.skipped_tags:
+            if tag in self.skip:
+                del self.skip[self.skip.index(tag):]
             return
         if self.skip:
             return
@@ -144,16 +150,25 @@ class _BlockParser(HTMLParser):
 
 class HtmlConverter(Converter):
     """HTML/XHTML with the standard-library parser: headings, paragraphs, list items and loose text
-    of block containers; script, style, head and navigation are dropped; entities decoded."""
+    of block containers (a table row is one block, its cells apart); script, style, head and
+    navigation are dropped; entities decoded. A head ends where its end tag is left out; navigation
+    that is never closed is kept as text rather than taking the rest of the page with it."""
 
     name = "html"
 
     def convert(self, content):
-        p = _BlockParser()
-        p.feed(content or "")
-        p.close()
+        p = self._parsed(content or "")
+        if p.skip:
+            p = self._parsed(content or "", frozenset(_SKIP - ({"nav", "noscript"} & set(p.skip))))
         return p.blocks
 
+    @staticmethod
+    def _parsed(content: str, *skip) -> _BlockParser:
+        p = _BlockParser(*skip)
+        p.feed(content)
+        p.close()
+        return p
+
 
 # fixed values: converter chosen per lower-cased suffix on the text route
 TEXT_ROUTE_CONVERTERS = {".html": "html", ".htm": "html", ".md": "markdown", ".markdown": "markdown"}

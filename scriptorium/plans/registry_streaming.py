@@ -112,11 +112,13 @@ def k6c(spark, sf):
     return J.topic_retention(fx.topic(spark, sf), NOW_TOPIC).select("key", "partition", "offset", "bytes_from_newest")
 
 
-@register("K8_heartbeat_monitor", """
-WITH n AS (SELECT worker_id, ts, lead(ts) OVER (PARTITION BY worker_id ORDER BY ts, event_id) AS nxt FROM task_events)
-SELECT worker_id, ts AS silent_from, nxt AS silent_until FROM n WHERE nxt - ts > INTERVAL 900 SECOND""", ("task_events",))
+@register("K8_heartbeat_monitor", f"""
+WITH n AS (SELECT worker_id, ts, lead(ts) OVER (PARTITION BY worker_id ORDER BY ts, event_id) AS nxt FROM task_events
+           WHERE ts <= TIMESTAMP '{NOW_TOPIC}')
+SELECT worker_id, ts AS silent_from, nxt AS silent_until FROM n
+WHERE coalesce(nxt, TIMESTAMP '{NOW_TOPIC}') - ts > INTERVAL 900 SECOND""", ("task_events",))
 def k8(spark, sf):
-    return J.silent_gaps(fx.task_events(spark, sf), 900)
+    return J.silent_gaps(fx.task_events(spark, sf), NOW_TOPIC, 900)
 
 
 @register("W3_queue_depth", """

@@ -85,13 +85,15 @@ def heartbeat_windows(events: DataFrame, every: str = "900 seconds", watermark:
             .select("worker_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "count"))
 
 
-def silent_gaps(events: DataFrame, max_silence_seconds: int = 900) -> DataFrame:
-    """K8 (batch form): every stretch longer than ``max_silence_seconds`` between consecutive
-    events of one worker. The successor comes from ``next_match`` (range-chunked), so a worker
-    with a third of all events is still spread over many tasks."""
-    e = events.select("worker_id", "ts", "event_id")
+def silent_gaps(events: DataFrame, as_of, max_silence_seconds: int = 900) -> DataFrame:
+    """K8 (batch form): every stretch longer than ``max_silence_seconds`` between consecutive events of
+    one worker up to ``as_of``, and the open one since its last event (``silent_until`` NULL): a worker
+    that never came back is reported too. The successor comes from ``next_match`` (range-chunked), so a
+    worker with a third of all events is still spread over many tasks."""
+    end = F.lit(as_of).cast("timestamp_ntz")
+    e = events.filter(F.col("ts") <= end).select("worker_id", "ts", "event_id")
     nxt = next_match(e, ["worker_id"], ["ts", "event_id"], F.lit(True), ["ts"], "next_")
-    gap = F.timestamp_diff("MICROSECOND", "ts", "next_ts")
+    gap = F.timestamp_diff("MICROSECOND", "ts", F.coalesce("next_ts", end))
     return (nxt.filter(gap > F.lit(max_silence_seconds * 1_000_000))
             .select("worker_id", F.col("ts").alias("silent_from"), F.col("next_ts").alias("silent_until")))
 

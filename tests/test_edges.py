@@ -170,3 +170,23 @@ def test_project_fields_selection(spark):
     assert got["gone"][0].startswith("Task completed but result files have been cleaned up")
     assert got["nodir"] == ("Result directory does not exist", None, None)
     assert got["wait"] == ("Task is in pending status, data not available yet", None, None)
+
+
+def test_html_left_open():
+    from scriptorium.operators.converters import HtmlConverter
+
+    c = HtmlConverter().convert
+    assert c("<html><head><title>t</title><body><p>one</body></html>") == [("paragraph", 0, "one")]
+    assert c("<head><title>t</title><script>x</script></head><p>a</p>") == [("paragraph", 0, "a")]
+    assert c("<p>a</p><nav>menu<p>b</p>") == [("paragraph", 0, "a"), ("text", 0, "menu"), ("paragraph", 0, "b")]
+    assert c("<nav>menu</nav><p>b</p><script>var x") == [("paragraph", 0, "b")]
+    assert c("<table><tr><td>a<td>b</tr><tr><th>c</th><th>d</th></tr></table>") == [("text", 0, "a b"), ("text", 0, "c d")]
+
+
+def test_silence_since_the_last_event(spark):
+    from scriptorium.streaming.jobs import silent_gaps
+
+    e = spark.sql("SELECT * FROM VALUES ('w', timestamp_ntz'2024-01-01 00:00:00', 1L), ('w', timestamp_ntz'2024-01-01 01:00:00', 2L), "
+                  "('x', timestamp_ntz'2024-01-01 01:50:00', 3L), ('x', timestamp_ntz'2024-01-01 03:00:00', 4L) t(worker_id, ts, event_id)")
+    got = {(r.worker_id, r.silent_from.hour, r.silent_until and r.silent_until.hour) for r in silent_gaps(e, "2024-01-01 02:00:00").collect()}
+    assert got == {("w", 0, 1), ("w", 1, None)}
