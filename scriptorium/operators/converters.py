@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+from ..functions.columns import IMAGE_REF_PATTERN
+
 _WS = re.compile(r"\s+")
 _EDGE = re.compile(r"^[ \t\r]+|[ \t\r]+$")
 
@@ -56,22 +58,36 @@ def classify_line(line: str) -> tuple[str, int, str]:
 
 
 class MarkdownConverter(TextConverter):
-    """Markdown: like text, plus one ``image`` block per image reference and one ``equation`` block
-    per display formula found inside a line (after the line's own block)."""
+    """Markdown: like text, but image references and display formulas inside a line are blocks of
+    their own, in reading order, and the text around them loses them. The line's type stays with its
+    first piece of text; later pieces are paragraphs. Dropping an equation block (P6) therefore takes
+    the formula out of the document."""
 
     name = "markdown"
-    _img = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)")
-    _disp = re.compile(r"\$\$(.+?)\$\$")
+    _inside = re.compile(IMAGE_REF_PATTERN + r"|\$\$(.+?)\$\$")
 
     def convert(self, content):
         out = []
-        for block in super().convert(content):
-            out.append(block)
-            text = block[2]
-            out.extend(("image", 0, m.group(2)) for m in self._img.finditer(text))
-            out.extend(("equation", 0, m.group(1)) for m in self._disp.finditer(text))
+        for kind, level, text in super().convert(content):
+            if kind == "equation":
+                out.append((kind, level, text))
+                continue
+            at = 0
+            for m in self._inside.finditer(text):
+                self._text(out, kind, level, text[at:m.start()])
+                if _EDGE.sub("", text[:m.start()]):
+                    kind, level = "paragraph", 0
+                out.append(("image", 0, m.group(2)) if m.group(3) is None else ("equation", 0, m.group(3)))
+                at = m.end()
+            self._text(out, kind, level, text[at:])
         return out
 
+    @staticmethod
+    def _text(out, kind, level, piece):
+        piece = _EDGE.sub("", piece)
+        if piece:
+            out.append((kind, level, piece))
+
 
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
 _SKIP = {"script", "style", "nav", "head", "template", "noscript"}

@@ -183,20 +183,24 @@ def _md_blocks(spark, sf):
 
 
 @register("P6_element_toggles", """
-WITH md AS (SELECT doc_id, md FROM md_docs),
-typed AS (SELECT doc_id, ['heading'] ||
-                 list_transform(range(len(regexp_extract_all(md, '!\\[([^\\]]*)\\]\\(([^)]+)\\)'))), lambda x: 'image') ||
-                 list_transform(range(len(regexp_extract_all(md, '\\$\\$(.+?)\\$\\$'))), lambda x: 'equation') AS types
-          FROM md),
-blocks AS (SELECT doc_id, unnest(types) AS type, generate_subscripts(types, 1) - 1 AS block_idx FROM typed),
-opts AS (SELECT page_id AS doc_id, starts_with(url, 'https') AS formula_enable FROM pages)
-SELECT b.doc_id, cast(b.block_idx AS int) AS block_idx, b.type FROM blocks b JOIN opts o ON b.doc_id = o.doc_id
-WHERE NOT (b.type = 'equation' AND NOT o.formula_enable)""", ("md_docs",))
+WITH pieces AS (
+  SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
+  FROM (SELECT doc_id, list_filter(list_transform(string_split(
+                 regexp_replace(md, '(!\\[[^\\]]*\\]\\([^)]+\\)|\\$\\$.+?\\$\\$)', chr(1) || '\\1' || chr(1), 'g'), chr(1)),
+                 lambda x: trim(x)), lambda x: x <> '') AS ps FROM md_docs)),
+opts AS (SELECT page_id AS doc_id, starts_with(url, 'https') AS formula_enable FROM pages),
+lines AS (
+  SELECT p.doc_id, p.i, CASE WHEN starts_with(piece, '![') THEN regexp_replace(piece, '!\\[[^\\]]*\\]', '![]') ELSE piece END AS line
+  FROM pieces p JOIN opts o ON p.doc_id = o.doc_id
+  WHERE o.formula_enable OR NOT starts_with(piece, '$$'))
+SELECT doc_id, cast(count(*) AS bigint) AS n_blocks, string_agg(line, chr(10) || chr(10) ORDER BY i) AS markdown
+FROM lines GROUP BY doc_id""", ("md_docs",))
 def p6(spark, sf):
     opts = load(spark, sf, "pages").select(F.col("page_id").alias("doc_id"),
                                            F.col("url").startswith("https").alias("formula_enable"),
                                            F.lit(True).alias("table_enable"))
-    return D.element_toggles(_md_blocks(spark, sf), opts).select("doc_id", "block_idx", "type")
+    kept = D.element_toggles(_md_blocks(spark, sf), opts)
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks")).join(D.blocks_to_markdown(kept), "doc_id")
 
 
 _P7_SQL = f"""
