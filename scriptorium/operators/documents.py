@@ -242,10 +242,16 @@ ARTIFACT_PATTERNS = [
 ]
 
 
+def is_image(path) -> Column:
+    """A file with an image extension in an ``images`` folder."""
+    p = F.col(path) if isinstance(path, str) else path
+    return p.contains("/images/") & C.file_suffix(p).isin(C.IMAGE_EXTENSIONS)
+
+
 def classify_artifact(path: Column) -> Column:
     """A2: kind of a result file from its path (images by extension under ``images/``)."""
     name = C.basename(path)
-    expr = F.when(path.contains("/images/") & C.file_suffix(name).isin(C.IMAGE_EXTENSIONS), "image")
+    expr = F.when(is_image(path), "image")
     for kind, pat in ARTIFACT_PATTERNS:
         expr = expr.when(name.rlike(pat), kind)
     return expr.otherwise("other")
@@ -266,16 +272,21 @@ def first_artifact(artifacts: DataFrame, exclude_md_variants: bool = True) -> Da
 def image_inventory(tasks: DataFrame, artifacts: DataFrame, include_base64: bool = False,
                     uploaded: bool = False) -> DataFrame:
     """A5: per task, count and path-sorted list of images (allowed extensions, case-insensitive);
-    tasks without images get count 0. base64 only when asked for and not uploaded. The list is one
-    task's images (one document's output), so it is bounded by that document."""
-    img = artifacts.filter(C.file_suffix("path").isin(C.IMAGE_EXTENSIONS) & F.col("path").contains("/images/"))
-    entry = F.struct(F.col("path"), C.basename("path").alias("name"), F.col("size"))
+    tasks without images get count 0 and a NULL list. With ``uploaded`` an entry carries the ``url``
+    column of ``artifacts`` (NULL for an object that failed to upload); otherwise, with
+    ``include_base64``, the base64 text of ``content`` (NULL where the file could not be read). The list
+    is one task's images (one document's output), so it is bounded by that document."""
+    img = artifacts.filter(is_image("path"))
+    entry = [F.col("path"), C.basename("path").alias("name"), F.col("size")]
+    if uploaded:
+        entry.append(F.col("url"))
+    elif include_base64:
+        entry.append(C.b64_encode("content").alias("base64"))
     per = (img.groupBy("task_id")
-           .agg(F.count(F.lit(1)).alias("image_count"), F.array_sort(F.collect_list(entry)).alias("images")))
-    out = (tasks.select("task_id").join(per, "task_id", "left")
-           .select("task_id", F.coalesce("image_count", F.lit(0)).alias("image_count"), "images",
-                   F.lit(uploaded).alias("uploaded"), F.lit(include_base64 and not uploaded).alias("include_base64")))
-    return out
+           .agg(F.count(F.lit(1)).alias("image_count"), F.array_sort(F.collect_list(F.struct(*entry))).alias("images")))
+    return (tasks.select("task_id").join(per, "task_id", "left")
+            .select("task_id", F.coalesce("image_count", F.lit(0)).alias("image_count"), "images",
+                    F.lit(uploaded).alias("uploaded")))
 
 
 def plan_object_urls(images: DataFrame, endpoint: str, bucket: str, scheme: str = "http") -> DataFrame:
@@ -312,22 +323,48 @@ def rewrite_image_refs(docs: DataFrame, resolved: DataFrame, enabled: bool = Tru
                     .alias("md_out"))
 
 
-def task_status_view(tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The status row; for completed tasks with files the data part names the first Markdown
-    file (the status endpoint does not skip _layout variants) and whether images exist."""
-    md = first_artifact(artifacts.filter(F.col("kind") == "md"), exclude_md_variants=False) \
-        .select("task_id", C.basename("path").alias("markdown_file"))
-    has_img = artifacts.filter(F.col("kind") == "image").select("task_id").distinct().withColumn("has_images", F.lit(True))
-    j = tasks.join(md, "task_id", "left").join(has_img, "task_id", "left")
+def _first(kind: str, *fields: str, skip_variants: bool = False) -> Column:
+    """Fields of the artifact of one kind with the smallest path, as one conditional aggregate."""
+    cond = F.col("kind") == kind
+    if skip_variants:
+        cond = cond & ~C.file_stem("path").rlike("_(layout|span|origin)$")
+    return F.min_by(F.when(cond, F.struct(C.basename("path").alias("file_name"), *fields)), F.when(cond, F.col("path")))
+
+
+def served_markdown(docs: DataFrame, artifacts: DataFrame, upload_images: bool) -> DataFrame:
+    """Markdown text as the endpoints return it: ``docs`` (doc_id, md); with ``upload_images`` the
+    references to images of the same task that have a ``url`` become ``<img>`` tags."""
+    if not upload_images:
+        return docs.select("doc_id", F.col("md").alias("md_out"))
+    urls = (artifacts.filter(is_image("path")).groupBy(F.col("task_id").alias("doc_id"), C.basename("path").alias("name"))
+            .agg(F.min_by("url", "path").alias("url")))  # one url for a name that occurs twice
+    return rewrite_image_refs(docs, resolve_image_refs(docs, urls))
+
+
+def task_status_view(tasks: DataFrame, artifacts: DataFrame, upload_images: bool = False) -> DataFrame:
+    """The status row; for completed tasks with files the data part has the first Markdown file (the
+    status endpoint does not skip _layout variants), its content, whether images were uploaded, and
+    whether images exist (NULL when they were uploaded). One aggregate reads the artifacts, one join
+    brings them to the tasks."""
+    per = artifacts.groupBy("task_id").agg(_first("md", "content").alias("_md"),
+                                           F.max(F.col("kind") == "image").alias("_img"))
+    j = tasks.join(per, "task_id", "left")
     completed = F.col("status") == "completed"
-    with_data = completed & F.col("result_path").isNotNull() & F.col("markdown_file").isNotNull()
-    return j.select(
+    with_data = completed & F.col("result_path").isNotNull() & F.col("_md").isNotNull()
+    view = j.select(
         "task_id", "status", "file_name", "backend", "priority", "error_message", "result_path",
         "created_at", "started_at", "completed_at", "worker_id", "retry_count",
-        F.when(with_data, F.col("markdown_file")).alias("data_markdown_file"),
-        F.when(with_data, F.coalesce("has_images", F.lit(False))).alias("data_has_images"),
+        F.when(with_data, F.col("_md.file_name")).alias("data_markdown_file"),
+        F.when(with_data, F.col("_md.content").cast("string")).alias("data_content"),
+        F.when(with_data, F.lit(upload_images)).alias("data_images_uploaded"),
+        F.when(with_data & ~F.lit(upload_images), F.coalesce("_img", F.lit(False))).alias("data_has_images"),
         F.when(completed & F.col("result_path").isNull(), F.lit(C.MSG_CLEANED)).alias("message"),
     )
+    if not upload_images:
+        return view
+    docs = view.filter(F.col("data_content").isNotNull()).select(F.col("task_id").alias("doc_id"), F.col("data_content").alias("md"))
+    new = served_markdown(docs, artifacts, True).withColumnRenamed("doc_id", "task_id")
+    return view.join(new, "task_id", "left").withColumn("data_content", F.coalesce("md_out", "data_content")).drop("md_out")
 
 
 # fixed values: requestable result fields and the default selection
@@ -336,32 +373,46 @@ DEFAULT_FIELDS = "md,content_list,middle_json,model_output,images"
 
 
 def project_fields(tasks: DataFrame, artifacts: DataFrame, include_fields: str = DEFAULT_FIELDS,
-                   include_metadata: bool = True) -> DataFrame:
-    """The data endpoint. The comma list is parsed on the driver (it is an argument, not data);
-    only requested kinds are selected, so unrequested artifact columns never leave the scan.
-    Non-completed tasks get only the status message."""
+                   include_metadata: bool = True, upload_images: bool = False,
+                   include_image_base64: bool = False) -> DataFrame:
+    """The data endpoint. The comma list is parsed on the driver (it is an argument, not data).
+    ``artifacts`` has task_id, kind, path, size, modified_at and content (``url`` too with
+    ``upload_images``); a bare listing without content gives names, sizes and counts only. Markdown comes with its text, JSON artifacts with theirs unless malformed (then
+    the whole field is absent), PDFs with their path; metadata is size and modification time; images are
+    the list of A5. Columns of fields not asked for are never read, and one aggregate per task
+    gathers the files. Non-completed tasks get only the status message."""
     wanted = [f for f in (x.strip() for x in include_fields.split(",")) if f in RESULT_FIELDS]
-    kinds = [k for k in wanted if k != "images"]
-    cols = []
-    piv = None
-    if kinds:
-        firsts = first_artifact(artifacts.filter(F.col("kind").isin(*kinds)))
-        piv = (firsts.groupBy("task_id").pivot("kind", kinds)
-               .agg(F.first(F.struct(C.basename("path").alias("file_name"), F.col("size")))))
-    has_files = artifacts.select("task_id").distinct().withColumn("_has", F.lit(True))
-    base = tasks.select("task_id", "status", "result_path").join(has_files, "task_id", "left")
-    if piv is not None:
-        base = base.join(piv, "task_id", "left")
+    kinds = [k for k in RESULT_FIELDS if k in wanted and k != "images"]
+    meta = [m for m in ("size", "modified_at") if include_metadata and m in artifacts.columns]
+    bare = "content" not in artifacts.columns
+    firsts = [_first(k, *meta, "path" if bare or k.endswith("_pdf") else "content", skip_variants=k == "md").alias(k)
+              for k in kinds]
+    per = artifacts.groupBy("task_id").agg(F.lit(True).alias("_has"), *firsts)
+    base = tasks.select("task_id", "status", "result_path").join(per, "task_id", "left")
     if "images" in wanted:
-        inv = image_inventory(tasks.select("task_id"), artifacts).select("task_id", "image_count")
-        base = base.join(inv, "task_id", "left")
+        base = base.join(image_inventory(tasks.select("task_id"), artifacts, include_image_base64, upload_images), "task_id", "left")
+    if "md" in kinds and upload_images and not bare:
+        docs = base.filter(F.col("md").isNotNull()).select(F.col("task_id").alias("doc_id"), F.col("md.content").cast("string").alias("md"))
+        base = base.join(served_markdown(docs, artifacts, True).withColumnRenamed("doc_id", "task_id"), "task_id", "left")
     ok = (F.col("status") == "completed") & F.col("result_path").isNotNull() & F.coalesce("_has", F.lit(False))
+    cols = []
     for k in kinds:
-        cols.append(F.when(ok, F.col(f"`{k}`.file_name")).alias(f"{k}_file"))
-        if include_metadata:
-            cols.append(F.when(ok, F.col(f"`{k}`.size")).alias(f"{k}_size"))
+        there = ok & F.col(k).isNotNull()
+        if k.endswith("_pdf"):
+            cols.append(F.when(there, F.col(f"{k}.path")).alias(f"{k}_path"))
+        elif not bare:
+            text = F.col(f"{k}.content").cast("string")
+            if k == "md":
+                text = F.coalesce("md_out", text) if upload_images else text
+            else:
+                there = there & F.try_parse_json(text).isNotNull()
+            cols.append(F.when(there, text).alias(f"{k}_content"))
+        cols.append(F.when(there, F.col(f"{k}.file_name")).alias(f"{k}_file"))
+        cols += [F.when(there, F.col(f"{k}.{m}")).alias(f"{k}_{m}") for m in meta]
     if "images" in wanted:
         cols.append(F.when(ok, F.col("image_count")).alias("images_count"))
+        if not bare:
+            cols.append(F.when(ok, F.col("images")).alias("images"))
     msg = C.status_message(F.col("status"), F.col("result_path"), F.col("_has"))
     return base.select("task_id", "status", msg.alias("message"), *cols)
 
@@ -384,9 +435,9 @@ def response_flags(docs: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def images_map(artifacts: DataFrame) -> DataFrame:
-    """``{basename: data-URI}`` per task for ``.jpg`` images (the v1 response lists only those).
-    Artifact listings carry no bytes here, so ``content`` falls back to the path bytes."""
-    jpg = artifacts.filter(F.lower(C.basename("path")).endswith(".jpg"))
-    content = F.col("content") if "content" in artifacts.columns else F.encode("path", "UTF-8")
-    entry = F.struct(C.basename("path").alias("k"), C.data_uri(content).alias("v"))
-    return (jpg.groupBy("task_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("images")))
+    """``{basename: data-URI}`` per task for ``.jpg`` images, in that case only (the v1 response
+    lists no others). Needs the ``content`` bytes. Of files with one name the smallest path counts."""
+    jpg = artifacts.filter(F.col("path").contains("/images/") & C.basename("path").endswith(".jpg"))
+    one = jpg.groupBy("task_id", C.basename("path").alias("k")).agg(F.min_by("content", "path").alias("c"))
+    entry = F.struct("k", C.data_uri("c").alias("v"))
+    return one.groupBy("task_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("images"))

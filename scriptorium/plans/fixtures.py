@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import cut_lineage, load, scratch_path
 from .scale import running_count
 
 AS_OF = "1998-06-01 00:00:00"
@@ -76,6 +76,7 @@ ARTIFACT_KINDS = [
     ("image", "images/", "_1.JPG", 6),
     ("image", "images/", "_0.png", 7),
     ("other", "images/", "_2.tmp", 8),
+    ("image", "images/", "_3.jpg", 9),
 ]
 
 
@@ -97,6 +98,38 @@ def artifacts(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None)
     )
 
 
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The artifact listing with ``content`` (bytes) and ``modified_at``, written once as a result table
+    in the shared folder and read back. Task ``t{k}`` stands for
+    document ``k mod n`` (ids are 0..n-1): its Markdown, content list and middle JSON are the converted
+    text of that document, the model output is its metadata (cut short, hence malformed, for every
+    seventh task), and an image file holds a JPEG or PNG signature followed by the text."""
+    from ..operators import documents as D
+    from ..sources import files as SF
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    blocks = cut_lineage(D.to_blocks(docs, "doc_id", "text", "text"))  # converted once for the three layouts
+    per_doc = (docs.join(D.blocks_to_markdown(blocks), "doc_id", "left")
+               .join(D.content_list(blocks).select("doc_id", F.to_json("content_list").alias("content_list_json")), "doc_id", "left")
+               .join(D.middle_json(blocks).select("doc_id", "middle_json"), "doc_id", "left"))
+    n_docs = load(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
+    num = F.substring("task_id", 2, 1 << 20).cast("bigint")
+    listing = artifacts(spark, sf_dir).drop("size").withColumn("doc_id", num % n_docs)
+    model = F.to_json(F.struct("lang", "n_chars"))
+    image = F.concat(F.when(F.col("path").endswith(".png"), F.unhex(F.lit("89504E47"))).otherwise(F.unhex(F.lit("FFD8FF"))),
+                     F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    text = (F.when(F.col("kind") == "md", F.col("markdown")).when(F.col("kind") == "content_list", F.col("content_list_json"))
+            .when(F.col("kind") == "middle_json", F.col("middle_json"))
+            .when(F.col("kind") == "model_output", F.when(num % 7 == 0, F.substring(model, 1, 9)).otherwise(model)))
+    content = F.when(F.col("kind") == "image", image).otherwise(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+    files = (listing.join(per_doc, "doc_id", "left").withColumn("content", content)
+             .select("task_id", "kind", "path", F.octet_length("content").cast("bigint").alias("size"),
+                     (ts_lit(AS_OF) - _minutes(num % 1440)).alias("modified_at"), "content"))
+    root = scratch_path(spark, "result-files")
+    SF.write_results(files, root, "0")
+    return SF.read_results(spark, root)
+
+
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown with image refs and formulas, one per page."""
     p = load(spark, sf_dir, "pages").select("page_id")

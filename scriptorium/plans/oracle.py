@@ -53,8 +53,49 @@ FROM tasks t CROSS JOIN (
   SELECT 'model_output', 'doc', '_model.json', 5 UNION ALL
   SELECT 'image', 'images/', '_1.JPG', 6 UNION ALL
   SELECT 'image', 'images/', '_0.png', 7 UNION ALL
-  SELECT 'other', 'images/', '_2.tmp', 8) k
+  SELECT 'other', 'images/', '_2.tmp', 8 UNION ALL
+  SELECT 'image', 'images/', '_3.jpg', 9) k
 WHERE t.result_path IS NOT NULL AND cast(substr(t.task_id, 2) AS bigint) % 11 <> 0""",
+    "result_files": """
+SELECT task_id, kind, path, octet_length(content)::bigint AS size, modified_at, content
+FROM (
+  SELECT a.task_id, a.kind, a.path,
+         TIMESTAMP '1998-06-01 00:00:00' - INTERVAL '1' MINUTE * cast(a.num % 1440 AS int) AS modified_at,
+         CASE a.kind WHEN 'md' THEN encode(coalesce(c.markdown, '')) WHEN 'content_list' THEN encode(coalesce(c.cl, ''))
+              WHEN 'middle_json' THEN encode(coalesce(c.mj, ''))
+              WHEN 'model_output' THEN encode(CASE WHEN a.num % 7 = 0 THEN substr(c.model, 1, 9) ELSE c.model END)
+              WHEN 'image' THEN unhex(CASE WHEN ends_with(a.path, '.png') THEN '89504E47' ELSE 'FFD8FF' END) || encode(coalesce(c.text, ''))
+              ELSE encode('') END AS content
+  FROM (SELECT *, cast(substr(task_id, 2) AS bigint) AS num FROM artifacts) a
+  LEFT JOIN doc_content c ON a.num % (SELECT count(*) FROM documents) = c.doc_id)""",
+    "doc_content": """
+SELECT d.doc_id, d.text, to_json({'lang': d.lang, 'n_chars': d.n_chars})::varchar AS model, b.markdown, b.cl, p.mj
+FROM documents d
+LEFT JOIN (SELECT doc_id,
+             string_agg(CASE type WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'list_item' THEN '- ' || text
+                        WHEN 'equation' THEN '$$' || text || '$$' ELSE text END, chr(10) || chr(10) ORDER BY block_idx) AS markdown,
+             '[' || string_agg(to_json({'block_idx': block_idx, 'type': type, 'level': level, 'text': text})::varchar, ','
+                               ORDER BY block_idx) || ']' AS cl
+           FROM doc_blocks GROUP BY doc_id) b ON d.doc_id = b.doc_id
+LEFT JOIN (SELECT doc_id, '{"doc_id":' || doc_id || ',"pages":[' ||
+             string_agg('{"page_idx":' || page_idx || ',"blocks":[' || bl || ']}', ',' ORDER BY page_idx) || ']}' AS mj
+           FROM (SELECT doc_id, block_idx // 20 AS page_idx,
+                        string_agg(to_json({'block_idx': block_idx, 'type': type, 'text': text})::varchar, ',' ORDER BY block_idx) AS bl
+                 FROM doc_blocks GROUP BY doc_id, block_idx // 20) GROUP BY doc_id) p ON d.doc_id = p.doc_id""",
+    "doc_blocks": """
+SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS int) AS block_idx,
+       CASE WHEN regexp_matches(line, '^#{1,6} +') THEN 'heading'
+            WHEN starts_with(line, '- ') OR starts_with(line, '* ') THEN 'list_item'
+            WHEN starts_with(line, '|') THEN 'table'
+            WHEN starts_with(line, '$$') AND ends_with(line, '$$') AND length(line) > 4 THEN 'equation' ELSE 'paragraph' END AS type,
+       CASE WHEN regexp_matches(line, '^#{1,6} +') THEN length(regexp_extract(line, '^#{1,6}')) ELSE 0 END AS level,
+       CASE WHEN regexp_matches(line, '^#{1,6} +') THEN regexp_replace(line, '^#{1,6} +', '')
+            WHEN starts_with(line, '- ') OR starts_with(line, '* ') THEN substr(line, 3)
+            WHEN starts_with(line, '$$') AND ends_with(line, '$$') AND length(line) > 4 THEN substr(line, 3, length(line) - 4)
+            ELSE line END AS text
+FROM (SELECT doc_id, i, regexp_replace(l, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS line
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i
+            FROM documents)) WHERE line <> ''""",
     "md_docs": """
 SELECT page_id AS doc_id,
        concat('# Page ', cast(page_id AS varchar), ' intro ![fig ', cast(page_id % 7 AS varchar), '](images/',
@@ -71,7 +112,7 @@ FROM events""",
     "rq": "SELECT item_id AS query_id, text AS query FROM benchmark",
 }
 
-_DEPS = {"artifacts": ["tasks"]}
+_DEPS = {"artifacts": ["tasks"], "doc_content": ["doc_blocks"], "result_files": ["artifacts", "doc_content"]}
 
 
 def with_views(body: str, *names: str) -> str:

@@ -231,14 +231,13 @@ def p7(spark, sf):
 
 
 @register("P8_images_map", """
-WITH img AS (SELECT task_id, regexp_extract(path, '[^/]*$') AS k,
-                    'data:image/jpeg;base64,' || base64(encode(path)) AS v
-             FROM artifacts WHERE ends_with(lower(regexp_extract(path, '[^/]*$')), '.jpg'))
+WITH img AS (SELECT task_id, regexp_extract(path, '[^/]*$') AS k, 'data:image/jpeg;base64,' || base64(content) AS v
+             FROM result_files WHERE regexp_matches(path, '/images/[^/]*\\.jpg$'))
 SELECT task_id, cast(count(*) AS int) AS n_images, string_agg(k, ',' ORDER BY k) AS names,
        md5(string_agg(v, '|' ORDER BY k)) AS uri_md5
-FROM img GROUP BY task_id""", ("artifacts",))
+FROM img GROUP BY task_id""", ("result_files",))
 def p8(spark, sf):
-    m = D.images_map(fx.artifacts(spark, sf))
+    m = D.images_map(fx.result_files(spark, sf))
     keys = F.array_sort(F.map_keys("images"))
     return m.select("task_id", F.size("images").alias("n_images"), F.array_join(keys, ",").alias("names"),
                     F.md5(F.array_join(F.transform(keys, lambda k: F.element_at("images", k)), "|")).alias("uri_md5"))
@@ -306,6 +305,17 @@ def a5(spark, sf):
                       F.array_join(F.transform("images", lambda i: i["path"]), ",").alias("image_paths"))
 
 
+@register("A5b_image_base64", f"""
+WITH img AS (SELECT task_id, path, base64(content) AS b64 FROM result_files
+             WHERE {_suffix('path')} IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp', '.webp', '.svg') AND contains(path, '/images/'))
+SELECT t.task_id, count(i.path) AS image_count, md5(string_agg(i.b64, '|' ORDER BY i.path)) AS base64_md5
+FROM tasks t LEFT JOIN img i ON t.task_id = i.task_id GROUP BY t.task_id""", ("tasks", "result_files"))
+def a5b(spark, sf):
+    inv = D.image_inventory(fx.tasks(spark, sf), fx.result_files(spark, sf), include_base64=True)
+    return inv.select("task_id", "image_count",
+                      F.md5(F.array_join(F.transform("images", lambda i: i["base64"]), "|")).alias("base64_md5"))
+
+
 ENDPOINT, BUCKET = "objects.local:9000", "doc-images"
 
 
@@ -339,51 +349,61 @@ def a2(spark, sf):
 
 
 @register("B4_task_status_view", """
-WITH md AS (SELECT task_id, regexp_extract(min(path), '[^/]*$') AS markdown_file FROM artifacts WHERE kind = 'md' GROUP BY task_id),
-im AS (SELECT DISTINCT task_id FROM artifacts WHERE kind = 'image')
-SELECT t.task_id, t.status, t.file_name, t.backend, t.priority, t.error_message, t.result_path, t.created_at,
-       t.started_at, t.completed_at, t.worker_id, t.retry_count,
-       CASE WHEN t.status = 'completed' AND t.result_path IS NOT NULL AND md.markdown_file IS NOT NULL THEN md.markdown_file END AS data_markdown_file,
-       CASE WHEN t.status = 'completed' AND t.result_path IS NOT NULL AND md.markdown_file IS NOT NULL THEN im.task_id IS NOT NULL END AS data_has_images,
-       CASE WHEN t.status = 'completed' AND t.result_path IS NULL
+WITH md AS (SELECT task_id, regexp_extract(min(path), '[^/]*$') AS markdown_file, arg_min(content, path) AS content
+            FROM result_files WHERE kind = 'md' GROUP BY task_id),
+im AS (SELECT DISTINCT task_id FROM result_files WHERE kind = 'image'),
+j AS (SELECT t.*, md.markdown_file, md.content, im.task_id IS NOT NULL AS has_images,
+             t.status = 'completed' AND t.result_path IS NOT NULL AND md.markdown_file IS NOT NULL AS ok
+      FROM tasks t LEFT JOIN md ON t.task_id = md.task_id LEFT JOIN im ON t.task_id = im.task_id)
+SELECT task_id, status, file_name, backend, priority, error_message, result_path, created_at, started_at, completed_at,
+       worker_id, retry_count, CASE WHEN ok THEN markdown_file END AS data_markdown_file,
+       CASE WHEN ok THEN decode(content) END AS data_content, CASE WHEN ok THEN false END AS data_images_uploaded,
+       CASE WHEN ok THEN has_images END AS data_has_images,
+       CASE WHEN status = 'completed' AND result_path IS NULL
             THEN 'Task completed but result files have been cleaned up (older than retention period)' END AS message
-FROM tasks t LEFT JOIN md ON t.task_id = md.task_id LEFT JOIN im ON t.task_id = im.task_id""", ("tasks", "artifacts"))
+FROM j""", ("tasks", "result_files"))
 def b4(spark, sf):
-    t = fx.tasks(spark, sf)
-    return D.task_status_view(t, fx.artifacts(spark, sf, t))
+    return D.task_status_view(fx.tasks(spark, sf), fx.result_files(spark, sf))
 
 
 _B5_KINDS = ["md", "content_list", "middle_json", "model_output"]
 
 
 def _b5_sql() -> str:
-    firsts = []
-    cols = []
+    firsts, cols = [], []
     for k in _B5_KINDS:
-        cond = "kind = 'md' AND NOT regexp_matches(regexp_extract(regexp_extract(path, '[^/]*$'), '^(.+?)(\\.[^.]+)?$', 1), '_(layout|span|origin)$')" \
-            if k == "md" else f"kind = '{k}'"
-        firsts.append(f"arg_min(regexp_extract(path, '[^/]*$'), path) FILTER (WHERE {cond}) AS {k}_f, "
-                      f"arg_min(size, path) FILTER (WHERE {cond}) AS {k}_s")
-        cols.append(f"CASE WHEN ok THEN {k}_f END AS {k}_file, CASE WHEN ok THEN {k}_s END AS {k}_size")
+        cond = f"kind = '{k}'"
+        if k == "md":
+            cond += " AND NOT regexp_matches(regexp_extract(path, '[^/]*$'), '_(layout|span|origin)\\.md$')"
+        firsts += [(f"decode(arg_min({e}, path) FILTER (WHERE {cond}))" if n == "content" else
+                    f"arg_min({e}, path) FILTER (WHERE {cond})") + f" AS {k}_{n}" for n, e in (
+            ("file", "regexp_extract(path, '[^/]*$')"), ("size", "size"), ("modified_at", "modified_at"), ("content", "content"))]
+        there = "ok" if k == "md" else f"ok AND json_valid({k}_content)"
+        cols += [f"CASE WHEN {there} THEN {k}_{n} END AS {k}_{n}" for n in ("content", "file", "size", "modified_at")]
     return f"""
-WITH {_IMG_SQL},
-f AS (SELECT task_id, {', '.join(firsts)} FROM artifacts GROUP BY task_id),
-ic AS (SELECT task_id, count(*) AS n FROM img GROUP BY task_id),
-b AS (SELECT t.task_id, t.status, t.result_path, f.task_id IS NOT NULL AS has_files, f.*, coalesce(ic.n, 0) AS image_count,
+WITH f AS (SELECT task_id, {', '.join(firsts)},
+                  count(*) FILTER (WHERE {_suffix('path')} IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp', '.webp', '.svg')
+                                   AND contains(path, '/images/')) AS n_images,
+                  string_agg(path || ' ' || size, ',' ORDER BY path)
+                    FILTER (WHERE {_suffix('path')} IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp', '.webp', '.svg')
+                            AND contains(path, '/images/')) AS image_list
+           FROM result_files GROUP BY task_id),
+b AS (SELECT t.task_id, t.status, t.result_path, f.task_id IS NOT NULL AS has_files, f.* EXCLUDE (task_id),
              t.status = 'completed' AND t.result_path IS NOT NULL AND f.task_id IS NOT NULL AS ok
-      FROM tasks t LEFT JOIN f ON t.task_id = f.task_id LEFT JOIN ic ON t.task_id = ic.task_id)
+      FROM tasks t LEFT JOIN f ON t.task_id = f.task_id)
 SELECT task_id, status,
        CASE WHEN status <> 'completed' THEN 'Task is in ' || status || ' status, data not available yet'
             WHEN result_path IS NULL THEN 'Task completed but result files have been cleaned up (older than retention period)'
             WHEN NOT has_files THEN 'Result directory does not exist' END AS message,
-       {', '.join(cols)}, CASE WHEN ok THEN image_count END AS images_count
+       {', '.join(cols)}, CASE WHEN ok THEN n_images END AS images_count, CASE WHEN ok THEN image_list END AS image_list
 FROM b"""
 
 
-@register("B5_project_fields", _b5_sql(), ("tasks", "artifacts"))
+@register("B5_project_fields", _b5_sql(), ("tasks", "result_files"))
 def b5(spark, sf):
-    t = fx.tasks(spark, sf)
-    return D.project_fields(t, fx.artifacts(spark, sf, t), D.DEFAULT_FIELDS, include_metadata=True)
+    out = D.project_fields(fx.tasks(spark, sf), fx.result_files(spark, sf), D.DEFAULT_FIELDS, include_metadata=True)
+    listed = F.array_join(F.transform("images", lambda i: F.concat(i["path"], F.lit(" "), i["size"].cast("string"))), ",")
+    return out.withColumn("image_list", listed).drop("images")
 
 
 @register("B6_response_flags", """

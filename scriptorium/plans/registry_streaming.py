@@ -173,7 +173,7 @@ def a3(spark, sf):
 @register("A6_write_results", _P7_SQL)
 def a6(spark, sf):
     root = scratch_path(spark, "results")
-    SF.write_results(D.convert_documents(docs_in(spark, sf)), root, key="doc_id")
+    SF.write_results(D.convert_documents(docs_in(spark, sf)), root, "0", key="doc_id")
     back = SF.read_results(spark, root)
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "route", "converter", "status", "n_blocks", "error_message")
 
