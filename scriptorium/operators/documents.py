@@ -1,6 +1,6 @@
 """Document jobs: route, convert, assemble Markdown / content lists, and serve result artifacts.
 
-Conversion is the one genuinely per-document Python step; it runs in ``mapInPandas`` so Spark
+Conversion is the one genuinely per-document Python step; it runs in ``mapInArrow`` so Spark
 partitions the documents, Arrow carries the batches and each task keeps one converter instance.
 Everything around it (routing, assembly, joins with artifacts, projections) is built-in
 expressions and joins.
@@ -10,15 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..session import spread
+from ..session import cut_lineage, spread
 from . import converters as CV
+from . import ledger as L
 
 BLOCK_FIELDS = [T.StructField("block_idx", T.IntegerType()), T.StructField("type", T.StringType()),
                 T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())]
@@ -129,12 +129,11 @@ def element_toggles(blocks: DataFrame, opts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ P7, S1, S2: conversion batch
 
-OUTCOME_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("route", T.StringType()),
-    T.StructField("converter", T.StringType()), T.StructField("status", T.StringType()),
-    T.StructField("n_blocks", T.IntegerType()), T.StructField("markdown", T.StringType()),
-    T.StructField("error_message", T.StringType()),
-])
+OUTCOME_FIELDS = [
+    T.StructField("route", T.StringType()), T.StructField("converter", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("n_blocks", T.IntegerType()),
+    T.StructField("markdown", T.StringType()), T.StructField("error_message", T.StringType()),
+]
 
 
 def converter_for(file_name: Column, route: Column, table: Mapping[str, str] | None = None) -> Column:
@@ -149,41 +148,71 @@ def converter_for(file_name: Column, route: Column, table: Mapping[str, str] | N
 
 
 def convert_documents(docs: DataFrame, converters: Mapping[str, object] | None = None) -> DataFrame:
-    """Docs (doc_id, file_name, content) -> one outcome row per document.
-
-    Routing and the converter choice are JVM expressions; a single ``mapInPandas`` pass then runs
-    each document through its converter (one scan of the input rather than one per branch). A
-    document whose converter raises becomes ``failed`` with the error text; a route without a
-    converter becomes ``failed`` ("No converter for route ..."); the others continue."""
+    """Docs (doc_id, file_name, content) -> one outcome row per document. Ids keep their type;
+    content is text or UTF-8 bytes; ``formula_enable`` / ``table_enable``, where present and false,
+    drop those blocks.
+
+    Routing and the converter choice are JVM expressions; a single Arrow pass then runs each document
+    through its converter (one scan of the input rather than one per branch). A document whose
+    converter raises becomes ``failed`` with the error text; a route without a converter becomes
+    ``failed`` ("No converter for route ..."); the others continue."""
     convs = dict(CV.DEFAULT_CONVERTERS)
     convs.update(converters or {})
+
+    def option(name):
+        return F.coalesce(F.col(name), F.lit(True)) if name in docs.columns else F.lit(True)
+
     routed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "file_name", "content",
-        C.route_by_suffix("file_name").alias("route"),
+        "doc_id", C.route_by_suffix("file_name").alias("route"), "content", "file_name",
+        option("formula_enable").alias("equation"), option("table_enable").alias("table"),
     ).withColumn("converter", converter_for(F.col("file_name"), F.col("route")))
+    schema = T.StructType([docs.schema["doc_id"]] + OUTCOME_FIELDS)
+    names = schema.names
 
     def run(batches):
         inst = {}
-        for pdf in batches:
-            rows = []
-            for doc_id, route, cname, content in zip(pdf["doc_id"], pdf["route"], pdf["converter"], pdf["content"]):
-                if cname is None or cname not in convs:
-                    rows.append((doc_id, route, cname, "failed", None, None, f"No converter for route {route}"))
-                    continue
-                try:
-                    if cname not in inst:
-                        inst[cname] = _converter(convs[cname])
-                        inst[cname].open()
-                    blocks = inst[cname].convert(content)
-                    md = "\n\n".join(_md_line(*b) for b in blocks)
-                    rows.append((doc_id, route, cname, "completed", len(blocks), md, None))
-                except Exception as e:  # noqa: BLE001 - recorded as the document's outcome
-                    rows.append((doc_id, route, cname, "failed", None, None, f"{type(e).__name__}: {e}"))
-            out = pd.DataFrame(rows, columns=[f.name for f in OUTCOME_SCHEMA.fields])
-            out["n_blocks"] = out["n_blocks"].astype("Int32")
-            yield out
-
-    return spread(routed.select("doc_id", "route", "converter", "content")).mapInPandas(run, OUTCOME_SCHEMA)
+
+        def one(route, cname, content, equation, table):
+            if cname is None or cname not in convs:
+                return "failed", None, None, f"No converter for route {route}"
+            try:
+                if cname not in inst:
+                    conv = _converter(convs[cname])
+                    conv.open()
+                    inst[cname] = conv
+                text = content.decode("utf-8") if isinstance(content, (bytes, bytearray)) else content
+                off = {k for k, on in (("equation", equation), ("table", table)) if not on}
+                blocks = [x for x in inst[cname].convert(text) if x[0] not in off]
+                return "completed", len(blocks), "\n\n".join(_md_line(*x) for x in blocks), None
+            except Exception as e:  # noqa: BLE001 - recorded as the document's outcome
+                return "failed", None, None, f"{type(e).__name__}: {e}"
+
+        for batch in batches:
+            rows = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("route", "converter", "content", "equation", "table")))]
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("route"), batch.column("converter"), *cols], names=names)
+
+    return spread(routed.drop("file_name")).mapInArrow(run, schema)
+
+
+def convert_tasks(tasks: DataFrame, files: DataFrame, now, root: str,
+                  converters: Mapping[str, object] | None = None) -> tuple[DataFrame, DataFrame]:
+    """P7 over the ledger: every processing task whose file (task_id, content) is at hand is converted
+    under its own options and the outcome goes back through the guard of J3. Returns
+    ``(results, ledger')``; a completed task gets ``{root}/{task_id}`` as result path, a failed one its
+    error. Processing tasks without a file stay as they are (U3 resets them). The results are written to
+    the shared folder first, so that both sides read one conversion."""
+    todo = (L.decode_options(tasks.filter(F.col("status") == "processing"))
+            .join(files.select("task_id", "content"), "task_id")
+            .select(F.col("task_id").alias("doc_id"), "file_name", "content", "formula_enable", "table_enable"))
+    done = convert_documents(todo, converters).withColumnRenamed("doc_id", "task_id")
+    owner = tasks.select("task_id", "worker_id")
+    results = cut_lineage(done.join(owner, "task_id").select(
+        "task_id", F.col("task_id").alias("result_id"), F.lit(now).cast("timestamp_ntz").alias("ts"), "status", "worker_id",
+        F.when(F.col("status") == "completed", F.concat(F.lit(root.rstrip("/") + "/"), "task_id")).alias("result_path"),
+        "error_message", "route", "converter", "n_blocks", "markdown"))
+    ledger, _, _ = L.apply_results(tasks, results)
+    return results, ledger
 
 
 def _md_line(t, level, text):

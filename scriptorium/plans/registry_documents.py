@@ -230,6 +230,56 @@ def p7(spark, sf):
     return D.convert_documents(docs_in(spark, sf)).drop("markdown")
 
 
+def _task_files(spark, sf):
+    """The uploaded file of each task ``t{k}``: the text of document ``k mod n``, as bytes."""
+    d = load(spark, sf, "documents")
+    num = F.substring("task_id", 2, 1 << 20).cast("bigint")
+    t = fx.tasks(spark, sf).select("task_id", (num % d.agg(F.count(F.lit(1))).scalar()).alias("doc_id"))
+    return t.join(d.select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id").select("task_id", "content")
+
+
+_CONVERTED_SQL = f"""conv AS (
+  SELECT t.task_id, c.n_blocks, c.md,
+         {_suffix('t.file_name')} IN ('.pdf', '.png', '.jpg', '.jpeg', '.bmp', '.tiff', '.tif', '.webp') AS image
+  FROM tasks t JOIN (SELECT doc_id, count(*) AS n_blocks,
+                            string_agg(CASE type WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'list_item' THEN '- ' || text
+                              WHEN 'equation' THEN '$$' || text || '$$' ELSE text END, chr(10) || chr(10) ORDER BY block_idx) AS md
+                     FROM (SELECT d.doc_id, b.block_idx, b.type, b.level, b.text FROM documents d LEFT JOIN doc_blocks b ON d.doc_id = b.doc_id)
+                     GROUP BY doc_id) c
+    ON cast(substr(t.task_id, 2) AS bigint) % (SELECT count(*) FROM documents) = c.doc_id
+  WHERE t.status = 'processing')"""
+
+
+def _convert_tasks(spark, sf):
+    # every text file goes through the plain-text converter here; P7 covers the choice by suffix
+    return D.convert_tasks(fx.tasks(spark, sf), _task_files(spark, sf), fx.AS_OF, "/results", {"html": "text"})
+
+
+@register("P7b_results", f"""
+WITH {_CONVERTED_SQL}
+SELECT task_id, CASE WHEN image THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN NOT image THEN '/results/' || task_id END AS result_path,
+       CASE WHEN image THEN 'No converter for route page_image' END AS error_message,
+       CASE WHEN NOT image THEN cast(n_blocks AS int) END AS n_blocks, CASE WHEN NOT image THEN md5(md) END AS markdown_md5
+FROM conv""", ("tasks", "doc_blocks"))
+def p7b_results(spark, sf):
+    results, _ = _convert_tasks(spark, sf)
+    return results.select("task_id", "status", "result_path", "error_message", "n_blocks", F.md5("markdown").alias("markdown_md5"))
+
+
+@register("P7c_ledger", f"""
+WITH {_CONVERTED_SQL}
+SELECT t.task_id, CASE WHEN c.image IS NULL THEN t.status WHEN c.image THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN NOT c.image THEN '/results/' || t.task_id ELSE t.result_path END AS result_path,
+       CASE WHEN c.image THEN 'No converter for route page_image' ELSE t.error_message END AS error_message,
+       CASE WHEN c.image IS NULL THEN t.completed_at ELSE TIMESTAMP '1998-06-01 00:00:00' END AS completed_at,
+       t.worker_id, t.retry_count
+FROM tasks t LEFT JOIN conv c ON t.task_id = c.task_id""", ("tasks", "doc_blocks"))
+def p7c_ledger(spark, sf):
+    _, ledger = _convert_tasks(spark, sf)
+    return ledger.select("task_id", "status", "result_path", "error_message", "completed_at", "worker_id", "retry_count")
+
+
 @register("P8_images_map", """
 WITH img AS (SELECT task_id, regexp_extract(path, '[^/]*$') AS k, 'data:image/jpeg;base64,' || base64(content) AS v
              FROM result_files WHERE regexp_matches(path, '/images/[^/]*\\.jpg$'))
