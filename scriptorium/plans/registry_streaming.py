@@ -54,6 +54,53 @@ def k3(spark, sf):
     return spark.read.parquet(out)
 
 
+_STATUS_DEPTH_SQL = FOLD_SQL[:FOLD_SQL.index("last AS (")] + """steps AS (
+  SELECT f.task_id, f.rn, e.ts, f.status, f.applied, lag(f.status) OVER w AS previous, lag(f.applied) OVER w AS before
+  FROM fold f LEFT JOIN ev e ON f.task_id = e.task_id AND f.rn = e.rn WINDOW w AS (PARTITION BY f.task_id ORDER BY f.rn)),
+moves AS (SELECT ts, status, 1 AS step FROM steps WHERE applied > before
+          UNION ALL SELECT ts, previous, -1 FROM steps WHERE applied > before AND previous IS NOT NULL),
+d AS (SELECT time_bucket(INTERVAL 300 SECOND, ts) + INTERVAL 300 SECOND AS window_end, status, sum(step) AS change
+      FROM moves GROUP BY 1, 2)
+SELECT window_end, status,
+       cast(sum(change) OVER (PARTITION BY status ORDER BY window_end ROWS UNBOUNDED PRECEDING) AS bigint) AS depth
+FROM d QUALIFY window_end <= (SELECT max(ts) FROM moves) - INTERVAL 10 MINUTE"""
+
+
+@register("K3b_status_depth", _STATUS_DEPTH_SQL, ("task_events",))
+def k3b(spark, sf):
+    src = J.stage(fx.task_events(spark, sf), "task-events")
+    ledger, out = scratch_path(spark, "k3b-ledger"), scratch_path(spark, "k3b-out")
+    jobs = [(J.live_ledger(J.file_stream(spark, src, spark.read.parquet(src).schema)), ledger),
+            (lambda: J.status_deltas(J.file_stream(spark, ledger, J.OUTCOME)), out)]
+    for stream, path in jobs:
+        stream = stream() if callable(stream) else stream
+        J.run_available_now(stream.writeStream.format("parquet").option("path", path)
+                            .option("checkpointLocation", scratch_path(spark, "k3b-ckpt")).outputMode("append"))
+    return J.status_depth(spark.read.parquet(out))
+
+
+_WAITED_SQL = FOLD_SQL.replace("FROM task_events)", "FROM task_events WHERE ts <= (SELECT max(ts) FROM task_events) - INTERVAL 2 DAY)", 1)
+
+
+@register("K2b_live_ledger_event_time", _WAITED_SQL, ("task_events",))
+def k2b(spark, sf):
+    """Four slices in several micro-batches; events with odd ids arrive a day late, within the watermark."""
+    ev = fx.task_events(spark, sf)
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo) / 4
+    arrives = F.col("ts") + F.make_dt_interval(days=(F.col("event_id") % 2).cast("int"))
+    edge = [F.lit((lo + step * i).isoformat(sep=" ")).cast("timestamp_ntz") for i in (1, 2, 3)]
+    cond = [arrives < edge[0], (arrives >= edge[0]) & (arrives < edge[1]), (arrives >= edge[1]) & (arrives < edge[2]), arrives >= edge[2]]
+    files = spark.sparkContext.defaultParallelism
+    src = J.stage_slices(ev, "task-events", cond, files)
+    out, ck = scratch_path(spark, "k2b-out"), scratch_path(spark, "k2b-ckpt")
+    stream = J.live_ledger(J.file_stream(spark, src, ev.schema, max_files=files), order="event_time", watermark="2 days",
+                           retain_hours=24 * 30)
+    J.run_available_now(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                        .outputMode("append"))
+    return J.final_states(spark.read.parquet(out))
+
+
 @register("K8b_heartbeat_windows", """
 WITH w AS (SELECT worker_id, time_bucket(INTERVAL 900 SECOND, ts) AS window_start, count(*) AS count
            FROM task_events GROUP BY 1, 2)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.columns import TERMINAL_STATUSES
 from ..operators import documents as D
 from ..operators.transitions import new_state, transition  # shared transition table
 from ..plans.scale import next_match
@@ -104,7 +105,7 @@ _STATE = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("worker", T.StringType()),
     T.StructField("started_us", T.LongType()), T.StructField("completed_us", T.LongType()),
     T.StructField("retries", T.LongType()), T.StructField("applied", T.LongType()),
-    T.StructField("rejected", T.LongType()),
+    T.StructField("rejected", T.LongType()), T.StructField("last_us", T.LongType()),
 ])
 # event-time mode keeps not-yet-due events of a task as JSON text next to the state
 _STATE_BUF = T.StructType(_STATE.fields + [T.StructField("buf", T.StringType())])
@@ -114,17 +115,21 @@ OUTCOME = T.StructType([
     T.StructField("applied", T.BooleanType()), T.StructField("status", T.StringType()),
     T.StructField("worker_id", T.StringType()), T.StructField("started_at", T.TimestampNTZType()),
     T.StructField("completed_at", T.TimestampNTZType()), T.StructField("retry_count", T.LongType()),
+    T.StructField("previous_status", T.StringType()),
 ])
-def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False, event_time: bool = False):
+
+
+def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False, event_time: bool = False,
+               retain_ms: int | None = None, report_late: bool = False):
     import json
 
     stale_us = stale_minutes * 60 * 1_000_000
     cols = [f.name for f in OUTCOME.fields]
-    names = [f.name for f in (_STATE_BUF if event_time else _STATE).fields]
+    names = [f.name for f in (_STATE_BUF if event_time or report_late else _STATE).fields]
 
     def _frame(recs):
         out = pd.DataFrame(recs, columns=["event_id", "task_id", "ts_us", "op", "applied", "status", "worker_id",
-                                          "started_us", "completed_us", "retry_count"])
+                                          "started_us", "completed_us", "retry_count", "previous_status"])
         for c, src in (("ts", "ts_us"), ("started_at", "started_us"), ("completed_at", "completed_us")):
             out[c] = pd.to_datetime(pd.to_numeric(out[src], errors="coerce"), unit="us")
         return out[cols]
@@ -143,47 +148,60 @@ def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False, even
 
     def fn(key, pdfs, state):
         _quiet_workers()
-        s = dict(zip(names, state.get)) if state.exists else {**new_state(), "buf": "[]"}
+        s = dict(zip(names, state.get)) if state.exists else {**new_state(), "last_us": 0, "buf": "[]"}
         recs = []
 
+        def record(eid, t, op, ok, before):
+            recs.append((eid, key[0], t, op, ok, s["status"], s["worker"], s["started_us"], s["completed_us"], s["retries"], before))
+
         def apply(batch):
             for eid, t, op, w in sorted(batch, key=lambda e: (e[1], e[0])):
-                ok = transition(s, op, t, w, stale_us, strict)
-                recs.append((eid, key[0], t, op, ok, s["status"], s["worker"], s["started_us"],
-                             s["completed_us"], s["retries"]))
-
+                if retain_ms and s["status"] in TERMINAL_STATUSES and t > s["last_us"] + retain_ms * 1000:
+                    s.update(new_state())  # forgotten, whether or not its timer fired yet
+                s["last_us"] = max(s["last_us"], t)
+                before = s["status"]
+                record(eid, t, op, transition(s, op, t, w, stale_us, strict), before)
+
+        def stale_reset():  # K4: the task sat in processing past started_at + T
+            due_us = s["started_us"] + stale_us
+            s.update(status="pending", worker=None, retries=s["retries"] + 1, applied=s["applied"] + 1)
+            record(-1, due_us, "timeout_reset", True, "processing")
+
+        wm_ms = 0 if not (event_time or stale_timer or retain_ms or report_late) else state.getCurrentWatermarkMs()
+        events = [] if state.hasTimedOut else _events(pdfs)
+        due_ms = None
         if event_time:
             # buffer until the watermark passes, then apply in event-time order
-            buf = [tuple(e) for e in json.loads(s.get("buf") or "[]")]
-            if not state.hasTimedOut:
-                buf += _events(pdfs)
-            wm_us = state.getCurrentWatermarkMs() * 1000
-            due = [e for e in buf if e[1] <= wm_us]
-            rest = [e for e in buf if e[1] > wm_us]
-            apply(due)
+            buf = [tuple(e) for e in json.loads(s.get("buf") or "[]")] + events
+            apply([e for e in buf if e[1] <= wm_ms * 1000])
+            rest = [e for e in buf if e[1] > wm_ms * 1000]
             s["buf"] = json.dumps(rest)
-            state.update(tuple(s[n] for n in names))
-            if rest:
-                state.setTimeoutTimestamp(min(e[1] for e in rest) // 1000)
+            due_ms = min(e[1] for e in rest) // 1000 if rest else None
+        elif report_late:
+            # the ids of events ahead of the watermark are kept, so redeliveries are told from new events
+            seen = dict(json.loads(s.get("buf") or "[]"))
+            fresh = {e[0]: e for e in events if e[0] not in seen}
+            for eid, t, op, _ in sorted((e for e in fresh.values() if e[1] < wm_ms * 1000), key=lambda e: (e[1], e[0])):
+                s["rejected"] += 1
+                record(eid, t, op, False, s["status"])
+            apply([e for e in fresh.values() if e[1] >= wm_ms * 1000])
+            seen.update((e[0], e[1]) for e in fresh.values())
+            s["buf"] = json.dumps([x for x in seen.items() if x[1] >= wm_ms * 1000])
         else:
-            if state.hasTimedOut:
-                # K4: stale timer fired - the task sat in processing past started_at + T
-                if s["status"] == "processing":
-                    due_us = s["started_us"] + stale_us
-                    s.update(status="pending", worker=None, retries=s["retries"] + 1, applied=s["applied"] + 1)
-                    recs.append((-1, key[0], due_us, "timeout_reset", True, s["status"], s["worker"],
-                                 s["started_us"], s["completed_us"], s["retries"]))
-            else:
-                apply(_events(pdfs))
-            due_ms = int((s["started_us"] + stale_us) // 1000) + 1 if stale_timer and s["status"] == "processing" else None
-            if due_ms is not None and due_ms <= state.getCurrentWatermarkMs():  # already due: no timer can be set behind the watermark
-                due_us, due_ms = s["started_us"] + stale_us, None
-                s.update(status="pending", worker=None, retries=s["retries"] + 1, applied=s["applied"] + 1)
-                recs.append((-1, key[0], due_us, "timeout_reset", True, s["status"], s["worker"],
-                             s["started_us"], s["completed_us"], s["retries"]))
-            state.update(tuple(s[n] for n in names))
-            if due_ms is not None:
-                state.setTimeoutTimestamp(due_ms)
+            apply(events)
+        if stale_timer and s["status"] == "processing":
+            due_ms = int((s["started_us"] + stale_us) // 1000) + 1
+            if due_ms <= wm_ms:  # already due: no timer can be set behind the watermark
+                stale_reset()
+                due_ms = None
+        if retain_ms and due_ms is None and s["status"] in TERMINAL_STATUSES:
+            due_ms = s["last_us"] // 1000 + retain_ms + 1
+            if state.hasTimedOut and due_ms <= wm_ms and not recs:
+                state.remove()
+                return
+        state.update(tuple(s[n] for n in names))
+        if due_ms is not None:
+            state.setTimeoutTimestamp(max(due_ms, wm_ms + 1))
         if recs:
             yield _frame(recs)
 
@@ -191,7 +209,8 @@ def _ledger_fn(stale_minutes: int, strict: bool, stale_timer: bool = False, even
 
 
 def live_ledger(events: DataFrame, stale_minutes: int = 60, strict: bool = True, stale_timer: bool = False,
-                watermark: str = "10 minutes", order: str = "arrival") -> DataFrame:
+                watermark: str = "10 minutes", order: str = "arrival", retain_hours: int | None = None,
+                report_late: bool = False) -> DataFrame:
     """K2/K4/K5: per-event outcome of the state machine, state kept per task across micro-batches.
     A late completion after a reset or re-claim is rejected by the same guard as in batch (K5).
     Redelivered events (same ``event_id``) are dropped within the watermark.
@@ -201,23 +220,50 @@ def live_ledger(events: DataFrame, stale_minutes: int = 60, strict: bool = True,
     task's state until the watermark passes them and are then applied in event-time order, so
     out-of-order arrival within the watermark delay gives the batch result; the buffer is bounded by
     the task's events within that delay. With ``stale_timer`` (K4, arrival order) an event-time timer
-    resets a task that stays in processing past ``started_at + stale_minutes``."""
+    resets a task that stays in processing past ``started_at + stale_minutes``.
+
+    Events behind the watermark are dropped, unless ``report_late`` (arrival order, no timers): then
+    they come out as rejected rows and change no state; the state holds the ids of the task's events
+    within the watermark delay. ``retain_hours`` forgets a finished task once no event came for so long, as
+    U5 purges its ledger row: its state is removed, and a later submit of that id starts a new task."""
     if order not in ("arrival", "event_time"):
         raise ValueError(f"unknown order {order}")
-    if order == "event_time" and stale_timer:
+    event_time = order == "event_time"
+    if event_time and stale_timer:
         raise ValueError("stale_timer is supported with order='arrival'")
-    ev = events.withColumn("ts", _ltz("ts")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    if report_late and (event_time or stale_timer or retain_hours):
+        raise ValueError("report_late is supported with order='arrival' and without timers")
+    ev = events.withColumn("ts", _ltz("ts")).withWatermark("ts", watermark)
+    if not report_late:
+        ev = ev.dropDuplicatesWithinWatermark(["event_id"])
     out_ltz = T.StructType([T.StructField(f.name, T.TimestampType() if f.dataType == T.TimestampNTZType() else f.dataType)
                             for f in OUTCOME.fields])
-    event_time = order == "event_time"
-    timeout = GroupStateTimeout.EventTimeTimeout if (stale_timer or event_time) else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if (stale_timer or event_time or retain_hours) else GroupStateTimeout.NoTimeout
+    fn = _ledger_fn(stale_minutes, strict, stale_timer, event_time, retain_hours and retain_hours * 3_600_000, report_late)
     res = (ev.groupBy("task_id")
-           .applyInPandasWithState(_ledger_fn(stale_minutes, strict, stale_timer, event_time), out_ltz,
-                                   _STATE_BUF if event_time else _STATE, "append", timeout))
+           .applyInPandasWithState(fn, out_ltz, _STATE_BUF if event_time or report_late else _STATE, "append", timeout))
     return res.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType == T.TimestampNTZType()
                         else F.col(f.name) for f in OUTCOME.fields])
 
 
+def status_deltas(outcomes: DataFrame, every: str = "300 seconds", watermark: str = "10 minutes") -> DataFrame:
+    """K3 over the live ledger: change of the number of tasks in each status per window, from the applied
+    events of ``live_ledger``; in a stream, windows come out once the watermark has passed their end."""
+    steps = F.inline(F.array(F.struct(F.col("status").alias("status"), F.lit(1).alias("step")),
+                             F.struct(F.col("previous_status").alias("status"), F.lit(-1).alias("step"))))
+    moves = (outcomes.filter("applied").withColumn("ts", _ltz("ts")).withWatermark("ts", watermark)
+             .select("ts", steps).filter(F.col("status").isNotNull()))
+    return (moves.groupBy(F.window("ts", every), "status").agg(F.sum("step").alias("change"))
+            .select(F.col("window.end").cast("timestamp_ntz").alias("window_end"), "status", "change"))
+
+
+def status_depth(deltas: DataFrame) -> DataFrame:
+    """Tasks in each status at the end of every window that moved one (others keep the last depth)."""
+    from ..plans.scale import running_sum
+
+    return running_sum(deltas, ["status"], ["window_end"], "change", "depth").select("window_end", "status", "depth")
+
+
 def final_states(outcomes: DataFrame) -> DataFrame:
     """Final ledger row per task from per-event outcomes (the U2 shape). ``max_by`` is a hash
     aggregate with a partial step, safe for very busy tasks."""
@@ -300,6 +346,15 @@ def stage(df: DataFrame, label: str, partitions: int | None = None) -> str:
     return path
 
 
+def stage_slices(df: DataFrame, label: str, slices: list, files: int) -> str:
+    """Write the rows of each condition in ``slices`` one after the other, ``files`` files each, so that a
+    stream with ``max_files=files`` reads about one slice per micro-batch, in this order."""
+    path = scratch_path(df.sparkSession, label)
+    for cond in slices:
+        df.filter(cond).repartition(files).write.mode("append").parquet(path)
+    return path
+
+
 # ------------------------------------------------------------------ K7 (stream form)
 
 _DEADLINE_STATE = T.StructType([T.StructField("submitted_us", T.LongType()), T.StructField("done", T.BooleanType())])

@@ -142,3 +142,43 @@ def test_ingest_sink_is_idempotent_on_replay(spark):
     again = spark.read.parquet(out)
     assert again.count() == first == spark.read.parquet(src).count()
     assert again.select("doc_id").distinct().count() == first
+
+
+def test_late_events_are_reported_and_redeliveries_dropped(spark):
+    import time
+
+    t0 = dt.datetime(2024, 1, 1, 8, 0)
+    m = lambda n: t0 + dt.timedelta(minutes=n)
+    batches = [[(1, "a", t0, "submit", None), (2, "a", m(1), "claim", "w"), (2, "a", m(1), "claim", "w")],
+               [(3, "b", m(300), "submit", None)],
+               [(4, "a", m(2), "complete", "w"), (5, "a", m(301), "complete", "w"), (5, "a", m(301), "complete", "w")],
+               [(5, "a", m(301), "complete", "w")]]
+    src, out, ck = (tempfile.mkdtemp(prefix="late-") for _ in range(3))
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    stream = J.live_ledger(J.file_stream(spark, src, spark.read.parquet(src).schema, max_files=1), report_late=True)
+    J.run_available_now(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck))
+    got = sorted((r.event_id, r.applied, r.previous_status, r.status) for r in spark.read.parquet(out).collect())
+    assert got == [(1, True, None, "pending"), (2, True, "pending", "processing"), (3, True, None, "pending"),
+                   (4, False, "processing", "processing"), (5, True, "processing", "completed")]
+
+
+def test_finished_tasks_leave_the_state(spark):
+    """After the retention a submit of the same id is a new task, whose counts start again."""
+    import time
+
+    t0 = dt.datetime(2024, 1, 1)
+    h = lambda n: t0 + dt.timedelta(hours=n)
+    for order in ("arrival", "event_time"):
+        src, out, ck = (tempfile.mkdtemp(prefix="keep-") for _ in range(3))
+        for rows in ([(1, "a", h(0), "submit", None), (2, "a", h(0.1), "cancel", None), (3, "b", h(0), "submit", None)],
+                     [(4, "c", h(2), "submit", None)], [(5, "a", h(3), "submit", None)],
+                     [(6, "c", h(100), "claim", "w")], [(7, "a", h(110), "submit", None), (8, "b", h(110), "submit", None)],
+                     [(9, "z", h(500), "submit", None)]):
+            spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+            time.sleep(1.1)
+        stream = J.live_ledger(J.file_stream(spark, src, spark.read.parquet(src).schema, max_files=1), order=order, retain_hours=24)
+        J.run_available_now(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck))
+        got = {r.event_id: r.applied for r in spark.read.parquet(out).collect()}
+        assert {k: got[k] for k in (1, 2, 5, 7, 8)} == {1: True, 2: True, 5: False, 7: True, 8: False}, order
