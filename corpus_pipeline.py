@@ -7,9 +7,10 @@ last return the columns of documents; the last returns the packed pieces with th
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import packing, quality_rules, severity, simhash
+from scriptorium.llm import packing, quality_rules, queries, severity, simhash, tokens
 from scriptorium.session import load, scratch_path
 
 
@@ -29,19 +30,27 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of permitted lengths."""
+    """Pieces of documents in sequences of permitted lengths, in words."""
     return packing.best_fit_pack(packing.with_length(docs))
 
 
+def packed_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of permitted lengths, in tokens as operators 3 and 5 count them."""
+    shared = tokens.share(spark, public_tokenizers.path(queries.WORD_FILE))
+    return packing.best_fit_pack(packing.with_length(docs, shared=shared))
+
+
 STAGES = [("quality_rules", good), ("toxicity", clean), ("simhash_near_dedup", distinct), ("best_fit_packing", packed)]
+#: The same with bins that hold tokens.
+TOKEN_STAGES = [*STAGES[:-1], ("best_fit_packing", packed_tokens)]
 
 #: No SQL: the first two stages learn their rules, the third fingerprints texts.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in stages:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)

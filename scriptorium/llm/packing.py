@@ -19,11 +19,12 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, as_bytes
+from .common import arrow_columns, as_bytes, as_text
+from .records import encoder
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 WINDOW = 50_000
@@ -73,11 +74,15 @@ def pack_window(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, over
     return [(b, final[b], at) for b, at in placed]
 
 
-def with_length(docs: DataFrame, text: str = "text", end: int = 1) -> DataFrame:
-    """doc_id and ``length``: the words of the whole text plus ``end`` units for an end mark."""
+def with_length(docs: DataFrame, text: str = "text", end: int = 1, shared: Broadcast | None = None) -> DataFrame:
+    """doc_id and ``length``: the tokens of the whole text, by the tokenizer file in ``shared`` (as operator 3
+    writes them), plus ``end`` units for an end mark. Without a file the units are words."""
 
     def run(column: pa.Array) -> list:
-        return [pa.array([len(b.split()) + end for b in as_bytes(column)], pa.int64())]
+        if shared is None:
+            return [pa.array([len(b.split()) + end for b in as_bytes(column)], pa.int64())]
+        enc = encoder(shared)
+        return [pa.array([len(enc.encode(t)) // enc.width + end for t in as_text(column)], pa.int64())]
 
     return arrow_columns(docs, text, run, "length bigint", keep=["doc_id"])
 

@@ -110,7 +110,7 @@ def op4_simhash(spark, sf):
 
 @_query
 def op5_best_fit_packing(spark, sf):
-    return packing.best_fit_pack(packing.with_length(load(spark, sf, "documents")))
+    return packing.best_fit_pack(packing.with_length(load(spark, sf, "documents"), shared=_tokenizer(spark, WORD_FILE)))
 
 
 # ------------------------------------------------------------------ 6, 7, 8
