@@ -79,6 +79,28 @@ def v3(spark, sf):
     return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def row_queries(spark, sf):
+    """Every row whose id is divisible by 50, its vector as it is: 2% of the rows at any size."""
+    e = load(spark, sf, "embeddings").where("vec_id % 50 = 0")
+    return e.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+_ROWS_SQL = """q AS (SELECT vec_id AS query_id, cast(embedding AS double[]) AS qv FROM embeddings
+      WHERE vec_id % 50 = 0 AND embedding IS NOT NULL)"""
+
+
+@register("V3b_cosine_top_k_rows", f"""
+WITH {_ROWS_SQL},
+s AS (SELECT q.query_id, e.vec_id AS doc_id, list_cosine_similarity(q.qv, cast(e.embedding AS double[])) AS score
+      FROM q CROSS JOIN embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5""")
+def v3b(spark, sf):
+    corpus = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    top = R.cosine_top_k(row_queries(spark, sf), corpus, 5)
+    return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _bucket_sql(vec: str) -> str:
     return f"sum(CASE WHEN list_dot_product({vec}, p) > 0 THEN 1::bigint << bit ELSE 0 END)::bigint AS bucket"
 
