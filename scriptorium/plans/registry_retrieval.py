@@ -120,7 +120,32 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5""")
 def v4(spark, sf):
     corpus = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    top = R.ann_top_k(label_centroids(spark, sf), corpus, 5)
+    top = R.ann_top_k(label_centroids(spark, sf), corpus, 5, recall=None)  # the buckets alone, as the SQL states them
+    return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("V4b_ann_top_k_rows", f"""
+WITH {_ROWS_SQL},
+n AS (SELECT bits, cast(greatest(16, ceil(ln(0.1) / ln(1 - pow(1 - acos(0.8) / pi(), bits)))) AS bigint) AS bands
+      FROM (SELECT greatest(4, length(bin(count(*) // 64))) AS bits FROM embeddings)),
+nb AS (SELECT bits, unnest(range(bands * bits)) AS b FROM n),
+pl AS (SELECT b // bits AS band, cast(b % bits AS int) AS bit,
+              list(CASE WHEN ('0x' || substr(md5(b || ':' || i), 8, 1))::int % 2 = 1 THEN 1.0::double ELSE -1.0::double END ORDER BY i) AS p
+       FROM nb, range(64) d(i) GROUP BY ALL),
+qs AS (SELECT query_id, band, {_bucket_sql('qv')} FROM q, pl GROUP BY query_id, band),
+es AS (SELECT vec_id, band, {_bucket_sql('cast(embedding AS double[])')} FROM embeddings, pl WHERE embedding IS NOT NULL GROUP BY vec_id, band),
+k AS (SELECT DISTINCT query_id, vec_id FROM qs JOIN es USING (band, bucket)),
+s AS (SELECT q.query_id, e.vec_id AS doc_id, list_cosine_similarity(q.qv, cast(e.embedding AS double[])) AS score, k.vec_id IS NOT NULL AS met
+      FROM q CROSS JOIN embeddings e LEFT JOIN k ON k.query_id = q.query_id AND k.vec_id = e.vec_id WHERE e.embedding IS NOT NULL),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE met),
+f AS (SELECT query_id FROM m, n WHERE rank = 5
+      AND 1 - pow(1 - pow(1 - acos(greatest(-1, least(1, score))) / pi(), bits), bands) >= 0.9),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s
+      WHERE met OR query_id NOT IN (SELECT query_id FROM f))
+SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5""")
+def v4b(spark, sf):
+    corpus = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    top = R.ann_top_k(row_queries(spark, sf), corpus, 5)
     return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

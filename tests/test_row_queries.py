@@ -1,5 +1,7 @@
 """Rows whose id is divisible by 50 search all rows."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from scriptorium.operators import retrieval as R
@@ -17,3 +19,43 @@ def test_every_fiftieth_row_is_a_query(spark):
     corpus = e.select(F.col("vec_id").alias("doc_id"), "embedding")
     blocks = R.cosine_top_k(row_queries(spark, SF_ORACLE), corpus, 5, max_broadcast_queries=4).collect()
     assert {(r.query_id, r.doc_id, r["rank"]) for r in blocks} == {(r.query_id, r.doc_id, r["rank"]) for r in got}
+
+
+def recall(spark, queries, corpus, k=10, **options):
+    exact = {(r.query_id, r.doc_id) for r in R.cosine_top_k(queries, corpus, k).collect()}
+    approx = {(r.query_id, r.doc_id) for r in R.ann_top_k(queries, corpus, k, **options).collect()}
+    return len(exact & approx) / len(exact)
+
+
+def clustered(spark, n, noise):
+    """Groups of 20 vectors around a centre; the cosine of two of a group is about 1 / (1 + noise ** 2)."""
+    rnd = np.random.default_rng(n)
+    centres = np.repeat(rnd.standard_normal((n // 20, 64)), 20, axis=0)
+    v = centres + noise * rnd.standard_normal(centres.shape)
+    return spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(len(v)), "embedding": list(v)}), "doc_id long, embedding array<double>")
+
+
+def test_recall_is_kept_at_several_sizes(spark):
+    """Near random rows (the tables), weak and close neighbours; the buckets alone lose the former."""
+    for sf in (SF_ORACLE, SF_ORACLE.replace("0.01", "0.1")):
+        corpus = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+        assert recall(spark, row_queries(spark, sf), corpus) >= 0.9, sf
+    for n, noise in ((2_000, 0.9), (20_000, 0.9), (20_000, 0.4)):
+        corpus = clustered(spark, n, noise).cache()
+        queries = corpus.where("doc_id % 200 = 0").withColumnRenamed("doc_id", "query_id")
+        assert recall(spark, queries, corpus) >= 0.9, (n, noise)
+
+
+def test_bands_grow_with_bits():
+    for n in (500, 10**5, 10**6, 10**8):
+        rows = R.lsh_rows(n)
+        agree = 1 - np.arccos(0.8) / np.pi
+        assert 1 - (1 - agree**rows) ** R.lsh_bands(rows, 0.9) >= 0.9
+
+
+def test_queries_without_neighbours_in_buckets(spark):
+    """Fewer than k rows in the buckets, NULL and non-finite vectors: as the exact search."""
+    corpus = spark.createDataFrame([(1, [1.0] * 64), (2, [-1.0] * 64), (3, None), (4, [float("nan")] * 64)], "doc_id long, embedding array<double>")
+    queries = corpus.withColumnRenamed("doc_id", "query_id")
+    want = sorted((r.query_id, r.doc_id, r["rank"]) for r in R.cosine_top_k(queries, corpus, 2).collect())
+    assert sorted((r.query_id, r.doc_id, r["rank"]) for r in R.ann_top_k(queries, corpus, 2).collect()) == want and len(want) == 4
