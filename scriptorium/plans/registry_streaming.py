@@ -84,7 +84,9 @@ _WAITED_SQL = FOLD_SQL.replace("FROM task_events)", "FROM task_events WHERE ts <
 
 @register("K2b_live_ledger_event_time", _WAITED_SQL, ("task_events",))
 def k2b(spark, sf):
-    """Four slices in several micro-batches; events with odd ids arrive a day late, within the watermark."""
+    """Four slices in several micro-batches; events with odd ids arrive a day late, within the watermark.
+    Covers events up to max(ts) minus the watermark delay of two days: later ones still wait in the state
+    when the replay ends."""
     ev = fx.task_events(spark, sf)
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
     step = (hi - lo) / 4
