@@ -197,15 +197,17 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7, max_rules: i
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **options) -> list[Rule]:
     """Learn the list from at most about ``max_labelled`` labelled documents that pass the base rule.
     The labelled ids are joined by broadcast (their number is bounded by ``max_labelled``), so no text
-    is shuffled."""
+    is shuffled. Of the rows of one id the one with the smallest statistics counts, chosen before
+    anything is collected, so the driver gets at most one row for each labelled id."""
     one = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id")
            .agg((F.avg("quality") < 0.5).alias("__bad")))
     chosen = bounded(one, F.col("doc_id"), max_labelled)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     stats, names = with_statistics(labelled)
     by_name = features(names)
-    rows = (stats.where(~base_failed(names))
-            .select("doc_id", "__bad", *[v.alias(f"f{i}") for i, v in enumerate(by_name.values())])
+    values = [v.alias(f"f{i}") for i, v in enumerate(by_name.values())]
+    rows = (stats.where(~base_failed(names)).groupBy("doc_id")
+            .agg(F.min(F.struct("__bad", *values)).alias("one")).select("doc_id", "one.*")
             .toPandas().sort_values(["doc_id", *[f"f{i}" for i in range(len(by_name))]], kind="stable"))
     if rows.empty:
         return []

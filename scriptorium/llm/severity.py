@@ -159,7 +159,9 @@ def fit(docs: DataFrame, graded: DataFrame, max_labelled: int = MAX_LABELLED,
         regrade: Callable[[int, int, int], int] | None = None, **options) -> Severity:
     """Fit on documents joined with ``graded`` (doc_id, grade 0, 1, ...), at most about
     ``max_labelled`` of them. The ids are broadcast: their number is bounded by that parameter.
-    ``regrade`` (grade, words with a chosen feature, words) may refine the grades above the lowest."""
+    ``regrade`` (grade, words with a chosen feature, words) may refine the grades above the lowest.
+    Features are selected on all rows of these ids (counted by Spark); of the rows of one id the one with
+    the smallest features is collected, so the driver gets at most one row for each labelled id."""
     one = (graded.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id")
            .agg(F.max("grade").cast("int").alias("grade")))
     ids = bounded(one, F.col("doc_id"), max_labelled)
@@ -177,7 +179,8 @@ def fit(docs: DataFrame, graded: DataFrame, max_labelled: int = MAX_LABELLED,
                 pa.array([sum(bool(lookup[w]) for w in ws) for ws in words], pa.int32()), pa.array([len(ws) for ws in words], pa.int32())]
 
     found = arrow_columns(sample, "text", run, "keys array<int>, n array<int>, marked int, words int", keep=["doc_id", "grade"])
-    rows = sorted(found.collect())
+    parts = ("grade", "keys", "n", "marked", "words")
+    rows = sorted(found.groupBy("doc_id").agg(F.min(F.struct(*parts)).alias("one")).select("doc_id", "one.*").collect())
     grades = np.array([r.grade if regrade is None or not r.grade else regrade(r.grade, r.marked, r.words) for r in rows])
     return train([dict(zip(r["keys"], r["n"])) for r in rows], grades, chosen, int(grades.max()) + 1, **options)
 
