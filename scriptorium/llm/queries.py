@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import bpe_automaton, epsilon_grid, packing, preference, quality_rules, records, severity, simhash, token_tree, tokens, url_lists
+from . import (bpe_automaton, cube_mix, divergence, epsilon_grid, packing, periodic_runs, preference, quality_rules, records, severity,
+               simhash, token_tree, tokens, url_lists)
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +194,59 @@ def op10_toxicity(spark, sf):
     model = severity.fit_toxic(docs, load(spark, sf, "labels"))
     out = severity.severity(docs, model, keep=["doc_id"], names=["expected_severity", "p_toxic", "grade"])
     return out.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+# ------------------------------------------------------------------ 11 source divergence audit
+
+@_query
+def op11_source_divergence(spark, sf):
+    return divergence.source_divergence(load(spark, sf, "documents"))
+
+
+ORACLE["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*)::BIGINT AS nl FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+sz AS (SELECT lang, count(*)::BIGINT AS v, sum(nl)::BIGINT AS nt FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*)::BIGINT AS n FROM w JOIN v USING (lang, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(n)::BIGINT AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+             1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(t.n, 0) + sz.v) AS p, 1 + 1000000000 * (v.nl + 1) // (sz.nt + sz.v) AS q
+      FROM g JOIN v USING (lang) JOIN sz USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pr.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+k AS (SELECT *, cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM x)
+SELECT * FROM k WHERE part = 'pair' OR rank <= 200"""
+
+
+# ------------------------------------------------------------------ 12 periodic run detection
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; with h the CRC-32 of the decimal id and h % 10 = 0, the words from a place that h names on
+    repeat with a period that h names (words joined by one space), so that runs of all lengths are there to find."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    n, g = F.greatest(F.size("w"), F.lit(1)).cast("long"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("a", g % n)
+    rows = rows.withColumn("p", F.expr("1 + (greatest(size(w), 1) - a) div (3 + (h div 10) % 8)"))
+    again = F.flatten(F.array_repeat(F.expr("slice(w, cast(a + 1 as int), cast(p as int))"), F.expr("cast((size(w) - a) div p + 1 as int)")))
+    text = F.array_join(F.slice(F.concat(F.expr("slice(w, 1, cast(a as int))"), again), F.lit(1), F.size("w")), " ")
+    return rows.select("doc_id", F.when(F.size("w") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op12_periodic_runs(spark, sf):
+    return periodic_runs.run_digest(periodic_runs.find_runs(with_periods(load(spark, sf, "documents")), keep=["doc_id"]))
+
+
+# ------------------------------------------------------------------ 13 mixing sources to target weights
+
+@_query
+def op13_cube_mix(spark, sf):
+    return cube_mix.mix_sources(load(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
