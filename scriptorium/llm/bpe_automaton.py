@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .common import arrow_columns, as_text
-from .tokens import WORDS, Memo, is_plain, pack, pieces, spelled
+from .tokens import WORDS, Memo, PerWorker, is_plain, pack, pieces, spelled
 
 _LAST = 1 << 40  # after all merges
 _ARCS = 1 << 20  # arcs kept in the table
@@ -184,15 +184,11 @@ class Codec:
         return b"".join(map(self.ids.__getitem__, words)), b" ".join(map(self.spelling.__getitem__, words))
 
 
-_CODECS: dict[int, Codec] = {}  # by broadcast, for as long as a worker lives
+_PER_WORKER = PerWorker(Codec)
 
 
 def codec(shared: Broadcast) -> Codec:
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
-    return _CODECS[key]
+    return _PER_WORKER(shared)
 
 
 def bpe_encode(docs: DataFrame, shared: Broadcast, text: str = "text", keep: list[str] | None = None,

@@ -101,8 +101,8 @@ def _direction(s: np.ndarray, landing: bool) -> np.ndarray | None:
 def flight(size: np.ndarray, x: np.ndarray, draws: np.random.Generator, landing: bool = False,
            room: tuple[float, float] | None = None) -> np.ndarray:
     """New fractions, all but two at most at 0 or 1, with documents and words as before; with ``landing`` all
-    are. ``room``: words that others can give and take; the last document is then drawn so that it fits, if
-    it can. ``size`` falls."""
+    are. ``room``: words that others can give and take; the last document is then drawn, or if only
+    one way fits (or fits better) taken that way. ``size`` falls."""
     x, at = x.copy(), np.flatnonzero((x > _NEAR) & (x < 1 - _NEAR))
     while len(at):
         s, here = size[at].astype(float), x[at]
@@ -113,9 +113,8 @@ def flight(size: np.ndarray, x: np.ndarray, draws: np.random.Generator, landing:
             k = at[0]  # no constraint can be held: draw
             one = draws.random() < x[k]
             if room is not None and len(at) == 1:
-                more, less = (1 - x[k]) * size[k], x[k] * size[k]
-                if (more > room[0]) != (less > room[1]):
-                    one = less > room[1]
+                more, less = max(0.0, (1 - x[k]) * size[k] - room[0]), max(0.0, x[k] * size[k] - room[1])
+                one = one if more == less else more < less
             x[k] = float(one)
         else:
             ahead, back = _walls(here, u), _walls(here, -u)
@@ -130,7 +129,7 @@ def _mover(salt: int, landing: bool | None = None, first: bool = False):
     """A function of one group of units: the same with new ``x``. ``landing`` None: as column ``last`` says."""
 
     def move(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("size", "descending"), ("digest", "ascending")])
+        rows = rows.sort_by([("size", "descending"), ("digest", "ascending"), ("x", "ascending")])
         size, x = rows["size"].to_numpy(), rows["x"].to_numpy()
         seed = int(np.bitwise_xor.reduce(rows["digest"].to_numpy().view(np.uint64)))
         room = None
@@ -166,15 +165,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     big = (F.col("size") > 0) & (F.col("size") * large >= F.col("source_size")) & _open()
     first = cut(units.where(big).groupBy("source").applyInArrow(_mover(1, True, True), ddl))
     off = (first.groupBy(F.col("source").alias("__s"), F.lit(True).alias("__any"))
-           .agg(F.sum(F.col("size") * (F.col("x") - F.col("fraction"))).alias("__off"), F.sum("size").alias("__held")).drop("__any"))
+           .agg(F.sum(F.when(F.col("x") > 0.5, F.col("size")).otherwise(0)).alias("__more"), F.sum("size").alias("__held"), F.first("fraction").alias("__f")).drop("__any"))
     rest = F.col("source_size") - F.coalesce("__held", F.lit(0))
-    shifted = F.when(_open() & (rest > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") - F.coalesce("__off", F.lit(0.0)) / rest))).otherwise(F.col("x"))
+    over = F.coalesce(F.col("__more") - F.col("__f") * F.col("__held"), F.lit(0.0))  # words too many, from whole numbers
+    shifted = F.when(_open() & (rest > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") - over / rest))).otherwise(F.col("x"))
     others = cut(units.where(~big).join(off, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("x", shifted).select(names))
 
     settled, pending, turn = [first, others.where(~_open())], others.where(_open()), 2
     while pending.limit(1).count():
         dealt = pending.withColumn("__r", F.xxhash64("digest", F.lit(turn))).withColumn("__tie", F.monotonically_increasing_id())
-        counted = running_count(dealt, ["source"], ["__r", "digest", "__tie"], "__at")
+        counted = running_count(dealt, ["source"], ["__r", "digest", "x", "__tie"], "__at")
         most = counted.groupBy(F.col("source").alias("__s")).agg(F.max("__at").alias("__n"))
         grouped = (counted.join(most, F.col("source").eqNullSafe(F.col("__s")))
                    .withColumn("part", F.floor((F.col("__at") - 1) / group)).withColumn("last", F.col("__n") <= group))

@@ -45,7 +45,7 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def group_sums(docs: DataFrame) -> DataFrame:
+def group_sums(docs: DataFrame, most: int = FLUSH) -> DataFrame:
     """lang, source, term, n (occurrences), df (documents with the term): the sums of the documents' vectors.
     Each group has a row with a null term too, whose df counts its documents."""
 
@@ -67,7 +67,7 @@ def group_sums(docs: DataFrame) -> DataFrame:
                 count[group].update(vector)
                 having[group].update(vector.keys())
                 having[group][None] += 1
-            if sum(map(len, having.values())) > FLUSH:
+            if sum(map(len, having.values())) > most:
                 yield flush()
         if having:
             yield flush()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import arrow_columns
-from .tokens import WORDS, Memo, pieces, plain_tokenizer, spelled
+from .tokens import WORDS, Memo, PerWorker, pieces, plain_tokenizer, spelled
 
 # fixed values of the file format
 MASK = 0xA282EAD8
@@ -91,15 +91,11 @@ class Encoder:
                          for plain, piece in pieces(text)])
 
 
-_ENCODERS: dict[object, Encoder] = {}
+_PER_WORKER = PerWorker(Encoder)
 
 
 def encoder(shared: Broadcast) -> Encoder:
-    key = len(shared.value), zlib.crc32(shared.value[:4096].encode())
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[key]
+    return _PER_WORKER(shared)
 
 
 def _store(path: str):

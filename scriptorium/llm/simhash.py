@@ -233,13 +233,14 @@ def simhash_near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) ->
 def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """One row of each component, with the columns of ``docs``: the one with the smallest doc_id, of
     equal ids the one whose text has the smallest hash; components without any id keep one row too.
-    What stays is decided on ids and hashes; texts move once, to meet that list."""
+    What stays is decided on ids and hashes; texts move once: the list they meet and the rows of one id and
+    text are dealt by the same columns."""
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     light = cut(fingerprints(docs.select("doc_id", "text", digest.alias("h")), width, keep=["doc_id", "h"]))
-    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("i"), "h")
     chosen = (light.join(classes(light, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("k"))
-              .select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h")))
-    name = fresh(docs, "__digest")
-    rows = docs.withColumn(name, digest)
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(name) == F.col("__h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", name]).select(*[F.col(f"`{c}`") for c in docs.columns])
+              .select("k.z", "k.i", "k.h"))
+    z, i, h = (fresh(docs, n) for n in ("__none", "__id", "__digest"))
+    rows = docs.withColumns({z: F.col("doc_id").isNull(), i: F.coalesce("doc_id", F.lit(0)), h: digest})
+    kept = rows.join(chosen.toDF(z, i, h), [z, i, h], "left_semi")
+    return kept.dropDuplicates([z, i, h]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,6 @@ pass through ``build_trees``.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .common import arrow_columns, fresh
-from .tokens import MOST, Memo, plain_tokenizer, spelled
+from .tokens import MOST, Memo, PerWorker, plain_tokenizer, spelled
 
 #: The pattern of byte-level vocabularies (a fixed value of the tokenizer's file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -168,15 +167,11 @@ def edit(tree: Tree, text: str, start: int, length: int, new: str, counter: Coun
     return after, encoded
 
 
-_COUNTERS: dict[object, Counter] = {}
+_PER_WORKER = PerWorker(Counter)
 
 
 def counter(shared: Broadcast) -> Counter:
-    key = len(shared.value), zlib.crc32(shared.value[:4096].encode())
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(shared.value)
-    return _COUNTERS[key]
+    return _PER_WORKER(shared)
 
 
 def _dump(sizes: list[int], counts: list[int]) -> bytes:

@@ -6,13 +6,16 @@ vocabulary), so executors need no copy of it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
+#: Fixed values of the word tokenizer's file: the pattern WORDS and what passes its normal form unchanged.
 #: Printable ASCII, Latin-1 letters and plain white space: here normal form and lower case go letter by
 #: letter, and the word tokenizer's pattern reads as WORDS. Special tokens need a "<|".
 PLAIN = re.compile("[ \\n\\t!-~À-ÖØ-öø-ÿ]*")
@@ -21,9 +24,30 @@ LONG = 64  # longer words are not remembered
 MOST = 250_000  # entries of a memo, about 50 MB of short strings
 
 
+class TokenizerFile(NamedTuple):
+    content: str
+    digest: str  # of the whole content; names what workers build from it
+
+
 def share(spark: SparkSession, path: str) -> Broadcast:
+    """The tokenizer file, read and digested once, on the driver."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        content = f.read()
+    return spark.sparkContext.broadcast(TokenizerFile(content, hashlib.sha256(content.encode()).hexdigest()))
+
+
+class PerWorker:
+    """What ``make`` builds from a tokenizer file, kept by a Python worker for the file it used last."""
+
+    def __init__(self, make: Callable[[str], object]):
+        self.make, self.digest, self.made = make, None, None
+
+    def __call__(self, shared: Broadcast):
+        file = shared.value
+        if file.digest != self.digest:
+            self.digest, self.made = None, None
+            self.made, self.digest = self.make(file.content), file.digest
+        return self.made
 
 
 def byte_letters() -> dict[int, str]:

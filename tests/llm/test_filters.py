@@ -17,6 +17,7 @@ from scriptorium.session import load
 
 from ..conftest import SF_SMALL
 from .conftest import docs_of
+from .test_tokens import WORD, ids_of
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
@@ -228,7 +229,7 @@ def test_pipeline_stages(spark, odd, none, small):
         before, after = Counter(map(tuple, docs.collect())), Counter(map(tuple, out.collect()))
         assert not after - before and after, name
         docs = spark.createDataFrame(out.collect(), out.schema)
-    counted = {r.doc_id: len((r.text or "").encode().split()) + 1 for r in docs.collect()}
+    counted = {r.doc_id: len(ids_of(WORD, r.text)) + 1 for r in docs.collect()}
     packed = Counter()
     for r in corpus_pipeline.run(spark, SF_SMALL).collect():
         packed[r.doc_id] += r.length
@@ -236,4 +237,18 @@ def test_pipeline_stages(spark, odd, none, small):
     assert len(simhash.one_of_each(docs).collect()) == docs.count()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF_SMALL).collect() == [], name
-        assert stage(spark, odd, SF_SMALL).count() >= 0, name
+    odd_docs = odd.select(*small.columns)
+    before = Counter(map(tuple, odd_docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert not Counter(map(tuple, stage(spark, odd_docs, SF_SMALL).collect())) - before, name
+    lengths = Counter()
+    for r in stage_rows(spark, odd_docs):
+        lengths[r.doc_id] += r.length
+    want = Counter()
+    for r in odd_docs.collect():
+        want[r.doc_id] += len(ids_of(WORD, r.text)) + 1
+    assert lengths == want
+
+
+def stage_rows(spark, docs):
+    return corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).collect()

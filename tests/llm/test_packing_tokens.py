@@ -33,8 +33,9 @@ def test_texts_without_spaces_are_cut(spark):
     assert min(Counter(r.doc_id for r in rows).values()) > 1 and all(r.used <= r.capacity for r in rows)
 
 
-def test_pipeline_can_pack_tokens(spark, small):
+def test_pipeline_packs_tokens(spark, small):
     texts, got = {r.doc_id: r.text for r in small.collect()}, Counter()
-    for r in corpus_pipeline.run(spark, SF_SMALL, corpus_pipeline.TOKEN_STAGES).collect():
+    for r in corpus_pipeline.run(spark, SF_SMALL).collect():
         got[r.doc_id] += r.length
+        assert r.used <= r.capacity
     assert got == {d: len(ids_of(WORD, texts[d])) + 1 for d in got} and got
