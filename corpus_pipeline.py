@@ -30,19 +30,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of permitted lengths, in words."""
-    return packing.best_fit_pack(packing.with_length(docs))
-
-
-def packed_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of permitted lengths, in tokens as operators 3 and 5 count them."""
     shared = tokens.share(spark, public_tokenizers.path(queries.WORD_FILE))
     return packing.best_fit_pack(packing.with_length(docs, shared=shared))
 
 
 STAGES = [("quality_rules", good), ("toxicity", clean), ("simhash_near_dedup", distinct), ("best_fit_packing", packed)]
-#: The same with bins that hold tokens.
-TOKEN_STAGES = [*STAGES[:-1], ("best_fit_packing", packed_tokens)]
 
 #: No SQL: the first two stages learn their rules, the third fingerprints texts.
 ORACLE_SQL = None
