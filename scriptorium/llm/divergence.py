@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut
 
 MIN_DF, TOP, SCALE = 3, 200, 1_000_000_000
-FLUSH = 200_000  # entries of sums that a task holds before it hands them on
+FLUSH = 100_000  # entries of sums that a task holds before it hands them on
+_DF, _DOCS, _WORDS = 24, 1 << 20, 1 << 30  # a held sum has documents in its low bits, occurrences above: so many at most
 #: Terms are runs of letters A-Z, a-z and non-ASCII characters; only A-Z are lower-cased.
 _LETTERS = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _BIG = "decimal(38,0)"
@@ -50,27 +52,31 @@ def group_sums(docs: DataFrame, most: int = FLUSH) -> DataFrame:
     Each group has a row with a null term too, whose df counts its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict = defaultdict(Counter)
-        having: dict = defaultdict(Counter)
+        sums: dict[tuple[str, str], dict[bytes | None, int]] = defaultdict(dict)
+        held = docs = words = 0
 
-        def flush() -> pa.RecordBatch:
-            rows = [(*group, term, n, having[group][term]) for group, terms in count.items() for term, n in terms.items()]
-            rows += [(*group, None, 0, terms[None]) for group, terms in having.items()]
-            kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-            count.clear(), having.clear()
-            return pa.RecordBatch.from_arrays([*cols[:2], cols[2].cast(pa.string()), *cols[3:]], names=["lang", "source", "term", "n", "df"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, source), terms in sums.items():
+                both = np.fromiter(terms.values(), np.int64, len(terms))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)),
+                     pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(both >> _DF), pa.array(both & (1 << _DF) - 1)],
+                    names=["lang", "source", "term", "n", "df"])
+            sums.clear()
 
         for b in batches:
-            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
-                vector, group = count_vector(text), (lang, source)
-                count[group].update(vector)
-                having[group].update(vector.keys())
-                having[group][None] += 1
-            if sum(map(len, having.values())) > most:
-                yield flush()
-        if having:
-            yield flush()
+            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+                group = sums[lang, source]
+                held -= len(group)
+                group[None] = group.get(None, 0) + 1
+                vector = count_vector(text.as_py())
+                for term, n in vector.items():
+                    group[term] = group.get(term, 0) + (n << _DF) + 1
+                held, docs, words = held + len(group), docs + 1, words + vector.total()
+                if held > most or docs >= _DOCS or words >= _WORDS:
+                    yield from flush()
+                    held = docs = words = 0
+        yield from flush()
 
     parts = _named(docs).mapInArrow(run, "lang string, source string, term string, n bigint, df bigint")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
