@@ -305,6 +305,16 @@ def u2(spark, sf):
     return fold_transitions(fx.task_events(spark, sf))
 
 
+HOT_EVENTS_SQL = """SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 'hot' ELSE task_id END AS task_id, ts, op, worker_id FROM task_events"""
+
+
+@register("U2b_fold_hot_task", FOLD_SQL.replace("FROM task_events)", f"FROM ({HOT_EVENTS_SQL}) h)"), ("task_events",))
+def u2b(spark, sf):
+    """U2 with two fifths of all events in one task."""
+    e = fx.task_events(spark, sf)
+    return fold_transitions(e.withColumn("task_id", F.when(F.col("event_id") % 5 < 2, "hot").otherwise(F.col("task_id"))))
+
+
 @register("U3_reset_stale", f"""
 WITH s AS (SELECT *, coalesce(status = 'processing' AND started_at < {AS_OF_SQL} - INTERVAL 60 MINUTE, false) AS stale FROM tasks)
 SELECT task_id, file_name, CASE WHEN stale THEN 'pending' ELSE status END AS status, priority, backend, options,

@@ -26,27 +26,84 @@ def _events(spark, seed=1, n=600, hot_share=0.4):
     return rows
 
 
-def _brute_fold(rows, stale_minutes=60):
+def _brute_fold(rows, stale_minutes=60, strict=True):
     out = {}
     by = {}
-    for r in rows:
+    for r in {r[0]: r for r in rows}.values():
         by.setdefault(r[1], []).append(r)
     for task, evs in by.items():
         s = {"status": None, "worker": None, "started_us": None, "completed_us": None, "retries": 0, "applied": 0, "rejected": 0}
         for eid, _, ts, op, w in sorted(evs, key=lambda r: (r[2], r[0])):
-            transition(s, op, int(pd.Timestamp(ts).value // 1000), w, stale_minutes * 60_000_000)
-        out[task] = (s["status"], s["retries"], s["applied"], s["rejected"])
+            transition(s, op, int(pd.Timestamp(ts).value // 1000), w, stale_minutes * 60_000_000, strict)
+        done = s["status"] in ("completed", "failed")
+        out[task] = (s["status"], s["worker"] if done or s["status"] == "processing" else None, _time(s["started_us"]),
+                     _time(s["completed_us"]) if done else None, s["retries"], s["applied"], s["rejected"])
     return out
 
 
-@pytest.mark.parametrize("strategy", ["doubling", "grouped", "auto"])
-def test_fold_matches_brute_force_under_skew(spark, strategy):
-    rows = _events(spark)
-    df = spark.createDataFrame(rows, "event_id long, task_id string, ts timestamp_ntz, op string, worker_id string")
-    kw = {"max_group_events": 50} if strategy == "auto" else {}  # auto: the hot task takes the doubling path
-    got = {r.task_id: (r.status, r.retry_count, r.applied, r.rejected)
-           for r in fold_transitions(df, strategy=strategy, **kw).collect()}
-    assert got == _brute_fold(rows)
+def _time(us):
+    return None if us is None else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
+
+
+EVENTS = "event_id long, task_id string, ts timestamp_ntz, op string, worker_id string"
+
+
+def _folded(df, **kw):
+    return {r.task_id: tuple(r)[1:] for r in fold_transitions(df, **kw).collect()}
+
+
+@pytest.mark.parametrize("batch, ranges, strict", [(10_000, 1, True), (7, 5, True), (1, 3, True), (10_000, 13, False), (5, 9, False)])
+def test_fold_matches_brute_force_under_skew(spark, batch, ranges, strict):
+    """The same rows wherever batches and ranges cut the runs, one task holding 40% of the events."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    try:
+        for seed in (1, 2):
+            rows = _events(spark, seed)
+            rows += [rows[3], rows[3], (10_000, None, rows[0][2], "submit", None), (10_001, None, rows[0][2], "other", "w0")]
+            assert _folded(spark.createDataFrame(rows, EVENTS), ranges=ranges, strict=strict) == _brute_fold(rows, strict=strict)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_runs_compose_associatively():
+    """Summaries of any cuts of a history, composed in any order, give the state machine's result."""
+    import numpy as np
+    import pyarrow as pa
+
+    from scriptorium.operators.transitions import OP_STATUS, OPS, Batch, Run, new_state
+
+    rnd, stale = random.Random(8), 30
+    for trial in range(400):
+        strict = trial % 2 == 0
+        n = rnd.randint(1, 40)
+        ts = sorted(rnd.randint(0, 200) for _ in range(n))
+        op = [rnd.choices(range(6), weights=[1, 3, 4, 2, 1, 1])[0] for _ in range(n)]
+        worker = [rnd.choice(["a", "b", None]) for _ in range(n)]
+        cuts = sorted(rnd.sample(range(1, n), min(n - 1, rnd.randint(0, 6))))
+        runs = [Batch(np.zeros(j - i, np.int64), np.array(ts[i:j]), np.array(op[i:j]), pa.array(worker[i:j], pa.string()), stale, strict).run(0, j - i)
+                for i, j in zip([0, *cuts], [*cuts, n])]
+        while len(runs) > 1:
+            k = rnd.randrange(len(runs) - 1)
+            runs[k:k + 2] = [Run.load(runs[k].dump()).then(Run.load(runs[k + 1].dump()), stale)]
+        s = new_state()
+        for t, o, w in zip(ts, op, worker):
+            transition(s, OPS[o], t, w, stale, strict)
+        owned, done = s["status"] in ("processing", "completed", "failed"), s["status"] in ("completed", "failed")
+        assert runs[0].row("x") == ("x", s["status"], s["worker"] if owned else None, s["started_us"], s["completed_us"] if done else None,
+                                    s["retries"], s["applied"], s["rejected"]), (ts, op, worker, cuts)
+        assert set(OP_STATUS) == set(OPS)
+
+
+def test_fold_runs_no_job_while_planned(spark):
+    df = spark.createDataFrame(_events(spark), EVENTS)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fold-plan", "plan only")
+    fold_transitions(df)
+    assert not tracker.getJobIdsForGroup("fold-plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert fold_transitions(df.limit(0)).collect() == []
 
 
 def test_running_count_and_sum_brute_force(spark):
