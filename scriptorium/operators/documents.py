@@ -166,7 +166,13 @@ def convert_documents(docs: DataFrame, converters: Mapping[str, object] | None =
         "doc_id", C.route_by_suffix("file_name").alias("route"), "content", "file_name",
         option("formula_enable").alias("equation"), option("table_enable").alias("table"),
     ).withColumn("converter", converter_for(F.col("file_name"), F.col("route")))
-    schema = T.StructType([docs.schema["doc_id"]] + OUTCOME_FIELDS)
+    return _converted(routed.drop("file_name"), convs)
+
+
+def _converted(routed: DataFrame, convs: Mapping[str, object]) -> DataFrame:
+    """One outcome per row of ``routed`` (doc_id, route, content, equation, table, converter), from one Arrow
+    pass: the outcome leaves beside the row's id, so ids may be NULL or repeat."""
+    schema = T.StructType([routed.schema["doc_id"]] + OUTCOME_FIELDS)
     names = schema.names
 
     def run(batches):
@@ -174,7 +180,7 @@ def convert_documents(docs: DataFrame, converters: Mapping[str, object] | None =
 
         def one(route, cname, content, equation, table):
             if cname is None or cname not in convs:
-                return "failed", None, None, f"No converter for route {route}"
+                return "failed", None, None, f"No converter for route {route or 'unknown'}"
             try:
                 if cname not in inst:
                     conv = _converter(convs[cname])
@@ -192,7 +198,7 @@ def convert_documents(docs: DataFrame, converters: Mapping[str, object] | None =
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("route"), batch.column("converter"), *cols], names=names)
 
-    return spread(routed.drop("file_name")).mapInArrow(run, schema)
+    return spread(routed).mapInArrow(run, schema)
 
 
 def convert_tasks(tasks: DataFrame, files: DataFrame, now, root: str,
@@ -231,23 +237,13 @@ def route_and_union(docs: DataFrame, branches: Mapping[str, object]) -> DataFram
     """Split by route, convert each branch with its own converter, recombine by name. ``branches``
     maps a route to a converter. Every document comes back once: a document whose conversion raises, a
     route without a converter and a missing file name give ``failed`` with the reason."""
-    routed = docs.withColumn("route", C.route_by_suffix("file_name"))
-    known = [r for r, conv in branches.items() if conv is not None]
-    rest = routed.filter(~F.coalesce(F.col("route").isin(known), F.lit(False)))
-    out = rest.select("doc_id", "route", F.lit(None).cast("string").alias("converter"), F.lit("failed").alias("status"),
-                      F.lit(None).cast("int").alias("n_blocks"),
-                      F.concat(F.lit("No converter for route "), F.coalesce("route", F.lit("unknown"))).alias("error_message"))
-    for route in known:
-        part = routed.filter(F.col("route") == route)
-        blocks = to_blocks(part, "doc_id", "content", branches[route], errors=True)
-        counts = blocks.groupBy("doc_id").agg(F.count_if(F.col("block_idx") >= 0).cast("int").alias("_n"),
-                                              F.max(F.when(F.col("block_idx") < 0, F.col("text"))).alias("error_message"))
-        failed = F.col("error_message").isNotNull()
-        out = out.unionByName(part.select("doc_id").join(counts, "doc_id", "left").select(
-            "doc_id", F.lit(route).alias("route"), F.lit(_converter(branches[route]).name).alias("converter"),
-            F.when(failed, "failed").otherwise("completed").alias("status"),
-            F.when(~failed, F.coalesce("_n", F.lit(0))).alias("n_blocks"), "error_message"))
-    return out
+    route = C.route_by_suffix("file_name")
+    convs = {r: conv for r, conv in branches.items() if conv is not None}
+    routed = docs.select("doc_id", route.alias("route"), "content", F.lit(True).alias("equation"), F.lit(True).alias("table"))
+    out = _converted(routed.withColumn("converter", F.when(F.col("route").isin(list(convs)), F.col("route"))), convs)
+    names = {r: _converter(conv).name for r, conv in convs.items()}
+    named = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("converter")] if names else F.lit(None).cast("string")
+    return out.select("doc_id", "route", named.alias("converter"), "status", "n_blocks", "error_message")
 
 
 def split_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -332,10 +328,12 @@ def tasks_with_artifacts(tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def resolve_image_refs(docs: DataFrame, images: DataFrame) -> DataFrame:
     """Image references of each Markdown text joined on (doc, basename) with the image
-    inventory; unresolved refs keep url NULL."""
+    inventory; unresolved refs keep url NULL. Of several images with one basename in a document the one with the
+    smallest URL stands for all (a NULL url only if none has one), so no reference is doubled."""
     refs = docs.select("doc_id", F.posexplode(C.image_refs("md")).alias("ref_idx", "r")).select(
         "doc_id", "ref_idx", "r.match", "r.alt", "r.path", "r.name")
-    return refs.join(images.select("doc_id", F.col("name"), "url"), ["doc_id", "name"], "left")
+    one = images.groupBy("doc_id", "name").agg(F.min("url").alias("url"))
+    return refs.join(one, ["doc_id", "name"], "left")
 
 
 def rewrite_image_refs(docs: DataFrame, resolved: DataFrame, enabled: bool = True) -> DataFrame:

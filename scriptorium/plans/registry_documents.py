@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import converters as CV
 from ..operators import documents as D
 from ..session import load
 from . import fixtures as fx
@@ -311,6 +312,35 @@ def s1(spark, sf):
     return D.route_and_union(docs, {"text_like": "text", "page_image": None})
 
 
+class StrictText(CV.TextConverter):
+    """Plain text that refuses every text whose length is divisible by 13."""
+
+    name = "strict"
+
+    def convert(self, content):
+        if len(content or "") % 13 == 0:
+            raise ValueError("refused")
+        return super().convert(content)
+
+
+@register("S1b_repeated_and_raising", f"""
+WITH {_DOCS_IN_SQL},
+{_lines('docs_in', 'doc_id', 'content')},
+d AS (SELECT *, {_suffix('file_name')} IN ('.pdf', '.png', '.jpg', '.jpeg', '.bmp', '.tiff', '.tif', '.webp') AS page,
+             length(content) % 13 = 0 AS raises FROM docs_in),
+tcount AS (SELECT doc_id, count(*) AS n FROM tblocks GROUP BY doc_id)
+SELECT CASE WHEN d.doc_id % 7 <> 0 THEN d.doc_id // 2 END AS doc_id, d.file_name IS NOT NULL AND page AS on_page_route,
+       CASE WHEN page OR raises THEN 'failed' ELSE 'completed' END AS status,
+       cast(CASE WHEN NOT page AND NOT raises THEN coalesce(t.n, 0) END AS int) AS n_blocks,
+       CASE WHEN page THEN 'No converter for route page_image' WHEN raises THEN 'ValueError: refused' END AS error_message
+FROM d LEFT JOIN tcount t ON d.doc_id = t.doc_id""")
+def s1b(spark, sf):
+    """S1 where ids are NULL or repeat and converters raise: one outcome for every row."""
+    docs = docs_in(spark, sf).withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.floor(F.col("doc_id") / 2)))
+    out = D.route_and_union(docs, {"text_like": StrictText, "page_image": None})
+    return out.select("doc_id", (F.col("route") == "page_image").alias("on_page_route"), "status", "n_blocks", "error_message")
+
+
 @register("S2_split_outcomes", f"""
 WITH {_DOCS_IN_SQL}
 SELECT doc_id, 'page_image' AS route, 'No converter for route page_image' AS error_message FROM docs_in
