@@ -315,10 +315,11 @@ def image_inventory(tasks: DataFrame, artifacts: DataFrame, include_base64: bool
 
 
 def plan_object_urls(images: DataFrame, endpoint: str, bucket: str, scheme: str = "http") -> DataFrame:
-    """A10: deterministic object name and public URL per image (task_id, path)."""
+    """A10: deterministic object name and public URL per image (task_id, path; ``content`` passes through
+    where present). ``sources.objects.upload_objects`` copies them."""
     obj = C.object_name(F.col("task_id"), C.basename("path"))
-    return images.select("task_id", "path", obj.alias("object_name"),
-                         C.object_url(endpoint, bucket, obj, scheme).alias("url"))
+    return images.select("task_id", "path", obj.alias("object_name"), C.object_url(endpoint, bucket, obj, scheme).alias("url"),
+                         *(["content"] if "content" in images.columns else []))
 
 
 def tasks_with_artifacts(tasks: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, load, scratch_path
+from ..session import cut_lineage, load, scratch_path, spread
 from .scale import running_count
 
 AS_OF = "1998-06-01 00:00:00"
@@ -130,6 +130,31 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SF.read_results(spark, root)
 
 
+def result_tree(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """The ledger with its results on disk: ``root/{task_id}/doc.md`` for each task with artifacts (a plain file
+    ``root/{task_id}`` for every fifth), and result paths that say so. Tasks without artifacts have no folder."""
+    from ..sources.objects import store
+
+    t = tasks(spark, sf_dir)
+    there = artifacts(spark, sf_dir, t).select("task_id").distinct()
+
+    def make(batches):
+        disk, top = store(root)
+        disk.create_dir(top, recursive=True)
+        for b in batches:
+            for task in b.column(0).to_pylist():
+                path = f"{top}/{task}"
+                if int(task[1:]) % 5:
+                    disk.create_dir(path)
+                    path += "/doc.md"
+                with disk.open_output_stream(path) as f:
+                    f.write(b"# result")
+            yield b
+
+    spread(there).mapInArrow(make, "task_id string").write.format("noop").mode("overwrite").save()
+    return t.withColumn("result_path", F.when(F.col("result_path").isNotNull(), F.concat(F.lit(root + "/"), "task_id")))
+
+
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown with image refs and formulas, one per page."""
     p = load(spark, sf_dir, "pages").select("page_id")

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators.transitions import fold_transitions
-from ..session import load
+from ..session import load, scratch_path
+from ..sources.files import scan_documents
+from ..sources.objects import retire_results
 from . import fixtures as fx
 from .catalog import ORACLE, QUERIES, Query, register  # noqa: F401  (re-exported)
 from .oracle import AS_OF_SQL
@@ -352,6 +354,28 @@ def u4b(spark, sf):
     return _ledger_cols(L.retire_artifacts(t, AS_OF, 7, deleted=_existing_dirs(spark, sf, t))[0])
 
 
+@register("U4c_delete_folders", f"""
+WITH c AS (SELECT task_id, cast(substr(task_id, 2) AS bigint) AS num, status IN ('completed', 'failed')
+                  AND completed_at < {AS_OF_SQL} - INTERVAL 7 DAY AND result_path IS NOT NULL AS old,
+                  result_path IS NOT NULL AS has, task_id IN (SELECT task_id FROM artifacts) AS there FROM tasks)
+SELECT task_id, coalesce(old AND there AND num % 5 > 0, false) AS deleted,
+       CASE WHEN old AND NOT there THEN 'missing' WHEN old AND num % 5 = 0 THEN 'NotADirectoryError: not a folder' END AS error,
+       has AND NOT coalesce(old AND there AND num % 5 > 0, false) AS keeps_path,
+       coalesce(there AND NOT (old AND num % 5 > 0), false) AS on_disk FROM c""", ("tasks", "artifacts"))
+def u4c(spark, sf):
+    """U4 over a tree of result folders: those of old tasks are deleted (a plain file in a folder's place cannot
+    be), the whole step is run again as after a lost driver, and the tree is listed."""
+    root = scratch_path(spark, "result-tree")
+    tree = fx.result_tree(spark, sf, root)
+    ledger, _ = retire_results(tree, AS_OF, root)
+    ledger, outcomes = retire_results(tree, AS_OF, root)
+    left = scan_documents(spark, root, with_content=False).select(F.regexp_extract("path", "/(t[0-9]+)(/|$)", 1).alias("task_id"), F.lit(True).alias("on_disk"))
+    return (ledger.select("task_id", "result_path").join(outcomes.select("task_id", "deleted", "error"), "task_id", "left")
+            .join(left, "task_id", "left")
+            .select("task_id", F.coalesce("deleted", F.lit(False)).alias("deleted"), "error", F.col("result_path").isNotNull().alias("keeps_path"),
+                    F.coalesce("on_disk", F.lit(False)).alias("on_disk")))
+
+
 @register("U5_purge_records", f"""
 SELECT {_LEDGER_COLS} FROM tasks
 WHERE NOT coalesce(status IN ('completed', 'failed') AND completed_at < {AS_OF_SQL} - INTERVAL 30 DAY, false)""",

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import converters as CV
 from ..operators import documents as D
-from ..session import load
+from ..session import load, scratch_path
+from ..sources.files import scan_documents
+from ..sources.objects import upload_objects
 from . import fixtures as fx
 from .catalog import register
 
@@ -514,6 +516,45 @@ def _images_for_refs(spark, sf):
                     C.object_url(ENDPOINT, BUCKET, C.object_name(F.col("doc_id"), F.col("image_name"))).alias("url"))
 
 
+_IS_IMAGE_SQL = f"{_suffix('path')} IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp', '.webp', '.svg') AND contains(path, '/images/')"
+
+
+@register("A10b_upload_copies", f"""
+SELECT task_id, path, CASE WHEN num % 11 > 0 THEN 'http://{ENDPOINT}/{BUCKET}/' || object_name END AS url,
+       CASE WHEN num % 11 = 0 THEN 'ValueError: no content' END AS error,
+       CASE WHEN num % 11 > 0 THEN size END AS stored_size, CASE WHEN num % 11 > 0 THEN sha256(content) END AS stored_sha256
+FROM (SELECT *, cast(substr(task_id, 2) AS bigint) AS num,
+             'images/' || sha256(task_id || '/' || regexp_extract(path, '[^/]*$')) || {_suffix('path')} AS object_name
+      FROM result_files WHERE {_IS_IMAGE_SQL})""", ("result_files",))
+def a10b(spark, sf):
+    """Uploaded for real and read back from where they were copied; every eleventh task's bytes are missing."""
+    files = fx.result_files(spark, sf).filter(D.is_image("path"))
+    lost = F.substring("task_id", 2, 1 << 20).cast("bigint") % 11 == 0
+    files = files.select("task_id", "path", F.when(~lost, F.col("content")).alias("content"))
+    root = scratch_path(spark, "objects")
+    done = upload_objects(D.plan_object_urls(files, ENDPOINT, BUCKET), root)
+    stored = scan_documents(spark, f"{root}/images").select(
+        F.concat(F.lit("images/"), "file_name").alias("object_name"), F.col("length").alias("stored_size"), F.sha2("content", 256).alias("stored_sha256"))
+    return done.join(stored, "object_name", "left").select("task_id", "path", "url", "error", "stored_size", "stored_sha256")
+
+
+@register("A5c_inventory_urls", f"""
+WITH img AS (SELECT task_id, path, cast(substr(task_id, 2) AS bigint) AS num,
+                    'images/' || sha256(task_id || '/' || regexp_extract(path, '[^/]*$')) || {_suffix('path')} AS object_name
+             FROM result_files WHERE {_IS_IMAGE_SQL})
+SELECT t.task_id, count(i.path) AS image_count,
+       string_agg(CASE WHEN num % 11 > 0 THEN 'http://{ENDPOINT}/{BUCKET}/' || object_name WHEN num % 11 = 0 THEN '-' END, '|' ORDER BY i.path) AS urls
+FROM tasks t LEFT JOIN img i ON t.task_id = i.task_id GROUP BY t.task_id""", ("tasks", "result_files"))
+def a5c(spark, sf):
+    """The inventory with the URLs of uploaded images; a failed object keeps its place without one."""
+    files = fx.result_files(spark, sf).filter(D.is_image("path"))
+    lost = F.substring("task_id", 2, 1 << 20).cast("bigint") % 11 == 0
+    files = files.select("task_id", "path", F.when(~lost, F.col("content")).alias("content"))
+    done = upload_objects(D.plan_object_urls(files, ENDPOINT, BUCKET), scratch_path(spark, "objects"))
+    inv = D.image_inventory(fx.tasks(spark, sf), done, uploaded=True)
+    return inv.select("task_id", "image_count", F.array_join(F.transform("images", lambda i: F.coalesce(i["url"], F.lit("-"))), "|").alias("urls"))
+
+
 _REFS_SQL = """refs AS (
   SELECT doc_id, generate_subscripts(m, 1) - 1 AS ref_idx, unnest(m) AS match, unnest(a) AS alt, unnest(p) AS path
   FROM (SELECT doc_id, regexp_extract_all(md, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 0) AS m,
