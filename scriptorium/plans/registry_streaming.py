@@ -14,6 +14,7 @@ from ..session import load, scratch_path, spread
 from ..sources import files as SF
 from ..sources import stores as ST
 from ..streaming import jobs as J
+from ..streaming import state as KS
 from . import fixtures as fx
 from .catalog import register
 from .registry import FOLD_SQL
@@ -87,6 +88,12 @@ def k2b(spark, sf):
     """Four slices in several micro-batches; events with odd ids arrive a day late, within the watermark.
     Covers events up to max(ts) minus the watermark delay of two days: later ones still wait in the state
     when the replay ends."""
+    stream = _disordered(spark, sf, lambda events: J.live_ledger(events, order="event_time", watermark="2 days", retain_hours=24 * 30))
+    return J.final_states(stream)
+
+
+def _disordered(spark, sf, job):
+    """What ``job`` makes of the task events in four slices over several micro-batches, odd ids a day late."""
     ev = fx.task_events(spark, sf)
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
     step = (hi - lo) / 4
@@ -95,12 +102,65 @@ def k2b(spark, sf):
     cond = [arrives < edge[0], (arrives >= edge[0]) & (arrives < edge[1]), (arrives >= edge[1]) & (arrives < edge[2]), arrives >= edge[2]]
     files = spark.sparkContext.defaultParallelism
     src = J.stage_slices(ev, "task-events", cond, files)
-    out, ck = scratch_path(spark, "k2b-out"), scratch_path(spark, "k2b-ckpt")
-    stream = J.live_ledger(J.file_stream(spark, src, ev.schema, max_files=files), order="event_time", watermark="2 days",
-                           retain_hours=24 * 30)
-    J.run_available_now(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-                        .outputMode("append"))
-    return J.final_states(spark.read.parquet(out))
+    return _replayed(spark, job(J.file_stream(spark, src, ev.schema, max_files=files)))
+
+
+def _replayed(spark, stream):
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    J.run_available_now(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append"))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+# events that the watermark of two days has passed when the replay ends (watermarks are whole milliseconds)
+_PASSED = "ts < date_trunc('milliseconds', (SELECT max(ts) FROM task_events)) - INTERVAL 2 DAY"
+_PASSED_SQL = FOLD_SQL.replace("FROM task_events)", f"FROM task_events WHERE {_PASSED})", 1)
+# the same with a reset at started + 60 minutes wherever the next event, or the end, comes later than that
+_AUTO_SQL = _PASSED_SQL.replace("FROM fold f JOIN ev e", """FROM (SELECT f.task_id, f.rn, f.started, f.completed,
+             CASE WHEN stale THEN 'pending' ELSE f.status END AS status, CASE WHEN stale THEN NULL ELSE f.worker END AS worker,
+             f.retries + CASE WHEN stale THEN 1 ELSE 0 END AS retries, f.applied + CASE WHEN stale THEN 1 ELSE 0 END AS applied,
+             f.resets + CASE WHEN stale THEN 1 ELSE 0 END AS resets
+          FROM (SELECT f.*, coalesce(f.status = 'processing' AND f.started + INTERVAL 60 MINUTE < n.ts, false) AS stale
+                FROM fold f JOIN ev n ON n.task_id = f.task_id AND n.rn = f.rn + 1) f) f JOIN ev e""")
+_AUTO_SQL = (_AUTO_SQL.replace("CAST(0 AS BIGINT) AS applied\n  FROM ev", "CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS resets\n  FROM ev")
+             .replace("applied + CASE WHEN ok THEN 1 ELSE 0 END\n  FROM", "applied + CASE WHEN ok THEN 1 ELSE 0 END, resets\n  FROM")
+             .replace("f.retries, f.applied,\n           coalesce", "f.retries, f.applied, f.resets,\n           coalesce"))
+_AUTO_SQL = _AUTO_SQL[:_AUTO_SQL.index("SELECT task_id, status,\n       CASE WHEN status IN")] + f""",
+final AS (SELECT *, coalesce(status = 'processing' AND started + INTERVAL 60 MINUTE <
+                             date_trunc('milliseconds', (SELECT max(ts) FROM task_events)) - INTERVAL 2 DAY, false) AS stale FROM last)
+SELECT task_id, CASE WHEN stale THEN 'pending' ELSE status END AS status,
+       CASE WHEN NOT stale AND status IN ('processing', 'completed', 'failed') THEN worker END AS worker_id, started AS started_at,
+       completed AS completed_at, retries + CASE WHEN stale THEN 1 ELSE 0 END AS retry_count,
+       applied + CASE WHEN stale THEN 1 ELSE 0 END AS applied, n_events + resets - applied AS rejected,
+       resets + CASE WHEN stale THEN 1 ELSE 0 END AS timeout_resets
+FROM final"""
+
+
+@register("K4_stale_timer", _AUTO_SQL, ("task_events",))
+def k4(spark, sf):
+    """Final states where event-time timers reset stale tasks, out-of-order input over several micro-batches."""
+    out = _disordered(spark, sf, lambda events: KS.ordered_ledger(events, auto_reset=True, watermark="2 days"))
+    resets = out.groupBy("task_id").agg(F.count_if(F.col("op") == KS.TIMEOUT_RESET).alias("timeout_resets"))
+    return J.final_states(out).join(resets, "task_id")
+
+
+@register("K5_late_completions", _PASSED_SQL[:_PASSED_SQL.index("last AS (")] + """steps AS (
+  SELECT f.task_id, e.event_id, e.ts, e.op, f.rn, f.applied, lag(f.status) OVER w AS refused_by, lag(f.applied) OVER w AS before
+  FROM fold f LEFT JOIN ev e ON f.task_id = e.task_id AND f.rn = e.rn WINDOW w AS (PARTITION BY f.task_id ORDER BY f.rn))
+SELECT event_id, task_id, ts, op, refused_by FROM steps WHERE op IN ('complete', 'fail') AND applied = before""", ("task_events",))
+def k5(spark, sf):
+    """Completions that the guard refuses, out-of-order input over several micro-batches."""
+    return KS.rejected_completions(_disordered(spark, sf, lambda events: KS.ordered_ledger(events, watermark="2 days")))
+
+
+@register("K8c_silence_starts", """
+WITH n AS (SELECT worker_id, ts, lead(ts) OVER (PARTITION BY worker_id ORDER BY ts, event_id) AS nxt FROM task_events)
+SELECT worker_id, ts AS silent_from FROM n
+WHERE (nxt IS NULL OR nxt - ts > INTERVAL 900 SECOND)
+  AND ts + INTERVAL 900 SECOND + INTERVAL 1 MICROSECOND <= date_trunc('milliseconds', (SELECT max(ts) FROM task_events)) - INTERVAL 2 DAY""",
+          ("task_events",))
+def k8c(spark, sf):
+    """The starts of decided silences equal those of the batch form."""
+    return _disordered(spark, sf, lambda events: KS.silence_starts(events, watermark="2 days")).select("worker_id", "silent_from")
 
 
 @register("K8b_heartbeat_windows", """
@@ -124,15 +184,11 @@ t AS (SELECT e.task_id, min(e.ts) AS terminal_at FROM task_events e JOIN s ON e.
 SELECT s.task_id, s.submitted_at,
        CASE WHEN coalesce(t.terminal_at - s.submitted_at <= INTERVAL 600 SECOND, false) THEN 'reached' ELSE 'timeout' END AS outcome
 FROM s LEFT JOIN t ON s.task_id = t.task_id
-WHERE s.submitted_at IS NOT NULL
-  AND (t.terminal_at IS NOT NULL
-       OR s.submitted_at + INTERVAL 600 SECOND < (SELECT max(ts) FROM task_events) - INTERVAL 10 MINUTE)""", ("task_events",))
+WHERE date_trunc('milliseconds', s.submitted_at + INTERVAL 600 SECOND) < date_trunc('milliseconds', (SELECT max(ts) FROM task_events)) - INTERVAL 2 DAY""",
+          ("task_events",))
 def k7b(spark, sf):
-    src = J.stage(fx.task_events(spark, sf), "deadline-events")
-    out, ck = scratch_path(spark, "k7-out"), scratch_path(spark, "k7-ckpt")
-    stream = J.wait_deadline_stream(J.file_stream(spark, src, spark.read.parquet(src).schema), 600)
-    J.run_available_now(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck))
-    return spark.read.parquet(out)
+    """Every task whose deadline the watermark has passed, out-of-order input over several micro-batches."""
+    return _disordered(spark, sf, lambda events: KS.wait_deadline_stream(events, 600, watermark="2 days"))
 
 
 @register("K6a_message_size_guard", """

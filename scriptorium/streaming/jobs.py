@@ -357,57 +357,5 @@ def stage_slices(df: DataFrame, label: str, slices: list, files: int) -> str:
 
 # ------------------------------------------------------------------ K7 (stream form)
 
-_DEADLINE_STATE = T.StructType([T.StructField("submitted_us", T.LongType()), T.StructField("done", T.BooleanType())])
 DEADLINE_OUT = T.StructType([T.StructField("task_id", T.StringType()), T.StructField("submitted_at", T.TimestampType()),
                              T.StructField("outcome", T.StringType())])
-
-
-def _deadline_fn(seconds: int):
-    limit_us = seconds * 1_000_000
-
-    def fn(key, pdfs, state):
-        _quiet_workers()
-        sub, done = state.get if state.exists else (None, False)
-        out = []
-        if state.hasTimedOut:
-            if sub is not None and not done:
-                out.append((key[0], pd.Timestamp(sub * 1000), "timeout"))
-                done = True
-        else:
-            frames = [p for p in pdfs if not p.empty]
-            if frames:
-                ev = pd.concat(frames).sort_values(["ts", "event_id"])
-                ts = ev["ts"]
-                if getattr(ts.dt, "tz", None) is not None:
-                    ts = ts.dt.tz_convert("UTC").dt.tz_localize(None)
-                for t, op in zip(ts.astype("datetime64[us]").astype("int64").tolist(), ev["op"].tolist()):
-                    if done:
-                        break
-                    if sub is None:
-                        if op == "submit":
-                            sub = t
-                    elif op in ("complete", "fail", "cancel"):
-                        # the client checks for a terminal state before the deadline: equality counts
-                        out.append((key[0], pd.Timestamp(sub * 1000), "reached" if t - sub <= limit_us else "timeout"))
-                        done = True
-        due_ms = int((sub + limit_us) // 1000) if sub is not None and not done else None
-        if due_ms is not None and due_ms <= state.getCurrentWatermarkMs():  # decided: no timer can be set behind the watermark
-            out.append((key[0], pd.Timestamp(sub * 1000), "timeout"))
-            done, due_ms = True, None
-        state.update((sub, done))
-        if due_ms is not None:
-            state.setTimeoutTimestamp(due_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["task_id", "submitted_at", "outcome"])
-
-    return fn
-
-
-def wait_deadline_stream(events: DataFrame, seconds: int = 600, watermark: str = "10 minutes") -> DataFrame:
-    """K7 (stream form): one row per task once its outcome is known - ``reached`` when a terminal
-    event comes within ``seconds`` of the first submit, ``timeout`` when a later terminal event or
-    the watermark passes the deadline (event-time timer, O(1) state per task)."""
-    ev = events.withColumn("ts", _ltz("ts")).withWatermark("ts", watermark)
-    res = ev.groupBy("task_id").applyInPandasWithState(_deadline_fn(seconds), DEADLINE_OUT, _DEADLINE_STATE,
-                                                       "append", GroupStateTimeout.EventTimeTimeout)
-    return res.withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))

@@ -182,3 +182,81 @@ def test_finished_tasks_leave_the_state(spark):
         J.run_available_now(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck))
         got = {r.event_id: r.applied for r in spark.read.parquet(out).collect()}
         assert {k: got[k] for k in (1, 2, 5, 7, 8)} == {1: True, 2: True, 5: False, 7: True, 8: False}, order
+
+
+# ------------------------------------------------------------------ list state and timers
+
+STATE_EVENTS = "event_id long, task_id string, ts timestamp_ntz, op string, worker_id string"
+
+
+def _replay(spark, tmp_path, batches, job):
+    """Write one file per micro-batch, in order, and run the stream over them one by one."""
+    import time
+
+    from scriptorium.streaming import jobs as J
+
+    src = tmp_path / "events"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, STATE_EVENTS).coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(0.05)
+    schema = spark.read.parquet(str(src)).schema
+    stream = job(J.file_stream(spark, str(src), schema, max_files=1))
+    J.run_available_now(stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                        .option("checkpointLocation", str(tmp_path / "ckpt")).outputMode("append"))
+    return spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+
+
+def _at(minutes, day=1):
+    import datetime as dt
+
+    return dt.datetime(2024, 1, day) + dt.timedelta(minutes=minutes)
+
+
+def test_deadline_whatever_the_order(spark, tmp_path):
+    """A terminal event one micro-batch before its submit, an earlier submit that comes later, equality, silence."""
+    from scriptorium.operators.ledger import wait_deadline
+    from scriptorium.streaming.state import wait_deadline_stream
+
+    batches = [
+        [(1, "early", _at(5), "complete", None), (2, "again", _at(12), "submit", None), (3, "equal", _at(0), "submit", None),
+         (4, "silent", _at(1), "submit", None), (5, "orphan", _at(2), "fail", None), (6, None, _at(1), "submit", None)],
+        [(7, "early", _at(1), "submit", None), (8, "again", _at(1), "submit", None), (9, "again", _at(13), "complete", None),
+         (10, "equal", _at(10), "cancel", None)],
+        [(11, "clock", _at(0, 3), "claim", None), (12, "late", _at(0, 3), "submit", None)],
+        [(13, "early", _at(0, 4), "submit", None), (14, "early", _at(1, 4), "complete", None), (15, "clock", _at(0, 5), "claim", None)],
+    ]
+    got = {(r.task_id, r.submitted_at, r.outcome)
+           for r in _replay(spark, tmp_path, batches, lambda e: wait_deadline_stream(e, 600, watermark="1 hour")).collect()}
+    events = spark.createDataFrame([r for b in batches for r in b], STATE_EVENTS)
+    want = {(r.task_id, r.submitted_at, r.outcome) for r in wait_deadline(events.filter("event_id < 13 or event_id > 14"), 600).collect()}
+    assert got == want | {(None, _at(1), "timeout")}
+    assert ("early", _at(1), "reached") in got and ("again", _at(1), "timeout") in got and ("equal", _at(0), "reached") in got
+
+
+def test_deadline_and_ledger_state_is_removed(spark, tmp_path):
+    """A decided or finished task is forgotten after its retention: a later submit starts anew."""
+    from scriptorium.streaming.state import ordered_ledger, wait_deadline_stream
+
+    batches = [[(1, "a", _at(0), "submit", None)], *[[(i, "x", _at(i, 5), "claim", None)] for i in (2, 3, 4)], [(5, "a", _at(0, 5), "submit", None)],
+               [(6, "x", _at(0, 9), "claim", None)], [(7, "x", _at(0, 10), "claim", None)]]
+    rows = _replay(spark, tmp_path / "k7", batches, lambda e: wait_deadline_stream(e, 600, watermark="1 hour", retain_hours=24)).collect()
+    assert sorted((r.task_id, r.submitted_at) for r in rows) == [("a", _at(0)), ("a", _at(0, 5))]
+    batches = [[(1, "a", _at(0), "submit", None), (2, "a", _at(1), "claim", "w"), (3, "a", _at(2), "complete", "w")],
+               [(4, "x", _at(0, 5), "claim", None)], [(5, "a", _at(0, 5), "submit", None)], [(6, "x", _at(0, 9), "claim", None)]]
+    rows = _replay(spark, tmp_path / "k2", batches, lambda e: ordered_ledger(e, watermark="1 hour", retain_hours=24)).orderBy("event_id").collect()
+    assert [(r.event_id, r.applied, r.status) for r in rows if r.task_id == "a"] == [
+        (1, True, "pending"), (2, True, "processing"), (3, True, "completed"), (5, True, "pending")]
+
+
+def test_stale_timer_and_refused_completion_out_of_order(spark, tmp_path):
+    """The timer resets before a later claim is applied, and the first worker's completion comes too late (K4, K5)."""
+    from scriptorium.streaming.state import TIMEOUT_RESET, ordered_ledger, rejected_completions
+
+    batches = [[(4, "a", _at(95), "complete", "w0"), (2, "a", _at(10), "claim", "w0")], [(1, "a", _at(0), "submit", None), (3, "a", _at(90), "claim", "w1")],
+               [(5, "x", _at(0, 3), "claim", None)], [(6, "x", _at(0, 4), "claim", None)]]
+    out = _replay(spark, tmp_path, batches, lambda e: ordered_ledger(e, auto_reset=True, watermark="6 hours"))
+    rows = [(r.event_id, r.ts, r.op, r.applied, r.status, r.worker_id) for r in out.filter("task_id = 'a'").orderBy("ts").collect()]
+    assert rows == [(1, _at(0), "submit", True, "pending", None), (2, _at(10), "claim", True, "processing", "w0"),
+                    (-1, _at(70), TIMEOUT_RESET, True, "pending", None), (3, _at(90), "claim", True, "processing", "w1"),
+                    (4, _at(95), "complete", False, "processing", "w1"), (-1, _at(150), TIMEOUT_RESET, True, "pending", None)]
+    assert [tuple(r) for r in rejected_completions(out).collect()] == [(4, "a", _at(95), "complete", "processing")]
