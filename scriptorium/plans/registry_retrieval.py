@@ -62,23 +62,6 @@ def label_centroids(spark, sf):
             .select(F.col("label").alias("query_id"), F.transform("s", lambda z: z["v"]).alias("embedding")))
 
 
-_CENTROID_SQL = """c AS (SELECT label, i, avg(x) AS v FROM (
-       SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
-q AS (SELECT label AS query_id, list(v ORDER BY i) AS qv FROM c GROUP BY label)"""
-
-
-@register("V3_cosine_top_k", f"""
-WITH {_CENTROID_SQL},
-s AS (SELECT q.query_id, e.vec_id AS doc_id, list_cosine_similarity(q.qv, cast(e.embedding AS double[])) AS score
-      FROM q CROSS JOIN embeddings e),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5""")
-def v3(spark, sf):
-    corpus = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    top = R.cosine_top_k(label_centroids(spark, sf), corpus, 5)
-    return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
 def row_queries(spark, sf):
     """Every row whose id is divisible by 50, its vector as it is: 2% of the rows at any size."""
     e = load(spark, sf, "embeddings").where("vec_id % 50 = 0")
@@ -89,12 +72,16 @@ _ROWS_SQL = """q AS (SELECT vec_id AS query_id, cast(embedding AS double[]) AS q
       WHERE vec_id % 50 = 0 AND embedding IS NOT NULL)"""
 
 
-@register("V3b_cosine_top_k_rows", f"""
+V3_SQL = f"""
 WITH {_ROWS_SQL},
 s AS (SELECT q.query_id, e.vec_id AS doc_id, list_cosine_similarity(q.qv, cast(e.embedding AS double[])) AS score
       FROM q CROSS JOIN embeddings e),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5""")
+SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5"""
+
+
+@register("V3_cosine_top_k", V3_SQL)
+@register("V3b_cosine_top_k_rows", V3_SQL)
 def v3b(spark, sf):
     corpus = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     top = R.cosine_top_k(row_queries(spark, sf), corpus, 5)
@@ -105,26 +92,7 @@ def _bucket_sql(vec: str) -> str:
     return f"sum(CASE WHEN list_dot_product({vec}, p) > 0 THEN 1::bigint << bit ELSE 0 END)::bigint AS bucket"
 
 
-@register("V4_ann_top_k", f"""
-WITH {_CENTROID_SQL},
-n AS (SELECT greatest(4, length(bin(count(*) // 64))) AS bits FROM embeddings),
-pl AS (SELECT b // bits AS band, cast(b % bits AS int) AS bit,
-              list(CASE WHEN ('0x' || substr(md5(b || ':' || i), 8, 1))::int % 2 = 1 THEN 1.0::double ELSE -1.0::double END ORDER BY i) AS p
-       FROM n, range(16 * 64) r(b), range(64) d(i) WHERE b < 16 * bits GROUP BY ALL),
-qs AS (SELECT query_id, band, {_bucket_sql('qv')} FROM q, pl GROUP BY query_id, band),
-es AS (SELECT vec_id, band, {_bucket_sql('cast(embedding AS double[])')} FROM embeddings, pl WHERE embedding IS NOT NULL GROUP BY vec_id, band),
-k AS (SELECT DISTINCT query_id, vec_id FROM qs JOIN es USING (band, bucket)),
-s AS (SELECT k.query_id, k.vec_id AS doc_id, list_cosine_similarity(q.qv, cast(e.embedding AS double[])) AS score
-      FROM k JOIN q ON q.query_id = k.query_id JOIN embeddings e ON e.vec_id = k.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5""")
-def v4(spark, sf):
-    corpus = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    top = R.ann_top_k(label_centroids(spark, sf), corpus, 5, recall=None)  # the buckets alone, as the SQL states them
-    return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
-@register("V4b_ann_top_k_rows", f"""
+V4_SQL = f"""
 WITH {_ROWS_SQL},
 n AS (SELECT bits, cast(greatest(16, ceil(ln(0.1) / ln(1 - pow(1 - acos(0.8) / pi(), bits)))) AS bigint) AS bands
       FROM (SELECT greatest(4, length(bin(count(*) // 64))) AS bits FROM embeddings)),
@@ -142,13 +110,25 @@ f AS (SELECT query_id FROM m, n WHERE rank = 5
       AND 1 - pow(1 - pow(1 - acos(greatest(-1, least(1, score))) / pi(), bits), bands) >= 0.9),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s
       WHERE met OR query_id NOT IN (SELECT query_id FROM f))
-SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5""")
+SELECT query_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM r WHERE rank <= 5"""
+
+
+@register("V4_ann_top_k", V4_SQL)
+@register("V4b_ann_top_k_rows", V4_SQL)
 def v4b(spark, sf):
     corpus = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     top = R.ann_top_k(row_queries(spark, sf), corpus, 5)
     return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("V4c_inverted_lists", None)
+def v4c(spark, sf):
+    """The same queries through a coarse quantiser; no SQL, its recall against V3 is tested."""
+    corpus = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    top = R.inverted_list_top_k(row_queries(spark, sf), corpus, 5)
+    return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def conversation_pairs(spark, sf):
     """(user turn, next assistant turn) pairs of every conversation."""
     c = load(spark, sf, "conversations")

@@ -6,7 +6,7 @@ import re
 from scriptorium.plans import registry
 
 # facets of other operators (the survey gives them no key) and A7, which needs a database
-NOT_REGISTERED = {"G7", "O2", "O3", "K4", "K5", "A7"}
+NOT_REGISTERED = {"G7", "O2", "O3", "A7"}
 
 
 def _survey_ids():

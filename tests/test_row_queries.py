@@ -59,3 +59,47 @@ def test_queries_without_neighbours_in_buckets(spark):
     queries = corpus.withColumnRenamed("doc_id", "query_id")
     want = sorted((r.query_id, r.doc_id, r["rank"]) for r in R.cosine_top_k(queries, corpus, 2).collect())
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in R.ann_top_k(queries, corpus, 2).collect()) == want and len(want) == 4
+
+
+# ------------------------------------------------------------------ inverted lists
+
+def list_recall(queries, corpus, k=10):
+    exact = {(r.query_id, r.doc_id) for r in R.cosine_top_k(queries, corpus, k).collect()}
+    got = {(r.query_id, r.doc_id) for r in R.inverted_list_top_k(queries, corpus, k).collect()}
+    return len(exact & got) / len(exact)
+
+
+def test_inverted_lists_keep_their_recall(spark):
+    """Near random rows (the tables) at two sizes, and groups of near vectors."""
+    for sf in (SF_ORACLE, SF_ORACLE.replace("0.01", "0.1")):
+        corpus = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+        assert list_recall(row_queries(spark, sf), corpus) >= 0.9, sf
+    corpus = clustered(spark, 10_000, 0.5).cache()
+    queries = corpus.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    assert list_recall(queries, corpus) >= 0.9
+    rows = R._usable(corpus, "doc_id", "embedding", "doc_id")
+    centres = spark.sparkContext.broadcast(R.coarse_cells(np.array([r.v for r in rows.limit(4000).collect()]), 512))
+    listed = R.nearest_cells(rows, "doc_id", centres, 1)
+    probes = R.probes_for(rows, listed, 10_000, 10, centres, 0.95)
+    sizes = dict(listed.groupBy("cell").count().collect())
+    asked = R.nearest_cells(R._usable(queries, "query_id", "embedding", "query_id"), "query_id", centres, probes)
+    scored = sum(sizes.get(r.cell, 0) for r in asked.collect())
+    assert scored < 0.1 * 200 * 10_000  # pairs scored, of all pairs
+
+
+def test_inverted_lists_with_hot_cells_and_odd_vectors(spark, monkeypatch):
+    """A third of all vectors are equal, lists and queries are cut into tiles; NULL, zero and non-finite vectors."""
+    monkeypatch.setattr(R, "LIST_TILE", 16)
+    rnd = np.random.default_rng(3)
+    v = [[1.0] * 8 if i % 3 == 0 else [float(x) for x in rnd.standard_normal(8)] for i in range(300)]
+    v += [None, [0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7]
+    corpus = spark.createDataFrame(list(enumerate(v)), "doc_id long, embedding array<double>")
+    queries = corpus.withColumnRenamed("doc_id", "query_id")
+    got = sorted(map(tuple, R.inverted_list_top_k(queries, corpus, 5, probes=1000).select("query_id", "doc_id", "rank").collect()))
+    fine = corpus.filter("doc_id < 300")
+    want = sorted(map(tuple, R.cosine_top_k(fine.withColumnRenamed("doc_id", "query_id"), fine, 5, dim=8).select("query_id", "doc_id", "rank").collect()))
+    assert got == want
+    few = R.inverted_list_top_k(queries.filter("query_id in (1, 2)"), corpus, 250, cells=20, probes=1)  # lists too short: exact
+    assert few.groupBy("query_id").count().collect() == [(1, 250), (2, 250)] or {r.query_id: r["count"] for r in few.groupBy("query_id").count().collect()} == {1: 250, 2: 250}
+    assert R.inverted_list_top_k(queries, corpus.limit(0), 5).collect() == []
+    assert R.inverted_list_top_k(queries.limit(0), corpus, 5).collect() == []
