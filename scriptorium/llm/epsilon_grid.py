@@ -13,7 +13,7 @@ for a task, which splits it further in the same way before it multiplies vectors
 Equal vectors of one label form a class and are compared once. A task emits, for each class, how many
 vectors it found linked, and a spanning forest of the links; it never emits all pairs.
 
-Defined results: rows whose label is null or whose vector is null, empty, zero or holds a null or
+Defined results: rows whose label is null (or NaN, in a floating column) or whose vector is null, empty, zero or holds a null or
 non-finite component link with nothing; shorter vectors are read as if filled up with zeros; repeated
 rows are vectors of their own; a null vec_id does not name a component; an empty table gives an empty
 result; extra columns are not read.
@@ -242,7 +242,10 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, block: i
     """From vec_id, embedding and label: vec_id, n_links, component_id and kept for every row."""
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "label", F.col("embedding").alias("v"))
-    fine = F.coalesce(F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    labelled = F.col("label").isNotNull()
+    if rows.schema["label"].dataType.typeName() in ("float", "double"):
+        labelled &= ~F.isnan("label")
+    fine = F.coalesce(labelled & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
                       & F.exists("v", lambda x: x != 0), F.lit(False))
     size = rows.where(fine).agg(F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least")).first()
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from scriptorium.llm import epsilon_grid, simhash
 from scriptorium.llm.graph import components
@@ -162,3 +163,15 @@ def test_vectors_odd_rows(spark):
     check_vectors(spark, [(3, None, 1), (4, [1.0], None)])
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert epsilon_grid.embedding_near_duplicates(empty).collect() == []
+
+
+def test_vectors_with_nan_labels_and_clashing_columns(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0], nan), (1, [1.0, 0.0], nan), (2, [1.0, 0.0], 1.0), (3, [1.0, 0.001], 1.0), (4, [0.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label double")
+    for c in ("node", "V", "first", "copies", "kept", "n_links", "part", "block"):
+        df = df.withColumn(c, F.lit("other"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in epsilon_grid.embedding_near_duplicates(df).collect()}
+    assert got == {0: (0, 0, True), 1: (0, 1, True), 2: (1, 2, True), 3: (1, 2, False), 4: (0, 4, True)}
+    only = spark.createDataFrame(rows[:2], "vec_id bigint, embedding array<float>, label double")
+    assert sorted(r.n_links for r in epsilon_grid.embedding_near_duplicates(only).collect()) == [0, 0]
