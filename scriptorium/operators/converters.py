@@ -21,6 +21,7 @@ class Converter:
     """Base plug-in. ``open`` runs once per worker before the first document."""
 
     name = "base"
+    raw = False  # True: ``convert`` takes bytes as they are, not text
 
     def open(self) -> None:  # pragma: no cover - default no-op
         pass

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..session import cut_lineage, spread
 from . import converters as CV
+from . import formats as FM
 from . import ledger as L
 
 BLOCK_FIELDS = [T.StructField("block_idx", T.IntegerType()), T.StructField("type", T.StringType()),
@@ -105,6 +106,24 @@ def middle_json(blocks: DataFrame, page_size: int = 20) -> DataFrame:
                     F.to_json(F.struct(F.col("doc_id"), F.col("pages"))).alias("middle_json")))
 
 
+def read_middle_json(docs: DataFrame, col: str = "middle_json") -> DataFrame:
+    """P4 read back as data: one row per block (doc_id, page_idx, block_idx, type, text, malformed) of a nested
+    JSON column, by path on a Variant. Malformed or NULL JSON, and JSON without pages or blocks, give one row of
+    NULLs (``malformed`` only where there was text that is not valid JSON); members of another type are NULL."""
+    tvf = docs.sparkSession.tvf
+    v = docs.select("doc_id", F.col(col).alias("_json")).withColumn("_v", F.try_parse_json("_json"))
+
+    def each(path, out):
+        return tvf.variant_explode_outer(path).select(F.col("value").alias(out))
+
+    pages = v.lateralJoin(each(F.try_variant_get(F.col("_v").outer(), "$.pages", "variant"), "_page"))
+    blocks = pages.lateralJoin(each(F.try_variant_get(F.col("_page").outer(), "$.blocks", "variant"), "_block"))
+    return blocks.select(
+        "doc_id", F.try_variant_get("_page", "$.page_idx", "int").alias("page_idx"),
+        *[F.try_variant_get("_block", f"$.{name}", kind).alias(name) for name, kind in (("block_idx", "int"), ("type", "string"), ("text", "string"))],
+        (F.col("_json").isNotNull() & F.col("_v").isNull()).alias("malformed"))
+
+
 def with_pages(blocks: DataFrame, page_size: int = 20) -> DataFrame:
     return blocks.withColumn("page_idx", (F.col("block_idx") / page_size).cast("int"))
 
@@ -138,8 +157,8 @@ OUTCOME_FIELDS = [
 
 def converter_for(file_name: Column, route: Column, table: Mapping[str, str] | None = None) -> Column:
     """Converter name per document: page/image route has none by default (no layout/OCR model);
-    on the text route the suffix picks html / markdown, anything else is plain text."""
-    table = dict(CV.TEXT_ROUTE_CONVERTERS if table is None else table)
+    on the text route the suffix picks html / markdown / csv / json / xml, anything else is plain text."""
+    table = {**CV.TEXT_ROUTE_CONVERTERS, **FM.SUFFIX_READERS} if table is None else dict(table)
     suf = C.file_suffix(file_name)
     expr = F.when(route == "page_image", F.lit(None).cast("string"))
     for s, name in table.items():
@@ -149,15 +168,28 @@ def converter_for(file_name: Column, route: Column, table: Mapping[str, str] | N
 
 def convert_documents(docs: DataFrame, converters: Mapping[str, object] | None = None) -> DataFrame:
     """Docs (doc_id, file_name, content) -> one outcome row per document. Ids keep their type;
-    content is text or UTF-8 bytes; ``formula_enable`` / ``table_enable``, where present and false,
-    drop those blocks.
+    content is text or bytes (UTF-8 for texts; zip files are read as Office documents whatever their name);
+    ``formula_enable`` / ``table_enable``, where present and false, drop those blocks.
 
     Routing and the converter choice are JVM expressions; a single Arrow pass then runs each document
     through its converter (one scan of the input rather than one per branch). A document whose
     converter raises becomes ``failed`` with the error text; a route without a converter becomes
     ``failed`` ("No converter for route ..."); the others continue."""
-    convs = dict(CV.DEFAULT_CONVERTERS)
-    convs.update(converters or {})
+    return _converted(*_routed(docs, converters))
+
+
+def documents_to_blocks(docs: DataFrame, converters: Mapping[str, object] | None = None) -> DataFrame:
+    """P1 for files of every format that ``convert_documents`` reads: one row per block, and one row
+    ``(doc_id, -1, "error", NULL, message)`` for a document that cannot be read."""
+    return _converted(*_routed(docs, converters), as_blocks=True)
+
+
+def _routed(docs: DataFrame, converters: Mapping[str, object] | None) -> tuple[DataFrame, dict[str, object]]:
+    """Route, converter and options per document. CSV and JSON leave as blocks (``ready``), unless the
+    caller brings a converter of that name; their content does not reach Python."""
+    convs = {**CV.DEFAULT_CONVERTERS, **FM.READERS, **(converters or {})}
+    built_in = {k: f for k, f in FM.BUILT_IN.items() if k not in convs}
+    binary = isinstance(docs.schema["content"].dataType, T.BinaryType)
 
     def option(name):
         return F.coalesce(F.col(name), F.lit(True)) if name in docs.columns else F.lit(True)
@@ -165,38 +197,70 @@ def convert_documents(docs: DataFrame, converters: Mapping[str, object] | None =
     routed = docs.select(
         "doc_id", C.route_by_suffix("file_name").alias("route"), "content", "file_name",
         option("formula_enable").alias("equation"), option("table_enable").alias("table"),
-    ).withColumn("converter", converter_for(F.col("file_name"), F.col("route")))
-    return _converted(routed.drop("file_name"), convs)
-
-
-def _converted(routed: DataFrame, convs: Mapping[str, object]) -> DataFrame:
-    """One outcome per row of ``routed`` (doc_id, route, content, equation, table, converter), from one Arrow
-    pass: the outcome leaves beside the row's id, so ids may be NULL or repeat."""
-    schema = T.StructType([routed.schema["doc_id"]] + OUTCOME_FIELDS)
+    )
+    named = converter_for(F.col("file_name"), F.col("route"))
+    if binary:
+        zipped = (F.col("route") == "text_like") & (C.sniff_format("content") == "zip")
+        named = F.when(zipped, "office").otherwise(named)
+    routed = routed.withColumn("converter", named)
+    ready = F.lit(None).cast(FM.BLOCKS)
+    for name, read in built_in.items():
+        ready = F.when(F.col("converter") == name, read(F.col("content").cast("string"))).otherwise(ready)
+    content = F.when(F.coalesce(~F.col("converter").isin(list(built_in)), F.lit(True)), F.col("content"))
+    return (routed.drop("file_name").withColumn("ready", ready).withColumn("content", content),
+            {**convs, **dict.fromkeys(built_in)})
+
+
+def _converted(routed: DataFrame, convs: Mapping[str, object], as_blocks: bool = False) -> DataFrame:
+    """One outcome per row of ``routed`` (doc_id, route, content, equation, table, converter, and ``ready`` for
+    the converters named None), from one Arrow pass: the outcome leaves beside the row's id, so ids may be NULL
+    or repeat. ``as_blocks`` gives the blocks instead."""
+    fields = BLOCK_FIELDS if as_blocks else OUTCOME_FIELDS
+    schema = T.StructType([routed.schema["doc_id"]] + fields)
     names = schema.names
+    used = ("route", "converter", "content", "equation", "table", "ready")
+    if "ready" not in routed.columns:
+        routed = routed.withColumn("ready", F.lit(None).cast(FM.BLOCKS))
 
     def run(batches):
         inst = {}
 
-        def one(route, cname, content, equation, table):
+        def one(route, cname, content, equation, table, ready):
+            """The blocks of a document, or the reason why there are none."""
             if cname is None or cname not in convs:
-                return "failed", None, None, f"No converter for route {route or 'unknown'}"
+                return None, f"No converter for route {route or 'unknown'}"
             try:
+                off = {k for k, on in (("equation", equation), ("table", table)) if not on}
+                if convs[cname] is None:
+                    if ready is None:
+                        raise ValueError(f"not valid {cname.upper()}")
+                    return [(b["type"], b["level"], b["text"]) for b in ready if b["type"] not in off], None
                 if cname not in inst:
                     conv = _converter(convs[cname])
                     conv.open()
                     inst[cname] = conv
-                text = content.decode("utf-8") if isinstance(content, (bytes, bytearray)) else content
-                off = {k for k, on in (("equation", equation), ("table", table)) if not on}
-                blocks = [x for x in inst[cname].convert(text) if x[0] not in off]
-                return "completed", len(blocks), "\n\n".join(_md_line(*x) for x in blocks), None
+                if isinstance(content, (bytes, bytearray)) and not inst[cname].raw:
+                    content = content.decode("utf-8")
+                return [x for x in inst[cname].convert(content) if x[0] not in off], None
             except Exception as e:  # noqa: BLE001 - recorded as the document's outcome
-                return "failed", None, None, f"{type(e).__name__}: {e}"
+                return None, f"{type(e).__name__}: {e}"
 
         for batch in batches:
-            rows = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("route", "converter", "content", "equation", "table")))]
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("route"), batch.column("converter"), *cols], names=names)
+            rows = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in used))]
+            if as_blocks:
+                flat = [(row, i, *b) for row, (blocks, why) in enumerate(rows)
+                        for i, b in (enumerate(blocks) if why is None else [(-1, ("error", None, why))])]
+                cols = list(zip(*flat)) or [()] * 5
+                first = [batch.column("doc_id").take(pa.array(cols.pop(0), pa.int32()))]
+                types = (pa.int32(), pa.string(), pa.int32(), pa.string())
+            else:
+                cols = [["failed" if why else "completed" for _, why in rows],
+                        [None if why else len(blocks) for blocks, why in rows],
+                        [None if why else "\n\n".join(_md_line(*b) for b in blocks) for blocks, why in rows],
+                        [why for _, why in rows]]
+                first = [batch.column(c) for c in ("doc_id", "route", "converter")]
+                types = (pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays(first + [pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return spread(routed).mapInArrow(run, schema)
 

@@ -520,6 +520,7 @@ def k7(spark, sf):
 
 
 from . import registry_documents  # noqa: E402,F401  (registers document queries)
+from . import registry_formats  # noqa: E402,F401
 from . import registry_functions  # noqa: E402,F401
 from . import registry_retrieval  # noqa: E402,F401
 from . import registry_streaming  # noqa: E402,F401

@@ -1,16 +1,14 @@
 """Registered streaming, source/sink and plug-in queries (K1-K3, K6, K8, A1, A3, A4, A6, A8, A9,
-W3, X1, X3). Streams run with ``availableNow`` into a sink in the shared folder and are read back."""
+W3, X1). Streams run with ``availableNow`` into a sink in the shared folder and are read back."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..operators import converters as CV
 from ..operators import documents as D
 from ..operators import ledger as L
-from ..session import load, scratch_path, spread
+from ..session import load, scratch_path
 from ..sources import files as SF
 from ..sources import stores as ST
 from ..streaming import jobs as J
@@ -307,7 +305,7 @@ def a9(spark, sf):
     return e.select("src", "dst", "rel", "valid")
 
 
-# ------------------------------------------------------------------ plug-ins
+# ------------------------------------------------------------------ plug-ins
 
 @register("X1_converter_plugin", f"""
 WITH {_html()}
@@ -317,33 +315,3 @@ def x1(spark, sf):
     pages = load(spark, sf, "pages")
     b = D.to_blocks(pages, "page_id", "html", CV.HtmlConverter())
     return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"))
-
-
-def register_explode_blocks(spark):
-    """``explode_blocks(html)`` as an Arrow Python UDTF for SQL users."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="block_idx int, type string, level int, text string", useArrow=True)
-    class ExplodeBlocks:
-        def __init__(self):
-            self.conv = CV.HtmlConverter()
-
-        def eval(self, html: str):
-            for i, (t, lv, x) in enumerate(self.conv.convert(html)):
-                yield i, t, lv, x
-
-    spark.udtf.register("explode_blocks", ExplodeBlocks)
-
-
-@register("X3_explode_blocks_udtf", f"""
-WITH {_html()}
-SELECT doc_id AS page_id, cast(n_heading + n_paragraph + n_list_item + n_text AS bigint) AS n_blocks,
-       cast(n_heading AS bigint) AS n_heading FROM hcount
-WHERE n_heading + n_paragraph + n_list_item + n_text > 0""")
-def x3(spark, sf):
-    register_explode_blocks(spark)
-    view = "pages_" + os.urandom(4).hex()
-    spread(load(spark, sf, "pages")).createOrReplaceTempView(view)
-    return spark.sql(f"""SELECT p.page_id, count(*) AS n_blocks, count_if(b.type = 'heading') AS n_heading
-                         FROM {view} p, LATERAL explode_blocks(p.html) b GROUP BY p.page_id""")
-
