@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -109,6 +109,11 @@ def worker_health(tasks: DataFrame, as_of, max_age_seconds: int = 900) -> DataFr
 
 # ---------------------------------------------------------------- projections
 
+def task_key(path: str, length: str) -> Column:
+    """B1's task id: a hash of a file's path and length."""
+    return F.sha2(F.concat_ws("|", path, F.col(length).cast("string")), 256)
+
+
 def submit_batch(files: DataFrame, now, defaults: dict | None = None) -> DataFrame:
     """B1: new pending ledger rows. ``files`` has file_name, file_path, content_length and may carry
     backend / priority / lang / method / formula_enable / table_enable. The id is a hash of path and
@@ -123,7 +128,7 @@ def submit_batch(files: DataFrame, now, defaults: dict | None = None) -> DataFra
                                  opt("formula_enable").alias("formula_enable"),
                                  opt("table_enable").alias("table_enable")))
     return files.select(
-        F.sha2(F.concat_ws("|", "file_path", F.col("content_length").cast("string")), 256).alias("task_id"),
+        task_key("file_path", "content_length").alias("task_id"),
         "file_name", "file_path",
         F.lit("pending").alias("status"),
         opt("priority").cast("int").alias("priority"),
@@ -206,7 +211,7 @@ def claim_order(tasks: DataFrame) -> DataFrame:
     return ranked.drop("_neg_pri")
 
 
-def claim_batch(tasks: DataFrame, workers: Sequence[str], n: int, now) -> tuple[DataFrame, DataFrame]:
+def claim_batch(tasks: DataFrame, workers: Sequence[str], n: int, now, affected=None) -> tuple[DataFrame, DataFrame]:
     """The first ``n`` pending rows in claim order go round-robin to ``workers``.
 
     Top-n is a TakeOrderedAndProject (per-partition top-n, then merge), so only n rows ever meet in
@@ -223,7 +228,7 @@ def claim_batch(tasks: DataFrame, workers: Sequence[str], n: int, now) -> tuple[
               .withColumn("started_at", _ts(now))
               .select("task_id", "claim_rank", "worker_id", "started_at"))
     c = claims.select("task_id", F.col("worker_id").alias("_w"), F.col("started_at").alias("_s"))
-    ledger = (tasks.join(c, "task_id", "left")
+    ledger = (counted(tasks.join(c, "task_id", "left"), F.col("_w").isNotNull(), affected)
               .withColumn("status", F.when(F.col("_w").isNotNull(), "processing").otherwise(F.col("status")))
               .withColumn("worker_id", F.coalesce("_w", "worker_id"))
               .withColumn("started_at", F.when(F.col("_w").isNotNull(), F.col("_s")).otherwise(F.col("started_at")))
@@ -270,18 +275,18 @@ def retire_candidates(tasks: DataFrame, now, days: int = 7) -> DataFrame:
 
 
 def retire_artifacts(tasks: DataFrame, now, days: int = 7,
-                     deleted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                     deleted: DataFrame | None = None, affected=None) -> tuple[DataFrame, DataFrame]:
     """U4: returns ``(ledger', manifest)``. The manifest lists result dirs to delete; ``deleted``
     (task_id) acknowledges the dirs that existed and were removed, and only those rows lose their
     result path. Without acknowledgements the ledger is unchanged."""
     manifest = retire_candidates(tasks, now, days)
     if deleted is None:
-        return tasks, manifest.withColumn("deleted", F.lit(False))
+        return counted(tasks, F.lit(False), affected), manifest.withColumn("deleted", F.lit(False))
     ack = deleted.select("task_id").distinct().withColumn("_ack", F.lit(True))
     man = (manifest.join(ack, "task_id", "left")
            .withColumn("deleted", F.coalesce("_ack", F.lit(False))).drop("_ack"))
     gone = man.filter("deleted").select("task_id", F.lit(True).alias("_gone"))
-    ledger = (tasks.join(gone, "task_id", "left")
+    ledger = (counted(tasks.join(gone, "task_id", "left"), F.col("_gone"), affected)
               .withColumn("result_path", F.when(F.col("_gone"), F.lit(None).cast("string")).otherwise(F.col("result_path")))
               .drop("_gone").select(*tasks.columns))
     return ledger, man
@@ -295,7 +300,7 @@ def purge_records(tasks: DataFrame, now, days: int = 30) -> DataFrame:
     return tasks.filter(~F.coalesce(cond, F.lit(False)))
 
 
-def cancel_requests(tasks: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cancel_requests(tasks: DataFrame, requests: DataFrame, affected=None) -> tuple[DataFrame, DataFrame]:
     """Per request ``not_found`` / ``cancelled`` (was pending) / ``rejected`` (message names the
     status). Returns ``(ledger', outcomes)``; the guard and the update are one decision, so a claim
     cannot slip in between."""
@@ -309,7 +314,7 @@ def cancel_requests(tasks: DataFrame, requests: DataFrame) -> tuple[DataFrame, D
     outcomes = j.select("task_id", F.col("status").alias("previous_status"), outcome.alias("outcome"),
                         message.alias("message"))
     done = outcomes.filter(F.col("outcome") == "cancelled").select("task_id", F.lit(True).alias("_c"))
-    ledger = (tasks.join(done, "task_id", "left")
+    ledger = (counted(tasks.join(done, "task_id", "left"), F.col("_c"), affected)
               .withColumn("status", F.when(F.col("_c"), "cancelled").otherwise(F.col("status")))
               .drop("_c").select(*tasks.columns))
     return ledger, outcomes
@@ -334,7 +339,7 @@ def result_outcomes(tasks: DataFrame, results: DataFrame) -> DataFrame:
             .drop("_first", "_cur", "_owner"))
 
 
-def apply_results(tasks: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_results(tasks: DataFrame, results: DataFrame, affected=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns ``(ledger', accepted, rejected)``; accepted + rejected = input. Callers that
     need both sides should persist ``result_outcomes`` once and split it."""
     out = result_outcomes(tasks, results)
@@ -342,7 +347,7 @@ def apply_results(tasks: DataFrame, results: DataFrame) -> tuple[DataFrame, Data
     rejected = out.filter(F.col("reason").isNotNull())
     upd = accepted.select("task_id", F.col("status").alias("_new"), F.col("ts").alias("_ts"),
                           F.col("result_path").alias("_rp"), F.col("error_message").alias("_err"))
-    ledger = (tasks.join(upd, "task_id", "left")
+    ledger = (counted(tasks.join(upd, "task_id", "left"), F.col("_new").isNotNull(), affected)
               .withColumn("status", F.coalesce("_new", "status"))
               .withColumn("completed_at", F.when(F.col("_new").isNotNull(), F.col("_ts")).otherwise(F.col("completed_at")))
               .withColumn("result_path", F.when(F.col("_new") == "completed", F.coalesce("_rp", "result_path"))
@@ -397,14 +402,17 @@ def queue_depth(tasks: DataFrame) -> DataFrame:
     return m.select("minute", "pending_delta", "processing_delta", "pending_depth", "processing_depth")
 
 
-def observed(df: DataFrame, changed: Column, name: str):
-    """Attach an ``Observation`` counting the rows a mutation changed. The count is collected
-    by the same job that writes the new snapshot (no second pass); read it with ``obs.get``
-    after the action."""
-    from pyspark.sql import Observation
+def counted(df: DataFrame, changed: Column, affected=None) -> DataFrame:
+    """``affected`` (an ``Observation``) counts the rows of a new ledger that a mutation changed, in the pass
+    that writes it. The count stands on the mutation's last step, behind every join, so a lost executor's
+    earlier stages may run again without counting twice. Read ``affected.get["affected_rows"]`` after the action."""
+    return df if affected is None else df.observe(affected, F.count_if(changed).alias("affected_rows"))
 
+
+def observed(df: DataFrame, changed: Column, name: str):
+    """Attach an ``Observation`` counting the rows a mutation changed; returns both."""
     obs = Observation(name)
-    return df.observe(obs, F.count_if(changed).alias("affected_rows")), obs
+    return counted(df, changed, obs), obs
 
 
 def reset_stale_observed(tasks: DataFrame, now, minutes: int = 60):

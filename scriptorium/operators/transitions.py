@@ -386,13 +386,15 @@ def _combine(stale: int):
     return run
 
 
-def fold_transitions(events: DataFrame, stale_minutes: int = 60, strict: bool = True, ranges: int | None = None) -> DataFrame:
+def fold_transitions(events: DataFrame, stale_minutes: int = 60, strict: bool = True, ranges: int | None = None,
+                     affected=None) -> DataFrame:
     """Final ledger state per task plus how many of its events were applied / rejected.
 
     Output: task_id, status, worker_id, started_at, completed_at, retry_count, applied, rejected.
     Tasks whose events contain no submit keep status NULL and reject everything. Redelivered events (same
     ``event_id``, task and time) count once. Events without a time come first and are rejected. A NULL
-    task is a task. ``ranges`` is the number of range partitions (the session's shuffle partitions)."""
+    task is a task. ``ranges`` is the number of range partitions (the session's shuffle partitions).
+    ``affected`` (an ``Observation``) counts the applied events (G7)."""
     stale = stale_minutes * 60 * 1_000_000
     n = ranges or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     cols = ["task_id", "ts", "event_id"]
@@ -400,4 +402,5 @@ def fold_transitions(events: DataFrame, stale_minutes: int = 60, strict: bool =
                              F.col("worker_id").cast("string").alias("worker_id"))
                .repartitionByRange(n, *cols).sortWithinPartitions(*cols))
     scanned = ordered.mapInArrow(_scan(stale, strict), f"{FOLD_SCHEMA}, part int, run binary")
-    return by_key(scanned, "task_id").sortWithinPartitions("task_id", "part").mapInArrow(_combine(stale), FOLD_SCHEMA)
+    ledger = by_key(scanned, "task_id").sortWithinPartitions("task_id", "part").mapInArrow(_combine(stale), FOLD_SCHEMA)
+    return ledger if affected is None else ledger.observe(affected, F.coalesce(F.sum("applied"), F.lit(0)).cast("long").alias("affected_rows"))

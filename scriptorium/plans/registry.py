@@ -7,7 +7,7 @@ operators themselves return the native types.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
@@ -508,6 +508,38 @@ def j5(spark, sf):
     return L.missing_results(t, fx.artifacts(spark, sf, t))
 
 
+@register("G7_affected_rows", f"""
+SELECT 'U1' AS mutation, count(*) AS affected_rows FROM ({ORACLE["U1_claim_batch"]}) x
+UNION ALL SELECT 'U2', cast(sum(applied) AS bigint) FROM ({ORACLE["U2_fold_transitions"]}) x
+UNION ALL SELECT 'U3', count(*) FROM tasks WHERE status = 'processing' AND started_at < {AS_OF_SQL} - INTERVAL 60 MINUTE
+UNION ALL SELECT 'U4', count(*) FROM ({ORACLE["U4_retire_artifacts"]}) x WHERE deleted
+UNION ALL SELECT 'U5', count(*) FROM tasks WHERE status IN ('completed', 'failed') AND completed_at < {AS_OF_SQL} - INTERVAL 30 DAY
+UNION ALL SELECT 'J2', count(*) FROM ({ORACLE["J2_cancel_requests"]}) x WHERE outcome = 'cancelled'
+UNION ALL SELECT 'J3', count(*) FROM ({ORACLE["J3_apply_results"]}) x WHERE reason IS NULL""", ("tasks",))
+def g7(spark, sf):
+    """Each mutation writes its new ledger and counts the rows it changed in the same pass."""
+    t = _tasks(spark, sf)
+
+    def watched(name, mutate):
+        seen = Observation(name)
+        return mutate(seen), seen
+
+    runs = {
+        "U1": watched("U1", lambda o: L.claim_batch(t, WORKERS, 100, AS_OF, affected=o)[0]),
+        "U2": watched("U2", lambda o: fold_transitions(fx.task_events(spark, sf), affected=o)),
+        "U3": L.reset_stale_observed(t, AS_OF, 60),
+        "U4": watched("U4", lambda o: L.retire_artifacts(t, AS_OF, 7, deleted=_existing_dirs(spark, sf, t), affected=o)[0]),
+        "U5": L.purge_records_observed(t, AS_OF, 30),
+        "J2": watched("J2", lambda o: L.cancel_requests(t, _cancel_req(spark, sf), affected=o)[0]),
+        "J3": watched("J3", lambda o: L.apply_results(t, worker_results(spark, sf), affected=o)[0]),
+    }
+    counts = []
+    for name, (ledger, seen) in runs.items():
+        ledger.write.parquet(scratch_path(spark, f"ledger-{name}"))
+        counts.append((name, seen.get["affected_rows"]))
+    return spark.createDataFrame(counts, "mutation string, affected_rows long")
+
+
 @register("K7_wait_deadline", """
 WITH s AS (SELECT task_id, min(ts) FILTER (WHERE op = 'submit') AS submitted_at FROM task_events GROUP BY task_id),
 t AS (SELECT e.task_id, min(e.ts) AS terminal_at FROM task_events e JOIN s ON e.task_id = s.task_id

@@ -1,4 +1,4 @@
-"""Registered queries over files of many formats (P7d, F5b), the middle JSON read back as Variant (P4b) and the
+"""Registered queries over files of many formats (P7d, P1b, F5b, K1b), the middle JSON read back as Variant (P4b) and the
 table function for blocks (X3). Files are written from ``documents`` inside tasks, as real bytes."""
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from ..functions import columns as C
 from ..functions.tables import register_explode_blocks
 from ..operators import documents as D
 from ..operators import formats as FM
-from ..session import load, spread
-from .catalog import register
+from ..session import load, scratch_path, spread
+from ..sources.objects import upload_objects
+from ..streaming import jobs as J
+from . import fixtures as fx
+from .catalog import ORACLE, register
 from .registry_documents import _doc_blocks, _html, _lines
 
 # ------------------------------------------------------------------ files of many formats
@@ -178,6 +181,27 @@ def f5b(spark, sf):
     return files_of_kinds(spark, sf).select("doc_id", FM.sniff_office("content").alias("format"), C.sniff_format("content").alias("signature"))
 
 
+INGEST_FILES = 2_000  # files a micro-batch
+
+
+@register("K1b_ingest_tree", f"""
+SELECT doc_id, converter, status, n_blocks, markdown_md5, error_message, status = 'completed' AS has_result, 'ingest' AS worker_id, 0 AS retry_count
+FROM ({ORACLE["P7d_formats"]}) x""")
+def k1b(spark, sf):
+    """The files of nine kinds as a folder tree, read as a stream into outcomes and ledger; then the whole stream
+    runs again without its checkpoint into the same folder, in one batch, which changes nothing."""
+    root, out = scratch_path(spark, "tree"), scratch_path(spark, "ingested")
+    name = F.concat((F.col("doc_id") / 1000).cast("long").cast("string"), F.lit("/"), F.col("file_name"))
+    upload_objects(files_of_kinds(spark, sf).select(F.col("doc_id").alias("task_id"), F.col("file_name").alias("path"),
+                                                    name.alias("object_name"), name.alias("url"), "content"), root)
+    for files in (INGEST_FILES, None):
+        J.ingest_tree(spark, root, out, scratch_path(spark, "ingest-ckpt"), fx.AS_OF, glob="doc*", max_files=files)
+    ledger, results = J.read_ingested(spark, out)
+    doc_id = F.regexp_extract("file_name", "^doc([0-9]+)", 1).cast("long").alias("doc_id")
+    return (ledger.select("task_id", doc_id, "status", "error_message", F.col("result_path").isNotNull().alias("has_result"), "worker_id", "retry_count")
+            .join(results.select("task_id", "converter", "n_blocks", F.md5("markdown").alias("markdown_md5")), "task_id").drop("task_id"))
+
+
 # ------------------------------------------------------------------ middle JSON as data
 
 _TYPED = """CASE WHEN regexp_matches(text, '^#{1,6} +') THEN 'heading' WHEN starts_with(text, '- ') OR starts_with(text, '* ') THEN 'list_item'

@@ -8,6 +8,7 @@ time zone UTC) on the way in and back on the way out.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import pandas as pd
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions import columns as C
 from ..functions.columns import TERMINAL_STATUSES
 from ..operators import documents as D
+from ..operators import ledger as L
 from ..operators.transitions import new_state, transition  # shared transition table
 from ..plans.scale import next_match
 from ..session import scratch_path
@@ -339,6 +342,54 @@ def ingest_stream(spark: SparkSession, in_path: str, out_path: str, ckpt: str, a
     return w.trigger(processingTime=POLL).start()
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"  # of Spark's binaryFile source
+
+
+def ingest_tree(spark: SparkSession, in_path: str, out_path: str, ckpt: str, now, glob: str = "*", max_files: int | None = None,
+                available_now: bool = True):
+    """K1 over raw files: the files of a folder tree, as they appear, are submitted (B1), claimed, converted
+    and their outcomes applied (J3). Each micro-batch writes two folders, ``results`` and ``ledger``, named by
+    the stream's checkpoint and the batch, so a batch that runs again replaces itself; contents are read once and
+    not shuffled. A task's id follows from the file's place in the tree and its length, so a file that comes again
+    (a lost checkpoint) has the same id, and ``read_ingested`` keeps its first outcome. Empty files are not
+    listed by Spark's file sources. ``max_files`` bounds a micro-batch, not what is read in all."""
+    base = in_path.rstrip("/").split("://")[-1] + "/"
+    run = "r" + hashlib.sha256(ckpt.encode()).hexdigest()[:12]
+    reader = spark.readStream.schema(FILE_SCHEMA).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    files = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(in_path)
+
+    def sink(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        results, ledger = (os.path.join(out_path, kind, f"run={run}", f"batch_id={batch_id}") for kind in ("results", "ledger"))
+        inner = F.substring_index("path", base, -1)
+        files = batch.select(inner.alias("file_path"), C.basename("path").alias("file_name"), F.col("length").alias("content_length"), "content")
+        tasks = (L.submit_batch(files.drop("content"), now).withColumn("status", F.lit("processing"))
+                 .withColumn("started_at", F.lit(now).cast("timestamp_ntz")).withColumn("worker_id", F.lit("ingest")))
+        content = files.select(L.task_key("file_path", "content_length").alias("doc_id"), "file_name", "content")
+        (D.convert_documents(content).withColumnRenamed("doc_id", "task_id").withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+         .write.mode("overwrite").parquet(results))
+        done = spark.read.parquet(results).select(
+            "task_id", F.col("task_id").alias("result_id"), F.lit(now).cast("timestamp_ntz").alias("ts"), "status", F.lit("ingest").alias("worker_id"),
+            F.when(F.col("status") == "completed", F.lit(results)).alias("result_path"), "error_message")
+        L.apply_results(tasks, done)[0].write.mode("overwrite").parquet(ledger)
+
+    w = files.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+    if available_now:
+        run_available_now(w)
+        return None
+    return w.trigger(processingTime=POLL).start()
+
+
+def read_ingested(spark: SparkSession, out_path: str) -> tuple[DataFrame, DataFrame]:
+    """``(ledger, results)`` of ``ingest_tree``: one row per task, its earliest."""
+    def first(kind):
+        rows = spark.read.parquet(os.path.join(out_path, kind))
+        cols = [c for c in rows.columns if c not in ("task_id", "run", "batch_id")]
+        return rows.groupBy("task_id").agg(F.min_by(F.struct(*cols), F.struct("created_at", "run", "batch_id")).alias("r")).select("task_id", "r.*")
+
+    return first("ledger"), first("results")
+
+
 def stage(df: DataFrame, label: str, partitions: int | None = None) -> str:
     """Write a derived table once to the shared folder and return its path."""
     path = scratch_path(df.sparkSession, label)

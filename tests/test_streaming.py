@@ -260,3 +260,41 @@ def test_stale_timer_and_refused_completion_out_of_order(spark, tmp_path):
                     (-1, _at(70), TIMEOUT_RESET, True, "pending", None), (3, _at(90), "claim", True, "processing", "w1"),
                     (4, _at(95), "complete", False, "processing", "w1"), (-1, _at(150), TIMEOUT_RESET, True, "pending", None)]
     assert [tuple(r) for r in rejected_completions(out).collect()] == [(4, "a", _at(95), "complete", "processing")]
+
+
+def test_ingest_tree_over_batches_new_files_and_a_lost_checkpoint(spark, tmp_path):
+    tree, out = tmp_path / "tree", str(tmp_path / "out")
+
+    def put(name, data):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_bytes(data)
+
+    for i in range(7):
+        put(f"a{i % 2}/doc{i}.txt", b"# one\ntwo %d" % i)
+    put("doc9.json", b"{")
+    put("a0/empty.txt", b"")
+    J.ingest_tree(spark, str(tree), out, str(tmp_path / "c1"), "2024-01-01 00:00:00", max_files=3)
+    first = {r.task_id: r for r in J.read_ingested(spark, out)[0].collect()}
+    assert len(first) == 8 and len(list((tmp_path / "out/ledger").rglob("_SUCCESS"))) >= 3
+    assert sorted(r.status for r in first.values()) == ["completed"] * 7 + ["failed"]
+    put("a1/doc8.csv", b"x,y\n1,2")
+    J.ingest_tree(spark, str(tree), out, str(tmp_path / "c1"), "2024-01-02 00:00:00", max_files=3)  # goes on
+    J.ingest_tree(spark, str(tree), out, str(tmp_path / "c2"), "2024-01-03 00:00:00")  # all files again
+    ledger, results = J.read_ingested(spark, out)
+    again = {r.task_id: r for r in ledger.collect()}
+    assert len(again) == 9 and all(again[k] == r for k, r in first.items())
+    assert sorted(str(r.created_at)[:10] for r in again.values()) == ["2024-01-01"] * 8 + ["2024-01-02"]
+    assert results.count() == 9 and results.filter("markdown like '| x | y |%'").count() == 1
+
+
+def test_affected_rows_of_every_mutation(spark):
+    from pyspark.sql import Observation
+
+    from scriptorium.operators import ledger as L
+    from scriptorium.plans import fixtures as fx
+    t = fx.tasks(spark, "/root/testdata/sf0.001")
+    none, some = Observation("none"), Observation("some")
+    assert L.retire_artifacts(t, fx.AS_OF, 7, affected=none)[0].count() == t.count() and none.get["affected_rows"] == 0
+    ledger, claims = L.claim_batch(t, ["a", "b"], 5, fx.AS_OF, affected=some)
+    ledger.write.format("noop").mode("overwrite").save()
+    assert some.get["affected_rows"] == claims.count() == 5
