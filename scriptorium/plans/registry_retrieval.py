@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from ..session import load
+from ..session import load, spread
 from .catalog import register
 
 K_RETRIEVE, N_RERANK = 10, 3
@@ -158,6 +158,18 @@ def v5(spark, sf):
     return s.select("conv_id", "turn", F.round("score", 6).alias("score"))
 
 
+@register("X2b_scorer_plugin", f"""
+WITH {_PAIRS_SQL},
+c AS (SELECT conv_id, turn, 1.0 / (1.0 + exp(3.0 - 6.0 * CASE WHEN len(list_distinct(q)) > 0
+        THEN len(list_intersect(list_distinct(q), d)) / len(list_distinct(q)) ELSE 0.0 END)) AS score FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS rerank FROM c)
+SELECT conv_id, turn, round(score, 6) AS score, cast(rerank AS int) AS rerank FROM r WHERE rerank <= 2""")
+def x2b(spark, sf):
+    """V5 and W2 with a scorer plug-in instead of the built-in expression."""
+    s = R.score_pairs(spread(conversation_pairs(spark, sf)), scorer=R.CoverageScorer())
+    return R.rerank_top_n(s, 2, group="conv_id", item="turn").select("conv_id", "turn", F.round("score", 6).alias("score"), "rerank")
+
+
 @register("W2_rerank_top_n", f"""
 WITH {_PAIRS_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS rerank FROM sc)

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import converters as CV
 from ..operators import documents as D
 from ..operators import ledger as L
 from ..session import load, scratch_path
 from ..sources import files as SF
 from ..sources import stores as ST
+from ..sources.objects import upload_objects
 from ..streaming import jobs as J
 from ..streaming import state as KS
 from . import fixtures as fx
@@ -241,24 +243,42 @@ def w3(spark, sf):
 # ------------------------------------------------------------------ sources and sinks
 
 def _staged_pages(spark, sf) -> str:
+    """Every page as a file (its HTML and a line end) of a tree with a folder for each thousand ids."""
     path = scratch_path(spark, "pages-files")
-    load(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    page = F.col("page_id")
+    name = F.concat((page / 1000).cast("long").cast("string"), F.lit("/page"), page.cast("string"), F.lit(".html"))
+    upload_objects(load(spark, sf, "pages").select(page.alias("task_id"), name.alias("path"), name.alias("object_name"), name.alias("url"),
+                                                   F.encode(F.concat("html", F.lit("\n")), "UTF-8").alias("content")), path)
     return path
 
 
+def _page_id():
+    return F.regexp_extract("path", r"/page(\d+)\.html$", 1).cast("long").alias("page_id")
+
+
 @register("A1_scan_documents", "SELECT page_id, cast(strlen(html) + 1 AS bigint) AS length FROM pages")
 def a1(spark, sf):
-    docs = SF.scan_documents(spark, _staged_pages(spark, sf), "*.txt")
-    return docs.select(SF.key_from_path(F.col("path"), "page_id").cast("long").alias("page_id"),
-                       F.octet_length("content").cast("long").alias("length"))
+    docs = SF.scan_documents(spark, _staged_pages(spark, sf), "*.html")
+    return docs.select(_page_id(), F.octet_length("content").cast("long").alias("length"))
 
 
 @register("A4_file_metadata", "SELECT page_id, cast(strlen(html) + 1 AS bigint) AS size, true AS has_modified_at FROM pages")
 def a4(spark, sf):
-    files = SF.with_file_metadata(SF.scan_documents(spark, _staged_pages(spark, sf), "*.txt", with_content=False))
+    files = SF.with_file_metadata(SF.scan_documents(spark, _staged_pages(spark, sf), "*.html", with_content=False))
     # the modification time depends on when the files were written: checked for presence only
-    return files.select(SF.key_from_path(F.col("path"), "page_id").cast("long").alias("page_id"), "size",
-                        F.col("modified_at").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}").alias("has_modified_at"))
+    return files.select(_page_id(), "size", F.col("modified_at").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}").alias("has_modified_at"))
+
+
+@register("A2b_scan_result_tree", """
+SELECT task_id, kind, regexp_extract(path, '[^/]*$') AS file_name, size, md5(content) AS content_md5
+FROM result_files WHERE size > 0""", ("result_files",))
+def a2b(spark, sf):
+    """The result files written out as a tree and listed again (file sources leave out empty files)."""
+    root = scratch_path(spark, "results-tree")
+    name = F.regexp_replace("path", "^/out/", "")
+    upload_objects(fx.result_files(spark, sf).filter("size > 0").select("task_id", "path", name.alias("object_name"), name.alias("url"), "content"), root)
+    tree = SF.scan_artifacts(spark, root)
+    return tree.select("task_id", "kind", C.basename("path").alias("file_name"), "size", F.md5("content").alias("content_md5"))
 
 
 @register("A3_read_json_artifact", """
