@@ -2,8 +2,8 @@
 
 A converter turns one document's text into ordered blocks ``(type, level, text)``. They run inside
 ``mapInPandas`` over Arrow batches, so Spark partitions the documents and each task streams its
-batches through one converter instance. Neural PDF/OCR/office converters are not available on this
-machine; they plug in through the same two methods.
+batches through one converter instance. Readers of XML and Office files are in
+``formats``. Neural PDF/OCR converters are not available on this machine; they plug in through the same two methods.
 """
 
 from __future__ import annotations
