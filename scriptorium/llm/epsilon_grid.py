@@ -7,11 +7,13 @@ sequence; neighbouring runs of it are blocks, with the range of their projection
 
 The join goes down the sequence recursively: intervals of blocks are paired by label and leading cell,
 a pair whose ranges lie more than eps apart in any direction is skipped whole, and the others are split
-into their halves, quarters, ... down to single blocks. Each surviving pair of blocks is one unit of work
-for a task, which splits it further in the same way before it multiplies vectors.
+into their halves, quarters, ... down to single blocks. Vectors travel in bundles of neighbouring blocks,
+once for each pair of bundles with a surviving pair of blocks (not once for each pair of blocks); the task
+compares just the surviving pairs and splits each further in the same way before it multiplies vectors.
 
 Equal vectors of one label form a class and are compared once. A task emits, for each class, how many
-vectors it found linked, and a spanning forest of the links; it never emits all pairs.
+vectors it found linked, and a spanning forest of the links; it never emits all pairs. Classes are named by
+their smallest vec_id first, so the smallest name of a component tells its smallest vec_id.
 
 Defined results: rows whose label is null (or NaN, in a floating column) or whose vector is null, empty, zero or holds a null or
 non-finite component link with nothing; shorter vectors are read as if filled up with zeros; repeated
@@ -37,8 +39,11 @@ from .graph import components
 DIRECTIONS = 8
 BLOCK = 512  # classes in a block
 LEAF = 64  # classes that a task compares without splitting further
+BUNDLE = 16  # blocks that travel together, at most
+BUNDLE_BYTES = 8 << 20  # of vectors in a bundle (one block at least)
 FAN = 8  # parts that an interval is split into
 _SLACK = 1e-9  # of rounding, when ranges are compared
+_PACKED = ("ids", "firsts", "nones", "copies", "vectors")
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -98,15 +103,20 @@ def _projected(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
     return classes.mapInArrow(run, f"{ddl}, {', '.join(f'c{i} int' for i in range(k))}, p array<double>")
 
 
+def _width(kind: str) -> str:
+    """numpy's type for the elements of a vector column: floats stay as they are, others count as doubles."""
+    return "<f4" if kind == "array<float>" else "<f8"
+
+
 def blocks(classes: DataFrame, axes: np.ndarray, eps: float, block: int = BLOCK) -> DataFrame:
     """One row per block of the sequence: part, block (numbers), label, lo, hi (ranges of the
-    projections), members (array of first, copies, v) in order."""
-    k, kind = axes.shape[1], classes.schema["v"].dataType.simpleString()
+    projections), and its classes in order: ids, firsts (0 for null), nones, copies and vectors, each packed."""
+    k, width = axes.shape[1], _width(classes.schema["v"].dataType.simpleString())
     order = ["label", *[f"c{i}" for i in range(k)], "first", "v"]
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # "first" comes last, so a crowded cell is spread over tasks too
     ordered = (_projected(classes, axes, eps).repartitionByRange(n, *order[:-1]).sortWithinPartitions(*order)
-               .select("label", "first", "copies", "v", "p"))
+               .select("label", "id", "first", "copies", "v", "p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held = TaskContext.get().partitionId(), 0, None
@@ -115,13 +125,14 @@ def blocks(classes: DataFrame, axes: np.ndarray, eps: float, block: int = BLOCK)
             nonlocal made
             rows = rows.combine_chunks()
             p = _matrix(rows["p"].chunk(0))
-            members = pa.StructArray.from_arrays([rows[c].chunk(0) for c in ("first", "copies", "v")], ["first", "copies", "v"])
+            whole = [rows["id"].to_numpy(), rows["first"].fill_null(0).to_numpy().astype(np.int64), rows["first"].is_null().to_numpy().astype(np.uint8),
+                     rows["copies"].to_numpy(), _matrix(rows["v"].chunk(0)).astype(width)]
             made += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([made - 1], pa.int32()), rows["label"].chunk(0)[:1],
                  pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64())),
-                 pa.ListArray.from_arrays(pa.array([0, len(members)], pa.int32()), members)],
-                names=["part", "block", "label", "lo", "hi", "members"])
+                 *(pa.array([x.tobytes()], pa.binary()) for x in whole)],
+                names=["part", "block", "label", "lo", "hi", *_PACKED])
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -139,7 +150,7 @@ def blocks(classes: DataFrame, axes: np.ndarray, eps: float, block: int = BLOCK)
 
     label = classes.schema["label"].dataType.simpleString()
     return ordered.mapInArrow(run, f"part int, block int, label {label}, lo array<double>, hi array<double>, "
-                                   f"members array<struct<first:bigint,copies:bigint,v:{kind}>>")
+                                   + ", ".join(f"{c} binary" for c in _PACKED))
 
 
 def _apart(a: str, b: str, eps: float) -> str:
@@ -180,12 +191,13 @@ def block_pairs(sequence: DataFrame, eps: float, fan: int = FAN) -> DataFrame:
     return pairs.selectExpr("pa", "na ba", "pb", "nb bb")
 
 
-def near(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.ndarray, cosine: float, eps: float):
+def near(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, cosine: float, eps: float):
     """Positions (i, j) of all pairs with cosine at least ``cosine`` between the rows of x and of y (or
-    within x, i < j, if y is None). Runs of LEAF rows are skipped if their ranges lie apart."""
-    ux = _unit(x)
-    uy = ux if y is None else _unit(y)
-    raw = x if y is None else y
+    within x, i < j, if y is None), each given as vectors, unit vectors and projections. Runs of LEAF rows
+    are skipped if their ranges lie apart."""
+    x, ux, px = x
+    within = y is None
+    raw, uy, py = (x, ux, px) if within else y
 
     def ranges(p: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         return [(s, min(len(p), s + LEAF), p[s:s + LEAF].min(axis=0), p[s:s + LEAF].max(axis=0)) for s in range(0, len(p), LEAF)]
@@ -193,7 +205,7 @@ def near(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.ndarray, co
     right = ranges(py)
     for s, e, lo, hi in ranges(px):
         for s2, e2, lo2, hi2 in right:
-            if y is None and s2 < s or (np.maximum(lo2 - hi, lo - hi2) > eps + _SLACK).any():
+            if within and s2 < s or (np.maximum(lo2 - hi, lo - hi2) > eps + _SLACK).any():
                 continue
             found = ux[s:e] @ uy[s2:e2].T
             i, j = np.nonzero(found >= cosine - 1e-9)
@@ -202,38 +214,65 @@ def near(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.ndarray, co
             for t in np.flatnonzero(value < cosine + 1e-9):  # so close that the order of sums matters
                 a, b = x[i[t]], raw[j[t]]
                 value[t] = np.dot(a, b) / (math.sqrt(np.dot(a, a)) * math.sqrt(np.dot(b, b)))
-            ok = (value >= cosine) & ((i < j) if y is None else True)
+            ok = (value >= cosine) & ((i < j) if within else True)
             if ok.any():
                 yield i[ok], j[ok]
 
 
-def _found(axes: np.ndarray, cosine: float, eps: float):
+class _Bundle:
+    """The classes of a bundle, its blocks one after the other."""
+
+    def __init__(self, blocks: pa.StructArray, axes: np.ndarray, width: str):
+        def column(name: str, kind: str) -> np.ndarray:
+            return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in blocks.field(name)])
+
+        self.ids, self.firsts, self.copies = (column(c, "<i8") for c in ("ids", "firsts", "copies"))
+        self.nones = column("nones", "u1").astype(bool)
+        self.vectors = column("vectors", width).astype(np.float64).reshape(len(self.ids), -1)
+        self.units = _unit(self.vectors)
+        self.projected = self.units @ axes
+        ends = np.cumsum([0] + [len(b.as_buffer()) // 8 for b in blocks.field("ids")]).tolist()
+        self.at = dict(zip(blocks.field("block").to_pylist(), zip(ends, ends[1:])))
+
+    def block(self, number: int) -> tuple[int, tuple[np.ndarray, ...]]:
+        start, stop = self.at[number]
+        return start, tuple(m[start:stop] for m in (self.vectors, self.units, self.projected))
+
+
+def _found(axes: np.ndarray, cosine: float, eps: float, width: str):
+    names = ["none", "first", "id", "other_none", "other_first", "other_id", "linked"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 at = {n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}
-                here = (at["pa"].as_py(), at["ba"].as_py())
-                there = (at["pb"].as_py(), at["bb"].as_py())
-                own = here == there
-                xs, ys = at["ma"].values, None if own else at["mb"].values
-                x = _matrix(xs.field("v"))
-                y = None if own else _matrix(ys.field("v"))
-                n, m = len(x), 0 if own else len(y)
-                copies = np.concatenate([s.field("copies").to_numpy() for s in ((xs,) if own else (xs, ys))])
-                px = _unit(x) @ axes
-                py = px if own else _unit(y) @ axes
-                degree, forest, edges = np.zeros(n + m, np.int64), Forest(n + m), []
-                for i, j in near(x, y, px, py, cosine, eps):
-                    j = j if own else j + n
-                    np.add.at(degree, i, copies[j])
-                    np.add.at(degree, j, copies[i])
-                    edges += forest.add(i, j)
-                node = [(p << 32 | b) << 16 for p, b in (here, there)]
-                name = lambda t: node[0] + t if t < n else node[1] + t - n
+                own = not at["b"].is_valid
+                a = _Bundle(at["a"].values, axes, width)
+                b = a if own else _Bundle(at["b"].values, axes, width)
+                n = 0 if own else len(a.ids)  # where b's classes begin
+                ids, firsts, nones, copies = (getattr(a, c) if own else np.concatenate((getattr(a, c), getattr(b, c)))
+                                              for c in ("ids", "firsts", "nones", "copies"))
+                degree, forest, edges = np.zeros(len(ids), np.int64), Forest(len(ids)), []
+                for pair in at["pairs"].as_py():
+                    left, x = a.block(pair["ba"])
+                    right, y = b.block(pair["bb"])
+                    for i, j in near(x, None if own and left == right else y, cosine, eps):
+                        i, j = i + left, j + right + n
+                        np.add.at(degree, i, copies[j])
+                        np.add.at(degree, j, copies[i])
+                        edges += forest.add(i, j)
                 hit = np.flatnonzero(degree)
-                rows = [(name(int(t)), None, int(degree[t])) for t in hit] + [(name(a), name(b), 0) for a, b in edges]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["node", "other", "linked"])
+                here = np.concatenate((hit, [e[0] for e in edges])).astype(np.int64)
+                there = np.array([e[1] for e in edges], np.int64)
+                if len(here):
+                    def column(x: np.ndarray, null: np.ndarray | None, alone: bool) -> pa.Array:
+                        chosen = pa.array(x[there], mask=None if null is None else null[there])
+                        return pa.concat_arrays([pa.nulls(len(hit), chosen.type), chosen]) if alone else \
+                            pa.array(x[here], mask=None if null is None else null[here])
+
+                    yield pa.RecordBatch.from_arrays(
+                        [*(column(x, null, alone) for alone in (False, True) for x, null in ((nones, None), (firsts, nones), (ids, None))),
+                         pa.array(np.concatenate((degree[hit], np.zeros(len(edges), np.int64))))], names=names)
 
     return run
 
@@ -257,23 +296,25 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, block: i
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
     valid = rows.where(fine)
     classes = valid.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    classes = cut(classes.select("label", "first", "copies", "v"))
-    axes = principal_directions(classes, size.most)
+    classes = cut(classes.select("label", "first", "copies", "v", F.monotonically_increasing_id().alias("id")))
+    axes, width = principal_directions(classes, size.most), _width(classes.schema["v"].dataType.simpleString())
     sequence = cut(blocks(classes, axes, eps, block))
-    pairs = cut(block_pairs(sequence, eps))
-    packed = sequence.select("part", "block", "members")
-    work = (pairs.join(packed.selectExpr("part pa", "block ba", "members ma"), ["pa", "ba"])
-            .join(packed.selectExpr("part pb", "block bb", "members mb"), ["pb", "bb"])
-            .selectExpr("pa", "ba", "pb", "bb", "ma", "if(pa = pb and ba = bb, null, mb) mb"))
-    found = cut(work.mapInArrow(_found(axes, cosine, eps), "node bigint, other bigint, linked bigint"))
-    degree = found.where("other is null").groupBy("node").agg(F.sum("linked").alias("linked"))
-    roots = components(found.where("other is not null"), "node", "other")
-    named = (sequence.select("part", "block", "label", F.posexplode("members").alias("i", "m"))
-             .selectExpr("shiftleft(shiftleft(cast(part as bigint), 32) | block, 16) + i node", "label", "m.first first", "m.copies copies", "m.v v"))
-    known = (named.join(degree, "node", "left").join(roots, "node", "left")
-             .selectExpr("label", "v", "copies - 1 + coalesce(linked, 0) n_links", "first", "coalesce(root, node) root"))
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    per_class = known.join(least, "root").select("label", "v", "n_links", "component_id")
+    many = max(1, min(BUNDLE, BUNDLE_BYTES // (block * size.most * np.dtype(width).itemsize)))
+    bundle = lambda c: F.floor(F.col(c) / many).cast("int")
+    # at most ``many`` blocks and many * many pairs of them are gathered
+    bundles = sequence.groupBy("part", bundle("block").alias("bundle")).agg(F.collect_list(F.struct("block", *_PACKED)).alias("held"))
+    pairs = cut(block_pairs(sequence, eps).groupBy("pa", bundle("ba").alias("ga"), "pb", bundle("bb").alias("gb"))
+                .agg(F.collect_list(F.struct("ba", "bb")).alias("pairs")))
+    work = (pairs.join(bundles.selectExpr("part pa", "bundle ga", "held a"), ["pa", "ga"])
+            .join(bundles.selectExpr("part pb", "bundle gb", "held b"), ["pb", "gb"])
+            .selectExpr("pairs", "a", "if(pa = pb and ga = gb, null, b) b"))
+    found = cut(work.mapInArrow(_found(axes, cosine, eps, width), "none boolean, first bigint, id bigint, other_none boolean, "
+                                                                  "other_first bigint, other_id bigint, linked bigint"))
+    degree = found.where("other_id is null").groupBy("id").agg(F.sum("linked").alias("linked"))
+    edges = found.where("other_id is not null").selectExpr("struct(none, first, id) a", "struct(other_none none, other_first first, other_id id) b")
+    roots = components(edges, "a", "b").selectExpr("node.id id", "root.first least")
+    per_class = (classes.join(degree, "id", "left").join(roots, "id", "left")
+                 .selectExpr("label", "v", "copies - 1 + coalesce(linked, 0) n_links", "coalesce(least, first) component_id"))
     linked = valid.join(per_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -154,6 +154,37 @@ def test_vectors_equal_brute_force(spark):
     check_vectors(spark, rows)
 
 
+def test_vectors_in_many_bundles(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(300):  # one label holds most rows, so its blocks and bundles pair up in many ways
+        v = rng.normal(size=5)
+        if i and rng.random() < 0.8:
+            v = np.array(rows[rng.integers(0, i)][1]) + 0.1 * rng.normal(size=5)
+        rows.append((i if i % 50 else None, [float(x) for x in v], int(rng.random() < 0.1)))
+    for most in (1, 3):
+        monkeypatch.setattr(epsilon_grid, "BUNDLE", most)
+        check_vectors(spark, rows, block=8, kind="double")
+    ids = spark.createDataFrame([(i, v, label) for i, v, label in rows], "vec_id int, embedding array<double>, label int")
+    wide = ids.withColumn("vec_id", F.col("vec_id").cast("bigint"))
+    out = [sorted(map(tuple, epsilon_grid.embedding_near_duplicates(d, block=8).collect()), key=str) for d in (ids, wide)]
+    assert out[0] == out[1]
+
+
+def test_distant_blocks_are_skipped(spark):
+    rng = np.random.default_rng(2)
+    centres = np.eye(8)[:6]  # clusters far apart
+    n = 3000
+    v = centres[rng.integers(0, 6, n)] + 0.01 * rng.normal(size=(n, 8))
+    df = spark.createDataFrame([(i, x.tolist(), 1, 1, i) for i, x in enumerate(v)], "first bigint, v array<double>, label int, copies bigint, id bigint")
+    eps = math.sqrt(2 - 2 * 0.98) + 1e-7
+    sequence = epsilon_grid.blocks(df, epsilon_grid.principal_directions(df, 8), eps, block=32).cache()
+    blocks = sequence.count()
+    left = epsilon_grid.block_pairs(sequence, eps).count()
+    assert blocks >= n / 32
+    assert blocks <= left < 0.3 * blocks * (blocks + 1) / 2  # a sixth of all pairs lie inside one cluster
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], None), (3, None, 1), (4, [], 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1),
