@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.scale import running_count
 
+# fixed values: columns and statuses of the ledger
 LEDGER_COLUMNS = [
     "task_id", "file_name", "file_path", "status", "priority", "backend", "options", "result_path",
     "error_message", "created_at", "started_at", "completed_at", "worker_id", "retry_count",
@@ -308,6 +309,7 @@ def cancel_requests(tasks: DataFrame, requests: DataFrame, affected=None) -> tup
     j = req.join(tasks.select("task_id", "status"), "task_id", "left")
     outcome = (F.when(F.col("status").isNull(), "not_found")
                .when(F.col("status") == "pending", "cancelled").otherwise("rejected"))
+    # fixed values: the messages
     message = (F.when(F.col("status").isNull(), "Task not found")
                .when(F.col("status") == "pending", "Task cancelled successfully")
                .otherwise(F.concat(F.lit("Cannot cancel task in "), F.col("status"), F.lit(" status"))))

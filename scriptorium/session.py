@@ -117,9 +117,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over the cluster before per-row heavy work (conversion, embedding,
     scoring) when it is read from fewer files than the default parallelism - e.g. one small file
-    that is a single split. Only the file listing is asked, so no job runs while a plan is built. Inputs that are already wide (the large-scale case) are left
-    untouched, so this never adds a shuffle there."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    that is a single split. Only the file listing is asked, so no job runs while a plan is built. Inputs
+    read from that many files (the large-scale case) are left untouched. Few but large files, and tables
+    that are not read from files (a checkpoint), are shuffled once even if they are wide already: pass
+    ``min_partitions=0`` there."""
+    target = min_partitions if min_partitions is not None else df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= target else df.repartition(target)
 
 

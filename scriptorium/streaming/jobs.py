@@ -31,6 +31,7 @@ TOPIC_SCHEMA = T.StructType([
     T.StructField("offset", T.LongType()), T.StructField("timestamp", T.TimestampNTZType()),
     T.StructField("timestampType", T.IntegerType()),
 ])
+# fixed values: largest message, retention by age and by size
 MESSAGE_MAX_BYTES = 5_242_880
 RETENTION_HOURS, RETENTION_BYTES = 72, 1 << 30
 POLL = "500 milliseconds"
