@@ -417,11 +417,15 @@ def rewrite_image_refs(docs: DataFrame, resolved: DataFrame, enabled: bool = Tru
                     .alias("md_out"))
 
 
+def _is_variant(path: str) -> Column:
+    return C.file_stem(path).rlike("_(layout|span|origin)$")
+
+
 def _first(kind: str, *fields: str, skip_variants: bool = False) -> Column:
     """Fields of the artifact of one kind with the smallest path, as one conditional aggregate."""
     cond = F.col("kind") == kind
     if skip_variants:
-        cond = cond & ~C.file_stem("path").rlike("_(layout|span|origin)$")
+        cond = cond & ~_is_variant("path")
     return F.min_by(F.when(cond, F.struct(C.basename("path").alias("file_name"), *fields)), F.when(cond, F.col("path")))
 
 
@@ -440,8 +444,9 @@ def task_status_view(tasks: DataFrame, artifacts: DataFrame, upload_images: bool
     status endpoint does not skip _layout variants), its content, whether images were uploaded, and
     whether images exist (NULL when they were uploaded). One aggregate reads the artifacts, one join
     brings them to the tasks."""
-    per = artifacts.groupBy("task_id").agg(_first("md", "content").alias("_md"),
-                                           F.max(F.col("kind") == "image").alias("_img"))
+    # bytes of other kinds do not enter the aggregate, which sorts and shuffles its rows
+    files = artifacts.select("task_id", "kind", "path", F.when(F.col("kind") == "md", F.col("content")).alias("content"))
+    per = files.groupBy("task_id").agg(_first("md", "content").alias("_md"), F.max(F.col("kind") == "image").alias("_img"))
     j = tasks.join(per, "task_id", "left")
     completed = F.col("status") == "completed"
     with_data = completed & F.col("result_path").isNotNull() & F.col("_md").isNotNull()
