@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..session import cut_lineage, spread
+from ..session import scratch_path, spread
 from . import converters as CV
 from . import formats as FM
 from . import ledger as L
@@ -211,10 +211,10 @@ def _routed(docs: DataFrame, converters: Mapping[str, object] | None) -> tuple[D
             {**convs, **dict.fromkeys(built_in)})
 
 
-def _converted(routed: DataFrame, convs: Mapping[str, object], as_blocks: bool = False) -> DataFrame:
+def _converted(routed: DataFrame, convs: Mapping[str, object], as_blocks: bool = False, dealt: bool = False) -> DataFrame:
     """One outcome per row of ``routed`` (doc_id, route, content, equation, table, converter, and ``ready`` for
     the converters named None), from one Arrow pass: the outcome leaves beside the row's id, so ids may be NULL
-    or repeat. ``as_blocks`` gives the blocks instead."""
+    or repeat. ``as_blocks`` gives the blocks instead; ``dealt`` rows come from a shuffle and stay where they are."""
     fields = BLOCK_FIELDS if as_blocks else OUTCOME_FIELDS
     schema = T.StructType([routed.schema["doc_id"]] + fields)
     names = schema.names
@@ -262,7 +262,7 @@ def _converted(routed: DataFrame, convs: Mapping[str, object], as_blocks: bool =
                 types = (pa.string(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(first + [pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return spread(routed).mapInArrow(run, schema)
+    return (routed if dealt else spread(routed)).mapInArrow(run, schema)
 
 
 def convert_tasks(tasks: DataFrame, files: DataFrame, now, root: str,
@@ -271,20 +271,27 @@ def convert_tasks(tasks: DataFrame, files: DataFrame, now, root: str,
     under its own options and the outcome goes back through the guard of J3. Returns
     ``(results, ledger')``; a completed task gets ``{root}/{task_id}`` as result path, a failed one its
     error. Processing tasks without a file stay as they are (U3 resets them). The results are written to
-    the shared folder first, so that both sides read one conversion."""
+    the shared folder first, so that both sides read one conversion. Contents are shuffled once, for the
+    join: they are converted where it leaves them, and a task's owner travels in its id."""
     todo = (L.decode_options(tasks.filter(F.col("status") == "processing"))
             .join(files.select("task_id", "content"), "task_id")
-            .select(F.col("task_id").alias("doc_id"), "file_name", "content", "formula_enable", "table_enable"))
-    done = convert_documents(todo, converters).withColumnRenamed("doc_id", "task_id")
-    owner = tasks.select("task_id", "worker_id")
-    results = cut_lineage(done.join(owner, "task_id").select(
+            .select(F.struct("task_id", "worker_id").alias("doc_id"), "file_name", "content", "formula_enable", "table_enable"))
+    done = _converted(*_routed(todo, converters), dealt=True).select("doc_id.*", *[f.name for f in OUTCOME_FIELDS])
+    results = _written(done.select(
         "task_id", F.col("task_id").alias("result_id"), F.lit(now).cast("timestamp_ntz").alias("ts"), "status", "worker_id",
         F.when(F.col("status") == "completed", F.concat(F.lit(root.rstrip("/") + "/"), "task_id")).alias("result_path"),
-        "error_message", "route", "converter", "n_blocks", "markdown"))
+        "error_message", "route", "converter", "n_blocks", "markdown"), "converted")
     ledger, _, _ = L.apply_results(tasks, results)
     return results, ledger
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder: compressed, and a reader of few columns reads no texts."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _md_line(t, level, text):
     if t == "heading":
         return "#" * level + " " + text
