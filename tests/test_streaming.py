@@ -287,6 +287,40 @@ def test_ingest_tree_over_batches_new_files_and_a_lost_checkpoint(spark, tmp_pat
     assert results.count() == 9 and results.filter("markdown like '| x | y |%'").count() == 1
 
 
+def test_ingest_tree_reads_a_batch_twice_and_lists_in_few_tasks(spark, tmp_path):
+    """Once with contents, once without; new files are not listed in a task each."""
+    import time
+
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    seen = []
+
+    class Rows(StreamingQueryListener):
+        def onQueryStarted(self, event): pass
+        def onQueryProgress(self, event): seen.append((str(event.progress.runId), event.progress.numInputRows))
+        def onQueryIdle(self, event): pass
+        def onQueryTerminated(self, event): seen.append((str(event.runId), None))
+
+    (tmp_path / "tree").mkdir()
+    for i in range(80):
+        (tmp_path / f"tree/doc{i}.txt").write_bytes(b"# one")
+    rows = Rows()
+    spark.streams.addListener(rows)
+    try:
+        J.ingest_tree(spark, str(tmp_path / "tree"), str(tmp_path / "out"), str(tmp_path / "ckpt"), "2024-01-01 00:00:00")
+        for _ in range(100):
+            if seen and seen[-1][1] is None:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(rows)
+    assert sum(n or 0 for _, n in seen) == 2 * 80
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(seen[0][0]) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(info.numTasks for info in map(tracker.getStageInfo, stages) if info) < 80
+    assert J.read_ingested(spark, str(tmp_path / "out"))[0].filter("status = 'completed'").count() == 80
+
+
 def test_affected_rows_of_every_mutation(spark):
     from pyspark.sql import Observation
 
