@@ -1,8 +1,10 @@
 """Streams against their batch twins and the stale timer (K4)."""
 
+import contextlib
 import datetime as dt
 import os
 import tempfile
+import threading
 
 from scriptorium.streaming import jobs as J
 
@@ -287,36 +289,70 @@ def test_ingest_tree_over_batches_new_files_and_a_lost_checkpoint(spark, tmp_pat
     assert results.count() == 9 and results.filter("markdown like '| x | y |%'").count() == 1
 
 
-def test_ingest_tree_reads_a_batch_twice_and_lists_in_few_tasks(spark, tmp_path):
-    """Once with contents, once without; new files are not listed in a task each."""
-    import time
-
+@contextlib.contextmanager
+def _progress(spark):
+    """The progress of one stream that runs inside, whole once the block has ended."""
     from pyspark.sql.streaming import StreamingQueryListener
 
-    seen = []
+    seen, ended = [], threading.Event()
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
 
-    class Rows(StreamingQueryListener):
-        def onQueryStarted(self, event): pass
-        def onQueryProgress(self, event): seen.append((str(event.progress.runId), event.progress.numInputRows))
-        def onQueryIdle(self, event): pass
-        def onQueryTerminated(self, event): seen.append((str(event.runId), None))
+        def onQueryProgress(self, event):
+            seen.append(event.progress)
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            ended.set()
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        yield seen
+        ended.wait(30)
+    finally:
+        spark.streams.removeListener(listener)
 
+
+def test_tasks_share_the_keys_of_the_state(spark, tmp_path, monkeypatch):
+    """Sixty tasks (one NULL) in four keys, out of order: the batch fold and deadlines, each task by its own time."""
+    from scriptorium.operators.ledger import wait_deadline
+    from scriptorium.operators.transitions import fold_transitions
+    from scriptorium.streaming import state as KS
+
+    monkeypatch.setattr(KS, "BUCKETS", 4, raising=False)
+    names = [None, *(f"t{i}" for i in range(59))]
+    ops = [(1, 5, "claim", "w0"), (0, 0, "submit", None), (2, 9 + 90, "complete", "w0"), (3, 200, "fail", "w0")]
+    rows = [(10 * i + n, name, _at(m + 7 * i), op, w) for i, name in enumerate(names) for n, m, op, w in ops]
+    clock = [[(10_000 + i, "clock", _at(0, 10 + i), "claim", None)] for i in range(2)]
+    ledger = lambda e: KS.ordered_ledger(e, watermark="3 days")
+    with _progress(spark) as seen:
+        out = _replay(spark, tmp_path / "k5", [rows[::2], rows[1::2], *clock], ledger)
+    assert max(p.stateOperators[0].numRowsTotal for p in seen) <= 4
+    events = spark.createDataFrame(rows, STATE_EVENTS)
+    got = {tuple(r) for r in J.final_states(out.filter("event_id < 10000")).collect()}
+    assert got == {tuple(r) for r in fold_transitions(events).collect()} and len(got) == 60
+    with _progress(spark) as seen:
+        out = _replay(spark, tmp_path / "k7", [rows[::2], rows[1::2], *clock], lambda e: KS.wait_deadline_stream(e, 600, watermark="3 days"))
+    assert max(p.stateOperators[0].numRowsTotal for p in seen) <= 4
+    assert ({(r.task_id, r.submitted_at, r.outcome) for r in out.collect()}
+            == {(r.task_id, r.submitted_at, r.outcome) for r in wait_deadline(events, 600).collect()})
+
+
+def test_ingest_tree_reads_a_batch_twice_and_lists_in_few_tasks(spark, tmp_path):
+    """Once with contents, once without; new files are not listed in a task each."""
     (tmp_path / "tree").mkdir()
     for i in range(80):
         (tmp_path / f"tree/doc{i}.txt").write_bytes(b"# one")
-    rows = Rows()
-    spark.streams.addListener(rows)
-    try:
+    with _progress(spark) as seen:
         J.ingest_tree(spark, str(tmp_path / "tree"), str(tmp_path / "out"), str(tmp_path / "ckpt"), "2024-01-01 00:00:00")
-        for _ in range(100):
-            if seen and seen[-1][1] is None:
-                break
-            time.sleep(0.1)
-    finally:
-        spark.streams.removeListener(rows)
-    assert sum(n or 0 for _, n in seen) == 2 * 80
+    assert sum(p.numInputRows for p in seen) == 2 * 80
     tracker = spark.sparkContext.statusTracker()
-    stages = [s for j in tracker.getJobIdsForGroup(seen[0][0]) for s in tracker.getJobInfo(j).stageIds]
+    stages = [s for j in tracker.getJobIdsForGroup(str(seen[0].runId)) for s in tracker.getJobInfo(j).stageIds]
     assert stages and max(info.numTasks for info in map(tracker.getStageInfo, stages) if info) < 80
     assert J.read_ingested(spark, str(tmp_path / "out"))[0].filter("status = 'completed'").count() == 80
 
