@@ -82,8 +82,8 @@ class Encoder:
         self.ids = Memo(lambda w: self.pack([t.id for t in self.model.tokenize(spelled(w))]))
 
     def pack(self, ids: list[int]) -> bytes:
-        """The ids as they are stored (numpy raises an error for one that does not fit)."""
-        return np.array(ids, f"<u{self.width}").tobytes()
+        """The ids as they are stored (struct raises an error for one that does not fit)."""
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def encode(self, text: str) -> bytes:
         return b"".join([b"".join(map(self.ids.__getitem__, WORDS.findall(piece.lower()))) if plain

@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 #: Printable ASCII, Latin-1 letters and plain white space: here normal form and lower case go letter by
 #: letter, and the word tokenizer's pattern reads as WORDS. Special tokens need a "<|".
 PLAIN = re.compile("[ \\n\\t!-~À-ÖØ-öø-ÿ]*")
-WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\n\\ta-zß-öø-ÿ0-9]+")
+WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \\n\\ta-zß-öø-ÿ0-9]+")
 LONG = 64  # longer words are not remembered
 MOST = 250_000  # entries of a memo, about 50 MB of short strings
 
