@@ -303,9 +303,11 @@ def convert_tasks(tasks: DataFrame, files: DataFrame, now, root: str,
     ``(results, ledger')``; a completed task gets ``{root}/{task_id}`` as result path, a failed one its
     error. Processing tasks without a file stay as they are (U3 resets them). The results are written to
     the shared folder first, so that both sides read one conversion. Contents are shuffled once, for the
-    join: they are converted where it leaves them, and a task's owner travels in its id."""
-    todo = (L.decode_options(tasks.filter(F.col("status") == "processing"))
-            .join(files.select("task_id", "content"), "task_id")
+    join: they are converted where it leaves them, and a task's owner travels in its id. The semi join goes through
+    what ``files`` is made of, so that contents of other tasks are not fetched for it."""
+    open_ = tasks.filter(F.col("status") == "processing")
+    wanted = files.select("task_id", "content").join(open_.select("task_id"), "task_id", "left_semi")
+    todo = (L.decode_options(open_).join(wanted, "task_id")
             .select(F.struct("task_id", "worker_id").alias("doc_id"), "file_name", "content", "formula_enable", "table_enable"))
     done = _converted(*_routed(todo, converters), dealt=True).select("doc_id.*", *[f.name for f in OUTCOME_FIELDS])
     results = _written(done.select(
@@ -319,7 +321,7 @@ def convert_tasks(tasks: DataFrame, files: DataFrame, now, root: str,
 def _written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as Parquet in the shared folder: compressed, and a reader of few columns reads no texts."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
